@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardspan.functions.stats import normal_quantile, ratio, two_sided_p
-from wardspan.operators.scale import ROWS_PER_BUCKET, lookup_join, range_splits, running_totals
+from wardspan.operators.scale import lookup_join, range_splits, running_totals
 
 
 def score_histogram(scores: DataFrame, by: Sequence[str], score: str = "p", label: str = "label", weight: str | None = None) -> DataFrame:
@@ -24,22 +24,22 @@ def score_histogram(scores: DataFrame, by: Sequence[str], score: str = "p", labe
     )
 
 
-def ranked_histogram(scores: DataFrame, by: Sequence[str], score: str = "p", label: str = "label", rows_per_bucket: int = ROWS_PER_BUCKET, weight: str | None = None) -> DataFrame:
+def ranked_histogram(scores: DataFrame, by: Sequence[str], score: str = "p", label: str = "label", splits: Sequence[float] | None = None, weight: str | None = None) -> DataFrame:
     """The histogram with the positives and negatives below each score."""
-    splits = range_splits(scores, score, rows_per_bucket)
-    return running_totals(score_histogram(scores, by, score, label, weight), by, score, ["pos", "neg"], splits=splits)
+    histogram = score_histogram(scores, by, score, label, weight)
+    return running_totals(histogram, by, score, ["pos", "neg"], splits=range_splits(scores, score, splits))
 
 
-def midrank(df: DataFrame, by: Sequence[str], score: str = "p", rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def midrank(df: DataFrame, by: Sequence[str], score: str = "p", splits: Sequence[float] | None = None) -> DataFrame:
     """1-based rank of every row, the mean rank where scores tie."""
     by = list(by)
     counts = df.groupBy(*by, score).agg(F.count("*").alias("n"))
-    placed = running_totals(counts, by, score, ["n"], splits=range_splits(df, score, rows_per_bucket))
+    placed = running_totals(counts, by, score, ["n"], splits=range_splits(df, score, splits))
     ranks = placed.select(*by, score, (F.col("n_before") + (F.col("n") + 1) / 2).alias("midrank"))
     return df.join(ranks, [*by, score])
 
 
-def weighted_tie_ranks(df: DataFrame, by: Sequence[str], score: str, weight: str, key: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def weighted_tie_ranks(df: DataFrame, by: Sequence[str], score: str, weight: str, key: str, splits: Sequence[float] | None = None, key_splits: Sequence[float] | None = None) -> DataFrame:
     """Per distinct score, the mean of the running weight inside its tie block; ties run in key order."""
     by = list(by)
     numbered = running_totals(
@@ -47,22 +47,22 @@ def weighted_tie_ranks(df: DataFrame, by: Sequence[str], score: str, weight: str
         [*by, score],
         key,
         ["_one"],
-        splits=range_splits(df, key, rows_per_bucket),
+        splits=range_splits(df, key, key_splits),
     )
     blocks = numbered.groupBy(*by, score).agg(
         F.count("*").alias("_n"),
         F.sum("_w").alias("_weight"),
         F.sum(F.col("_w") * F.col("_one_before")).alias("_late"),
     )
-    placed = running_totals(blocks, by, score, ["_weight"], splits=range_splits(df, score, rows_per_bucket))
+    placed = running_totals(blocks, by, score, ["_weight"], splits=range_splits(df, score, splits))
     return placed.select(
         *by, score, (F.col("_weight_before") + F.col("_weight") - F.col("_late") / F.col("_n")).alias("midrank")
     )
 
 
-def midrank_weighted(df: DataFrame, by: Sequence[str], score: str = "p", weight: str = "weight", key: str = "encounter_id", rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def midrank_weighted(df: DataFrame, by: Sequence[str], score: str = "p", weight: str = "weight", key: str = "encounter_id", splits: Sequence[float] | None = None, key_splits: Sequence[float] | None = None) -> DataFrame:
     """Weighted midrank of every row."""
-    return df.join(weighted_tie_ranks(df, by, score, weight, key, rows_per_bucket), [*by, score])
+    return df.join(weighted_tie_ranks(df, by, score, weight, key, splits, key_splits), [*by, score])
 
 
 def ground_truth(df: DataFrame, by: Sequence[str], label: str = "label") -> DataFrame:
@@ -78,14 +78,14 @@ def ground_truth(df: DataFrame, by: Sequence[str], label: str = "label") -> Data
     )
 
 
-def roc_curve(scores: DataFrame, by: Sequence[str], score: str = "p", label: str = "label", rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def roc_curve(scores: DataFrame, by: Sequence[str], score: str = "p", label: str = "label", splits: Sequence[float] | None = None) -> DataFrame:
     """`(by, idx, threshold, fpr, tpr)` in descending threshold order.
 
     Point 0 is (0, 0) without a threshold. Interior points on a straight piece are dropped: those where
     the next distinct score adds the same counts.
     """
     by = list(by)
-    splits = range_splits(scores, score, rows_per_bucket)
+    splits = range_splits(scores, score, splits)
     points = running_totals(
         score_histogram(scores, by, score, label),
         by,
@@ -143,9 +143,9 @@ def delong_aggregates() -> dict[str, Column]:
     }
 
 
-def delong_auc(scores: DataFrame, by: Sequence[str], score: str = "p", label: str = "label", rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def delong_auc(scores: DataFrame, by: Sequence[str], score: str = "p", label: str = "label", splits: Sequence[float] | None = None) -> DataFrame:
     """`(by, n_pos, n_neg, auc, auc_var)`; null where a class is absent."""
-    ranked = ranked_histogram(scores, by, score, label, rows_per_bucket)
+    ranked = ranked_histogram(scores, by, score, label, splits)
     return ranked.groupBy(*by).agg(*[c.alias(name) for name, c in delong_aggregates().items()])
 
 
@@ -160,12 +160,12 @@ def auc_ci(scores: DataFrame, by: Sequence[str], level: float = 0.95, **options)
     return delong_auc(scores, by, **options).withColumns({"auc_lo": low, "auc_hi": high})
 
 
-def delong_weighted(df: DataFrame, by: Sequence[str], score: str = "p", label: str = "label", weight: str = "weight", key: str = "encounter_id", rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def delong_weighted(df: DataFrame, by: Sequence[str], score: str = "p", label: str = "label", weight: str = "weight", key: str = "encounter_id", splits: Sequence[float] | None = None, key_splits: Sequence[float] | None = None) -> DataFrame:
     """Sample-weighted AUC; the covariance of the placements stays unweighted."""
     by = list(by)
 
     def ranks(rows: DataFrame, name: str) -> DataFrame:
-        return weighted_tie_ranks(rows, by, score, weight, key, rows_per_bucket).withColumnRenamed("midrank", name)
+        return weighted_tie_ranks(rows, by, score, weight, key, splits, key_splits).withColumnRenamed("midrank", name)
 
     blocks = df.groupBy(*by, score).agg(
         F.count_if(F.col(label) == 1).alias("pos"),
@@ -190,7 +190,7 @@ def delong_weighted(df: DataFrame, by: Sequence[str], score: str = "p", label: s
     )
 
 
-def delong_test(pairs: DataFrame, by: Sequence[str], one: str = "p1", two: str = "p2", label: str = "label", rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def delong_test(pairs: DataFrame, by: Sequence[str], one: str = "p1", two: str = "p2", label: str = "label", splits: Sequence[float] | None = None) -> DataFrame:
     """Compare the AUCs of two score columns of the same rows.
 
     `identical` marks a zero variance of the difference; z is null there and the p value 1.
@@ -203,7 +203,7 @@ def delong_test(pairs: DataFrame, by: Sequence[str], one: str = "p1", two: str =
     def placements(score: str, tag: str) -> DataFrame:
         histogram = cells.groupBy(*by, score).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
         ranked = running_totals(
-            histogram, by, score, ["pos", "neg"], splits=range_splits(pairs, score, rows_per_bucket)
+            histogram, by, score, ["pos", "neg"], splits=range_splits(pairs, score, splits)
         )
         return ranked.select(
             *by,

@@ -140,7 +140,7 @@ def match_controls(
             ["class_id"],
             "case_id",
             ["one"],
-            splits=range_splits(cases, "case_id", rows_per_bucket),
+            splits=range_splits(cases, "case_id", rows_per_bucket=rows_per_bucket),
         ).select("class_id", F.col("one_before").cast("long").alias("place"), "case_id"),
         "match-cases",
     )

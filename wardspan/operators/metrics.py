@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wardspan.functions.stats import exact_sign_p, log_loss_term, ratio, wilson_bounds
 from wardspan.functions.text import format_auc_ci, format_percent_ci
 from wardspan.operators.curves import auc_bounds, delong_aggregates, ranked_histogram
-from wardspan.operators.scale import ROWS_PER_BUCKET, lookup_join
+from wardspan.operators.scale import lookup_join
 
 GRID = 500
 CELLS = ["tp", "fp", "fn", "tn"]
@@ -84,13 +84,13 @@ def formatted(df: DataFrame) -> DataFrame:
     return df.withColumns({**texts, "auc_text": format_auc_ci(F.col("auc"), F.col("auc_lo"), F.col("auc_hi"))})
 
 
-def evaluate_model(scores: DataFrame, thresholds: DataFrame, by: Sequence[str], on: Sequence[str] = ("site",), level: float = 0.95, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def evaluate_model(scores: DataFrame, thresholds: DataFrame, by: Sequence[str], on: Sequence[str] = ("site",), level: float = 0.95, splits: Sequence[float] | None = None) -> DataFrame:
     """The whole metric row per group from one ranked histogram.
 
     `thresholds` has one row per value of the `on` columns, all of them part of `by`.
     """
     by = list(by)
-    ranked = ranked_histogram(scores, by, rows_per_bucket=rows_per_bucket)
+    ranked = ranked_histogram(scores, by, splits=splits)
     cut = lookup_join(ranked, thresholds.select(*on, "threshold"), list(on))
     hit = F.col("p") > F.col("threshold")
     pos, neg = F.col("pos"), F.col("neg")
