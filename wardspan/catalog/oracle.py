@@ -231,7 +231,7 @@ sweep AS (SELECT *, 2 * precision * recall / nullif(precision + recall, 0) AS f1
 def best(keys: str, metric: str, companion: str, target: float, name: str = "best") -> str:
     return f"""{name} AS (
   SELECT {keys}, coalesce(arg_min(threshold, ord) FILTER (ok), 0) AS threshold,
-         {", ".join(f"arg_min({c}, ord) FILTER (ok) AS {c}" for c in ("recall", "precision", "specificity", "accuracy", "npv", "f1"))},
+         {", ".join(f"arg_min_null({c}, ord) FILTER (ok) AS {c}" for c in ("recall", "precision", "specificity", "accuracy", "npv", "f1"))},
          count(*) FILTER (ok) > 0 AS found
   FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY ok DESC, coalesce({companion}, -1) DESC, idx) AS ord
         FROM (SELECT *, {metric} < {target} + 0.04::DOUBLE AND {metric} > {target} - 0.04::DOUBLE AS ok FROM sweep))
@@ -239,7 +239,7 @@ def best(keys: str, metric: str, companion: str, target: float, name: str = "bes
 
 
 BEST = best("site", "recall", "precision", "0.85::DOUBLE")
-NORMAL_P = """1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 120), n ->
+NORMAL_P = """1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 120), lambda n:
     (CASE WHEN n % 2 = 0 THEN 1 ELSE -1 END) * exp((2 * n + 1) * ln(greatest({x}, 1e-300)) - lgamma(n + 1)) / (2 * n + 1)))"""
 
 
@@ -311,7 +311,7 @@ history AS (SELECT * FROM evaluated)"""
 
 def ends(columns: list[str]) -> str:
     return ", ".join(
-        [f"arg_min({c}, round) AS first_{c}" for c in columns] + [f"arg_max({c}, round) AS last_{c}" for c in columns]
+        [f"arg_min_null({c}, round) AS first_{c}" for c in columns] + [f"arg_max_null({c}, round) AS last_{c}" for c in columns]
     )
 
 
@@ -549,9 +549,9 @@ def build() -> dict[str, str]:
             t AS (SELECT site, split, count(*) FILTER (a AND b) AS both_right, count(*) FILTER (a AND NOT b) AS only_one_right,
                          count(*) FILTER (NOT a AND b) AS only_two_right, count(*) FILTER (NOT a AND NOT b) AS both_wrong
                   FROM (SELECT *, (p1 > 0.25::DOUBLE)::INTEGER = label AS a, (p2 > 0.6::DOUBLE)::INTEGER = label AS b FROM paired) GROUP BY site, split)
-            SELECT *, {r('''least(1::DOUBLE, 2 * list_sum(list_transform(range(0, least(only_one_right, only_two_right) + 1), i ->
+            SELECT *, {r('''least(1::DOUBLE, 2 * list_sum(list_transform(range(0, least(only_one_right, only_two_right) + 1), lambda i:
                exp(lgamma(only_one_right + only_two_right + 1) - lgamma(i + 1) - lgamma(only_one_right + only_two_right - i + 1)
-                   - (only_one_right + only_two_right) * ln(2)))))''', "p_value")} FROM t""",
+                   - (only_one_right + only_two_right) * ln(2)))))''', "p_value", 8)} FROM t""",
         "ground_truth_order": f"""WITH {PREPARED} SELECT site, split, count(*) FILTER (label = 1) AS n_pos, count(*) FILTER (label = 0) AS n_neg,
             count(DISTINCT label) = 2 AND count(*) = count(label) AS valid FROM prepared GROUP BY site, split""",
         "wilson_ci": f"""WITH {ENC}, c AS (SELECT site, count(*) AS n, sum(death)::BIGINT AS hits FROM enc GROUP BY site)

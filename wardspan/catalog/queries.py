@@ -13,7 +13,7 @@ from wardspan.functions.stats import wilson_bounds
 from wardspan.functions.text import coerce_numeric, format_auc_ci, format_percent_ci, parse_ci, strip_censor
 from wardspan.operators import curves, explain, filters, harmonise, matching, metrics, params, prepare, report
 from wardspan.operators.logistic import lr_gradient, lr_local_fit
-from wardspan.operators.scale import local_table, lookup_join
+from wardspan.operators.scale import local_table
 from wardspan.operators.scoring import score_rows, threshold_label
 from wardspan.plans import cohorts, federate
 from wardspan.plans.cohorts import Prepared
@@ -23,13 +23,11 @@ from wardspan.sources.encounters import (
     SCALE_SITE,
     SITES,
     TRAIN_UNTIL,
-    VALIDATE_FROM,
     encounters,
-    line_features,
     order_settings,
-    sited_orders,
     table,
 )
+from wardspan.session import write_stage
 from wardspan.sources.raw import apply_correction, union_eras
 from wardspan.specs import (
     DEVICE_FLOW_LEVELS,
@@ -37,7 +35,6 @@ from wardspan.specs import (
     DEVICE_O2_LEVELS,
     DEVICE_TEXT_INVALID,
     DEVICE_TEXT_LEVELS,
-    FEATURE_SETS,
     ORDER_FEATURES,
     OUTCOME_FLAGS,
     OUTCOME_FLAGS_DEATH_4,
@@ -349,8 +346,9 @@ def match_invariants(spark, sf):
 
 
 def _cohort(spark, sf) -> DataFrame:
-    rows = cohorts.case_control_set(_training(spark, sf), SETTINGS, matched=False)
-    return rows.select("encounter_id", "site", "label", *FEATURES)
+    """Cases and all controls, written once because the statistics read them twice more."""
+    marked = cohorts.case_control_set(cohorts.assign_roles(encounters(spark, sf), SETTINGS), SETTINGS, matched=False)
+    return write_stage(marked.where("fits").select("encounter_id", "site", "label", *FEATURES), "cohort")
 
 
 def _stats(spark, sf) -> DataFrame:
@@ -374,12 +372,14 @@ def site_minmax(spark, sf):
 
 @query
 def impute_site(spark, sf):
-    return rounded(prepare.impute_site(_cohort(spark, sf), _stats(spark, sf), FEATURES))
+    cohort = _cohort(spark, sf)
+    return rounded(prepare.impute_site(cohort, prepare.site_stats(cohort, FEATURES), FEATURES))
 
 
 @query
 def impute_mean(spark, sf):
-    return rounded(prepare.impute_site(_cohort(spark, sf), _stats(spark, sf), FEATURES, "mean"))
+    cohort = _cohort(spark, sf)
+    return rounded(prepare.impute_site(cohort, prepare.site_stats(cohort, FEATURES), FEATURES, "mean"))
 
 
 def _external(spark, sf) -> DataFrame:
@@ -393,8 +393,9 @@ def impute_federated(spark, sf):
 
 @query
 def minmax_scale(spark, sf):
-    stats = _stats(spark, sf)
-    return rounded(prepare.minmax_scale(prepare.impute_site(_cohort(spark, sf), stats, FEATURES), stats, FEATURES))
+    cohort = _cohort(spark, sf)
+    stats = prepare.site_stats(cohort, FEATURES)
+    return rounded(prepare.minmax_scale(prepare.impute_site(cohort, stats, FEATURES), stats, FEATURES))
 
 
 @query
@@ -405,12 +406,13 @@ def scale_foreign(spark, sf):
 
 
 def _prepared(spark, sf) -> DataFrame:
-    return cohorts.prepare(encounters(spark, sf), SETTINGS, matched=False, store=False).rows
+    return _prepared_store(spark, sf).rows
 
 
 @query
 def split_train_test(spark, sf):
-    return prepare.split_train_test(_cohort(spark, sf)).select("encounter_id", "site", "split")
+    rows = cohorts.assign_roles(encounters(spark, sf), SETTINGS).where("role is not null")
+    return prepare.split_train_test(rows).select("encounter_id", "site", "split")
 
 
 @query
@@ -528,7 +530,7 @@ def delong_test(spark, sf):
 @query
 def mcnemar_exact(spark, sf):
     rows = _paired(spark, sf).withColumns({"pred1": threshold_label(F.col("p1"), F.lit(0.25)), "pred2": threshold_label(F.col("p2"), F.lit(0.6))})
-    return rounded(metrics.mcnemar_exact(rows, ["site", "split"]))
+    return rounded(metrics.mcnemar_exact(rows, ["site", "split"]), 8)
 
 
 @query
@@ -539,7 +541,7 @@ def ground_truth_order(spark, sf):
 @query
 def wilson_ci(spark, sf):
     rows = encounters(spark, sf).groupBy("site").agg(F.count("*").alias("n"), F.sum("death").alias("hits"))
-    low, high = wilson_bounds(F.col("hits"), F.col("n"))
+    low, high = wilson_bounds("hits", "n")
     return rounded(rows.withColumns({"low": low, "high": high}))
 
 
@@ -692,7 +694,7 @@ def personalise(spark, sf):
 
 @query
 def federated_evaluate(spark, sf):
-    rows = cohorts.prepare(encounters(spark, sf), SETTINGS, matched=False).rows
+    rows = _prepared(spark, sf)
     first = federate.calibrate_sites(rows, "LR", federate.fixed_params(spark, "LR", fixed.round_weights("LR", 1)), SETTINGS)
     now = federate.calibrate_sites(rows, "LR", _lr_params(spark), SETTINGS)
     result = federate.federated_evaluate(rows, now, SETTINGS, 2, baseline=first)
@@ -700,7 +702,7 @@ def federated_evaluate(spark, sf):
 
 
 def _outside(spark, sf, split: str) -> DataFrame:
-    rows = cohorts.prepare(encounters(spark, sf), SETTINGS, matched=False).rows
+    rows = _prepared(spark, sf)
     result = federate.evaluate_external(rows, "LR", _lr_params(spark), 0.25, SETTINGS, 1, splits=[split])
     return rounded(result.drop("p_vs_round1", "p_lr_vs_nn", "auc_var"))
 

@@ -19,28 +19,33 @@ def normal_quantile(level: float = 0.95) -> float:
     return NormalDist().inv_cdf(0.5 + level / 2)
 
 
-def ratio(top: Column, bottom: Column) -> Column:
+def number(value: float) -> str:
+    """A double literal in SQL text."""
+    return f"{float(value)!r}D"
+
+
+def ratio(top: str, bottom: str) -> str:
     """Double division that gives null for an empty denominator."""
-    return F.when(bottom != 0, top.cast("double") / bottom.cast("double"))
+    return f"try_divide(double({top}), double({bottom}))"
 
 
-def wilson_bounds(hits: Column, n: Column, level: float = 0.95) -> tuple[Column, Column]:
-    """Wilson score interval of `hits` out of `n`; null when `n` is 0."""
-    z = normal_quantile(level)
-    share = ratio(hits, n)
-    centre = share + F.lit(z * z) / (2 * n)
-    spread = F.lit(z) * F.sqrt(share * (1 - share) / n + F.lit(z * z) / (4.0 * n * n))
-    shrink = 1 + F.lit(z * z) / n
-    return F.when(n > 0, (centre - spread) / shrink), F.when(n > 0, (centre + spread) / shrink)
+def wilson_bounds(hits: str, n: str, level: float = 0.95) -> tuple[Column, Column]:
+    """Wilson score interval of `hits` out of `n`, both SQL expressions; null when `n` is 0."""
+    z = number(normal_quantile(level))
+    share, n = ratio(hits, n), f"nullif(double({n}), 0D)"
+    centre = f"{share} + {z} * {z} / (2 * {n})"
+    spread = f"{z} * sqrt({share} * (1 - {share}) / {n} + {z} * {z} / (4 * {n} * {n}))"
+    shrink = f"(1 + {z} * {z} / {n})"
+    return F.expr(f"({centre} - {spread}) / {shrink}"), F.expr(f"({centre} + {spread}) / {shrink}")
 
 
-def logistic(z: Column) -> Column:
-    return 1.0 / (1.0 + F.exp(-z))
+def logistic(z: str) -> str:
+    return f"1D / (1D + exp(-({z})))"
 
 
-def log_loss_term(p: Column, positive: bool) -> Column:
-    likelihood = p if positive else 1.0 - p
-    return -F.ln(F.least(F.greatest(likelihood, F.lit(LOG_LOSS_FLOOR)), F.lit(1.0 - LOG_LOSS_FLOOR)))
+def log_loss_term(p: str, positive: bool) -> str:
+    likelihood = p if positive else f"1D - {p}"
+    return f"-ln(least(greatest({likelihood}, {number(LOG_LOSS_FLOOR)}), {number(1.0 - LOG_LOSS_FLOOR)}))"
 
 
 @F.pandas_udf(T.DoubleType())

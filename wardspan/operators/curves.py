@@ -109,8 +109,8 @@ def roc_curve(scores: DataFrame, by: Sequence[str], score: str = "p", label: str
         *by,
         (F.col("_one_before") + 1).cast("long").alias("idx"),
         F.col(score).alias("threshold"),
-        ratio(F.col("neg_before") + F.col("neg"), F.col("n_neg")).alias("fpr"),
-        ratio(F.col("pos_before") + F.col("pos"), F.col("n_pos")).alias("tpr"),
+        F.expr(ratio("neg_before + neg", "n_neg")).alias("fpr"),
+        F.expr(ratio("pos_before + pos", "n_pos")).alias("tpr"),
     )
     zero = F.lit(0.0)
     origin = totals.select(
@@ -123,30 +123,36 @@ def roc_curve(scores: DataFrame, by: Sequence[str], score: str = "p", label: str
     return origin.unionByName(curve)
 
 
-def _spread(weight: Column, a: Column, b: Column) -> Column:
+def _spread(weight: str, a: str, b: str) -> str:
     """Sample covariance of two columns that stand for `weight` equal rows each."""
-    n = F.sum(weight)
-    return ratio(F.sum(weight * a * b) - F.sum(weight * a) * F.sum(weight * b) / F.greatest(n, F.lit(1)), n - 1)
+    joint, means = f"sum({weight} * {a} * {b})", f"sum({weight} * {a}) * sum({weight} * {b})"
+    return ratio(f"{joint} - {means} / greatest(sum({weight}), 1)", f"sum({weight}) - 1")
 
 
-def delong_aggregates() -> dict[str, Column]:
-    """AUC and variance as aggregates over a ranked histogram."""
-    m, n = F.sum("pos"), F.sum("neg")
-    wins = (F.col("neg_before") + F.col("neg") / 2).cast("double")
-    losses = (F.col("pos_before") + F.col("pos") / 2).cast("double")
-    return {
-        "n_pos": m.cast("long"),
-        "n_neg": n.cast("long"),
-        "auc": ratio(F.sum(F.col("pos") * wins), m.cast("double") * n),
-        "auc_var": ratio(_spread(F.col("pos"), wins, wins), m.cast("double") * n * n)
-        + ratio(_spread(F.col("neg"), losses, losses), n.cast("double") * m * m),
-    }
+def _variance(wins: str, losses: str, m: str = "sum(pos)", n: str = "sum(neg)") -> str:
+    """DeLong (co)variance from the two spreads of unscaled placements."""
+    m, n = f"double({m})", f"double({n})"
+    return f"{ratio(wins, f'{m} * {n} * {n}')} + {ratio(losses, f'{n} * {m} * {m}')}"
+
+
+WINS = "double(neg_before + neg / 2)"
+LOSSES = "double(pos_before + pos / 2)"
+
+
+def delong_aggregates() -> list[Column]:
+    """`n_pos, n_neg, auc, auc_var` as aggregates over a ranked histogram."""
+    return [
+        F.expr("bigint(sum(pos)) AS n_pos"),
+        F.expr("bigint(sum(neg)) AS n_neg"),
+        F.expr(ratio(f"sum(pos * {WINS})", "double(sum(pos)) * sum(neg)") + " AS auc"),
+        F.expr(_variance(_spread("pos", WINS, WINS), _spread("neg", LOSSES, LOSSES)) + " AS auc_var"),
+    ]
 
 
 def delong_auc(scores: DataFrame, by: Sequence[str], score: str = "p", label: str = "label", splits: Sequence[float] | None = None) -> DataFrame:
     """`(by, n_pos, n_neg, auc, auc_var)`; null where a class is absent."""
     ranked = ranked_histogram(scores, by, score, label, splits)
-    return ranked.groupBy(*by).agg(*[c.alias(name) for name, c in delong_aggregates().items()])
+    return ranked.groupBy(*by).agg(*delong_aggregates())
 
 
 def auc_bounds(auc: Column, variance: Column, level: float = 0.95) -> tuple[Column, Column]:
@@ -178,15 +184,20 @@ def delong_weighted(df: DataFrame, by: Sequence[str], score: str = "p", label: s
         .join(ranks(df.where(F.col(label) == 1), "tx"), [*by, score], "left")
         .join(ranks(df.where(F.col(label) == 0), "ty"), [*by, score], "left")
     )
-    wins = F.when(F.col("pos") > 0, F.col("tz") - F.col("tx")).otherwise(0.0)
-    losses = F.when(F.col("neg") > 0, F.col("tz") - F.col("ty")).otherwise(0.0)
-    w_pos, w_neg, m, n = F.sum("pos_w"), F.sum("neg_w"), F.sum("pos"), F.sum("neg")
-    return merged.groupBy(*by).agg(
-        ratio(F.sum(F.col("pos_w") * wins), w_pos * w_neg).alias("auc"),
-        (
-            ratio(_spread(F.col("pos"), wins, wins), w_neg * w_neg * m)
-            + ratio(_spread(F.col("neg"), losses, losses), w_pos * w_pos * n)
-        ).alias("auc_var"),
+    ranked = merged.selectExpr(
+        *by,
+        "pos",
+        "neg",
+        "pos_w",
+        "neg_w",
+        "if(pos > 0, tz - tx, 0D) AS wins",
+        "if(neg > 0, tz - ty, 0D) AS losses",
+    )
+    won = ratio(_spread("pos", "wins", "wins"), "sum(neg_w) * sum(neg_w) * sum(pos)")
+    lost = ratio(_spread("neg", "losses", "losses"), "sum(pos_w) * sum(pos_w) * sum(neg)")
+    return ranked.groupBy(*by).agg(
+        F.expr(ratio("sum(pos_w * wins)", "sum(pos_w) * sum(neg_w)") + " AS auc"),
+        F.expr(f"{won} + {lost} AS auc_var"),
     )
 
 
@@ -208,24 +219,22 @@ def delong_test(pairs: DataFrame, by: Sequence[str], one: str = "p1", two: str =
         return ranked.select(
             *by,
             score,
-            (F.col("neg_before") + F.col("neg") / 2).cast("double").alias(f"wins{tag}"),
-            (F.col("pos_before") + F.col("pos") / 2).cast("double").alias(f"losses{tag}"),
+            F.expr(WINS).alias(f"wins{tag}"),
+            F.expr(LOSSES).alias(f"losses{tag}"),
         )
 
     placed = cells.join(placements(one, "1"), [*by, one]).join(placements(two, "2"), [*by, two])
-    m, n = F.sum("pos").cast("double"), F.sum("neg").cast("double")
 
-    def covariance(a: str, b: str) -> Column:
-        won = _spread(F.col("pos"), F.col(f"wins{a}"), F.col(f"wins{b}"))
-        lost = _spread(F.col("neg"), F.col(f"losses{a}"), F.col(f"losses{b}"))
-        return ratio(won, m * n * n) + ratio(lost, n * m * m)
+    def covariance(a: str, b: str) -> str:
+        return _variance(_spread("pos", f"wins{a}", f"wins{b}"), _spread("neg", f"losses{a}", f"losses{b}"))
 
+    pairs_of_classes = "double(sum(pos)) * sum(neg)"
     tested = placed.groupBy(*by).agg(
-        ratio(F.sum(F.col("pos") * F.col("wins1")), m * n).alias("auc1"),
-        ratio(F.sum(F.col("pos") * F.col("wins2")), m * n).alias("auc2"),
-        covariance("1", "1").alias("var1"),
-        covariance("2", "2").alias("var2"),
-        covariance("1", "2").alias("cov12"),
+        F.expr(ratio("sum(pos * wins1)", pairs_of_classes) + " AS auc1"),
+        F.expr(ratio("sum(pos * wins2)", pairs_of_classes) + " AS auc2"),
+        F.expr(covariance("1", "1") + " AS var1"),
+        F.expr(covariance("2", "2") + " AS var2"),
+        F.expr(covariance("1", "2") + " AS cov12"),
     )
     spread = F.col("var1") + F.col("var2") - 2 * F.col("cov12")
     z = F.when(spread > 1e-18, F.abs(F.col("auc1") - F.col("auc2")) / F.sqrt(spread))

@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardspan.functions.stats import number
 from wardspan.operators.params import params_table
 from wardspan.operators.scale import local_table, lookup_join
-from wardspan.operators.scoring import linear_term
+from wardspan.operators.scoring import linear_term, quoted
 
 ARMIJO = 1e-4
 HISTORY = 10
@@ -23,25 +25,20 @@ def lr_gradient(df: DataFrame, params: DataFrame, features: Sequence[str], c: fl
     """
     p = len(features)
     joined = lookup_join(df, params.select(by, "w"), [by], "inner")
-    z, y = F.col("_z"), F.col("label").cast("double")
-    scored = joined.select(by, "w", "label", *features, linear_term(features, F.col("w")).alias("_z"))
-    row_loss = F.greatest(z, F.lit(0.0)) - y * z + F.log1p(F.exp(-F.abs(z)))
-    error = 1.0 / (1.0 + F.exp(-z)) - y
+    scored = joined.select(by, "w", "label", *features, F.expr(linear_term(features)).alias("_z"))
+    row_loss = "greatest(_z, 0D) - label * _z + log1p(exp(-abs(_z)))"
+    error = "1D / (1D + exp(-_z)) - label"
     summed = scored.groupBy(by).agg(
         F.first("w").alias("w"),
         F.count("*").alias("n"),
-        F.sum(row_loss).alias("_loss"),
-        *[F.sum(error * F.col(f)).alias(f"_g{i}") for i, f in enumerate(features)],
-        F.sum(error).alias(f"_g{p}"),
+        F.expr(f"sum({row_loss}) AS _loss"),
+        *[F.expr(f"sum(({error}) * {f}) AS _g{i}") for i, f in enumerate(quoted(features))],
+        F.expr(f"sum({error}) AS _g{p}"),
     )
-    weights = F.slice("w", 1, p)
-    penalty = F.aggregate(weights, F.lit(0.0), lambda total, v: total + v * v) / 2
-    gradient = [F.lit(c) * F.col(f"_g{i}") + F.element_at("w", i + 1) for i in range(p)]
-    return summed.select(
-        by,
-        "n",
-        (F.lit(c) * F.col("_loss") + penalty).alias("loss"),
-        F.array(*gradient, F.lit(c) * F.col(f"_g{p}")).alias("gradient"),
+    penalty = f"aggregate(slice(w, 1, {p}), 0D, (total, v) -> total + v * v) / 2"
+    gradient = [f"{number(c)} * _g{i} + element_at(w, {i + 1})" for i in range(p)] + [f"{number(c)} * _g{p}"]
+    return summed.selectExpr(
+        by, "n", f"{number(c)} * _loss + {penalty} AS loss", f"array({', '.join(gradient)}) AS gradient"
     )
 
 
@@ -107,6 +104,7 @@ def lr_local_fit(
     and sites that start a new step share it.
     """
     spark = train.sparkSession
+    train = train.select("site", "label", *features).persist(StorageLevel.MEMORY_AND_DISK)
 
     def evaluate(points: Mapping[str, np.ndarray]) -> dict[str, tuple[float, np.ndarray, int]]:
         rows = [{"site": s, "w": [float(v) for v in w]} for s, w in points.items()]
@@ -133,6 +131,7 @@ def lr_local_fit(
                     d.aim()
             if d.done:
                 del active[site]
+    train.unpersist()
     return params_table(
         spark,
         [

@@ -7,69 +7,65 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardspan.functions.stats import exact_sign_p, log_loss_term, ratio, wilson_bounds
+from wardspan.functions.stats import exact_sign_p, log_loss_term, number, ratio, wilson_bounds
 from wardspan.functions.text import format_auc_ci, format_percent_ci
 from wardspan.operators.curves import auc_bounds, delong_aggregates, ranked_histogram
 from wardspan.operators.scale import lookup_join
 
 GRID = 500
-CELLS = ["tp", "fp", "fn", "tn"]
 COMPANION = {"recall": "precision", "precision": "recall", "f1": "f1"}
 RATES = ["sensitivity", "specificity", "accuracy", "precision", "npv"]
 
 
-def confusion_counts(p: str = "p", label: str = "label", threshold: str = "threshold") -> dict[str, Column]:
-    hit, pos = F.col(p) > F.col(threshold), F.col(label) == 1
-    return {
-        "tp": F.count_if(pos & hit),
-        "fp": F.count_if((F.col(label) == 0) & hit),
-        "fn": F.count_if(pos & ~hit),
-        "tn": F.count_if((F.col(label) == 0) & ~hit),
-    }
+def confusion_counts(p: str = "p", label: str = "label", threshold: str = "threshold") -> list[Column]:
+    hit = f"{p} > {threshold}"
+    return [
+        F.expr(f"count_if({label} = 1 AND {hit}) AS tp"),
+        F.expr(f"count_if({label} = 0 AND {hit}) AS fp"),
+        F.expr(f"count_if({label} = 1 AND NOT {hit}) AS fn"),
+        F.expr(f"count_if({label} = 0 AND NOT {hit}) AS tn"),
+    ]
 
 
 def with_rates(df: DataFrame) -> DataFrame:
     """Rates from the four cells. Sensitivity and precision are 0 where undefined, the others null."""
-    tp, fp, fn, tn = (F.col(c) for c in CELLS)
-    zero = F.lit(0.0)
-    return df.withColumns(
-        {
-            "sensitivity": F.coalesce(ratio(tp, tp + fn), zero),
-            "specificity": ratio(tn, tn + fp),
-            "accuracy": ratio(tp + tn, tp + fp + fn + tn),
-            "precision": F.coalesce(ratio(tp, tp + fp), zero),
-            "npv": ratio(tn, tn + fn),
-        }
-    ).withColumn("f1", ratio(2 * F.col("precision") * F.col("sensitivity"), F.col("precision") + F.col("sensitivity")))
+    rates = {
+        "sensitivity": f"coalesce({ratio('tp', 'tp + fn')}, 0D)",
+        "specificity": ratio("tn", "tn + fp"),
+        "accuracy": ratio("tp + tn", "tp + fp + fn + tn"),
+        "precision": f"coalesce({ratio('tp', 'tp + fp')}, 0D)",
+        "npv": ratio("tn", "tn + fn"),
+    }
+    f1 = ratio("2 * precision * sensitivity", "precision + sensitivity")
+    return df.withColumns({name: F.expr(text) for name, text in rates.items()}).withColumn("f1", F.expr(f1))
 
 
 def confusion(scores: DataFrame, by: Sequence[str], threshold: str = "threshold") -> DataFrame:
     """Cells and rates per group at `p > threshold`."""
     return with_rates(
-        scores.groupBy(*by).agg(*[c.alias(n) for n, c in confusion_counts(threshold=threshold).items()])
+        scores.groupBy(*by).agg(*confusion_counts(threshold=threshold))
     )
 
 
 def log_loss(scores: DataFrame, by: Sequence[str]) -> DataFrame:
     """Mean negative log likelihood with clipped probabilities."""
-    term = F.when(F.col("label") == 1, log_loss_term(F.col("p"), True)).otherwise(log_loss_term(F.col("p"), False))
-    return scores.groupBy(*by).agg(F.avg(term).alias("logloss"), F.count("*").alias("n"))
+    term = f"if(label = 1, {log_loss_term('p', True)}, {log_loss_term('p', False)})"
+    return scores.groupBy(*by).agg(F.expr(f"avg({term}) AS logloss"), F.count("*").alias("n"))
 
 
 def with_intervals(df: DataFrame, level: float = 0.95) -> DataFrame:
     """Wilson bounds of the five rates."""
-    tp, fp, fn, tn = (F.col(c) for c in CELLS)
     parts = {
-        "sensitivity": (tp, tp + fn),
-        "specificity": (tn, tn + fp),
-        "accuracy": (tp + tn, tp + fp + fn + tn),
-        "precision": (tp, tp + fp),
-        "npv": (tn, tn + fn),
+        "sensitivity": ("tp", "tp + fn"),
+        "specificity": ("tn", "tn + fp"),
+        "accuracy": ("tp + tn", "tp + fp + fn + tn"),
+        "precision": ("tp", "tp + fp"),
+        "npv": ("tn", "tn + fn"),
     }
+    bounds = {}
     for name, (hits, n) in parts.items():
-        low, high = wilson_bounds(hits, n, level)
-        df = df.withColumns({f"{name}_lo": low, f"{name}_hi": high})
-    return df
+        bounds[f"{name}_lo"], bounds[f"{name}_hi"] = wilson_bounds(hits, n, level)
+    return df.withColumns(bounds)
 
 
 def sens_spec_ci(scores: DataFrame, by: Sequence[str], level: float = 0.95) -> DataFrame:
@@ -92,37 +88,31 @@ def evaluate_model(scores: DataFrame, thresholds: DataFrame, by: Sequence[str],
     by = list(by)
     ranked = ranked_histogram(scores, by, splits=splits)
     cut = lookup_join(ranked, thresholds.select(*on, "threshold"), list(on))
-    hit = F.col("p") > F.col("threshold")
-    pos, neg = F.col("pos"), F.col("neg")
-    loss = pos * log_loss_term(F.col("p"), True) + neg * log_loss_term(F.col("p"), False)
-    cells = {
-        "tp": F.sum(F.when(hit, pos).otherwise(0)),
-        "fp": F.sum(F.when(hit, neg).otherwise(0)),
-        "fn": F.sum(F.when(~hit, pos).otherwise(0)),
-        "tn": F.sum(F.when(~hit, neg).otherwise(0)),
-    }
+    loss = f"pos * {log_loss_term('p', True)} + neg * {log_loss_term('p', False)}"
     summed = cut.groupBy(*by).agg(
         F.max("threshold").alias("threshold"),
-        *[c.alias(n) for n, c in cells.items()],
-        *[c.alias(n) for n, c in delong_aggregates().items()],
-        ratio(F.sum(loss), F.sum(pos + neg)).alias("logloss"),
-        F.sum(pos + neg).alias("n"),
+        F.expr("sum(if(p > threshold, pos, 0)) AS tp"),
+        F.expr("sum(if(p > threshold, neg, 0)) AS fp"),
+        F.expr("sum(if(p > threshold, 0, pos)) AS fn"),
+        F.expr("sum(if(p > threshold, 0, neg)) AS tn"),
+        *delong_aggregates(),
+        F.expr(ratio(f"sum({loss})", "sum(pos + neg)") + " AS logloss"),
+        F.expr("sum(pos + neg) AS n"),
     )
     low, high = auc_bounds(F.col("auc"), F.col("auc_var"), level)
     return with_intervals(with_rates(summed), level).withColumns({"auc_lo": low, "auc_hi": high})
 
 
-def grid_value(i: Column) -> Column:
+def grid_value(i: str) -> str:
     """Threshold i of the 500 evenly spaced ones from 0 to 1."""
-    return F.when(i >= GRID - 1, 1.0).otherwise(i.cast("double") * F.lit(1.0 / (GRID - 1)))
+    return f"if({i} >= {GRID - 1}, 1D, double({i}) * {number(1.0 / (GRID - 1))})"
 
 
-def thresholds_below(p: Column) -> Column:
+def thresholds_below(p: str) -> Column:
     """How many grid thresholds a score exceeds; the neighbours are compared, so `p > t` holds exactly."""
-    guess = F.ceil(p * (GRID - 1)).cast("int")
-    guess = F.greatest(F.least(guess, F.lit(GRID)), F.lit(0))
-    down = F.when((guess > 0) & (grid_value(guess - 1) >= p), guess - 1).otherwise(guess)
-    return F.when((down < GRID) & (grid_value(down) < p), down + 1).otherwise(down)
+    guess = f"int(greatest(least(ceil({p} * {GRID - 1}), {GRID}), 0))"
+    down = f"if({guess} > 0 AND {grid_value(f'({guess} - 1)')} >= {p}, {guess} - 1, {guess})"
+    return F.expr(f"if(({down}) < {GRID} AND {grid_value(f'({down})')} < {p}, ({down}) + 1, {down})")
 
 
 def threshold_sweep(scores: DataFrame, by: Sequence[str], prevalence: float = 1 / 11) -> DataFrame:
@@ -131,7 +121,7 @@ def threshold_sweep(scores: DataFrame, by: Sequence[str], prevalence: float = 1
     Precision and NPV are adjusted to the cohort's `prevalence`.
     """
     by = list(by)
-    cells = scores.groupBy(*by, thresholds_below(F.col("p")).alias("cell")).agg(
+    cells = scores.groupBy(*by, thresholds_below("p").alias("cell")).agg(
         F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")
     )
     # a score in cell c exceeds thresholds 0 .. c-1
@@ -142,32 +132,24 @@ def threshold_sweep(scores: DataFrame, by: Sequence[str], prevalence: float = 1
     counted = full.select(
         *by,
         F.col("cell").alias("idx"),
-        grid_value(F.col("cell")).alias("threshold"),
+        F.expr(grid_value("cell")).alias("threshold"),
         F.sum("pos").over(upto).alias("fn"),
         F.sum("neg").over(upto).alias("tn"),
         F.sum("pos").over(whole).alias("n_pos"),
         F.sum("neg").over(whole).alias("n_neg"),
     ).where(F.col("idx") < GRID)
-    fn, tn, n_pos, n_neg = (F.col(c) for c in ("fn", "tn", "n_pos", "n_neg"))
-    prev = F.lit(float(prevalence))
+    prev, rest = number(prevalence), number(1 - prevalence)
     rates = counted.withColumns(
         {
-            "recall": F.coalesce(ratio(n_pos - fn, n_pos), F.lit(0.0)),
-            "accuracy": ratio(n_pos - fn + tn, n_pos + n_neg),
-            "specificity": ratio(tn, n_neg),
-        }
-    )
-    recall, specificity = F.col("recall"), F.col("specificity")
-    rates = rates.withColumns(
-        {
-            "precision": ratio(recall * prev, recall * prev + (1 - specificity) * (1 - prev)),
-            "npv": F.when((tn == 0) & (fn == 0), 0.0).otherwise(
-                ratio(specificity * (1 - prev), specificity * (1 - prev) + (1 - recall) * prev)
-            ),
+            "recall": F.expr(f"coalesce({ratio('n_pos - fn', 'n_pos')}, 0D)"),
+            "accuracy": F.expr(ratio("n_pos - fn + tn", "n_pos + n_neg")),
+            "specificity": F.expr(ratio("tn", "n_neg")),
         }
     )
-    precision = F.col("precision")
-    return rates.withColumn("f1", ratio(2 * precision * recall, precision + recall)).select(
+    ppv = ratio(f"recall * {prev}", f"recall * {prev} + (1 - specificity) * {rest}")
+    npv = ratio(f"specificity * {rest}", f"specificity * {rest} + (1 - recall) * {prev}")
+    rates = rates.withColumns({"precision": F.expr(ppv), "npv": F.expr(f"if(tn = 0 AND fn = 0, 0D, {npv})")})
+    return rates.withColumn("f1", F.expr(ratio("2 * precision * recall", "precision + recall"))).select(
         *by, "idx", "threshold", "recall", "accuracy", "specificity", "precision", "npv", "f1"
     )
 

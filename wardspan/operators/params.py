@@ -72,7 +72,7 @@ def fedavg_params(params: DataFrame, by: Sequence[str] = ("model", "round")) ->
     return (
         params.select(*by, "n_train", F.posexplode("w").alias("idx", "v"))
         .groupBy(*by, "idx")
-        .agg(ratio(F.sum(F.col("v") * F.col("n_train")), F.sum("n_train")).alias("value"))
+        .agg(F.expr(ratio("sum(v * n_train)", "sum(n_train)")).alias("value"))
     )
 
 
@@ -87,5 +87,5 @@ def fedavg_vectors(params: DataFrame, by: Sequence[str] = ("model", "round")) ->
 def fedavg_loss(losses: DataFrame, by: Sequence[str] = ("model", "round")) -> DataFrame:
     """Validation loss averaged by validation rows."""
     return losses.groupBy(*by).agg(
-        ratio(F.sum(F.col("logloss") * F.col("n")), F.sum("n")).alias("logloss"), F.sum("n").alias("n")
+        F.expr(ratio("sum(logloss * n)", "sum(n)")).alias("logloss"), F.sum("n").alias("n")
     )

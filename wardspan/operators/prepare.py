@@ -21,17 +21,10 @@ def _overview(df: DataFrame, features: Sequence[str], by: str) -> DataFrame:
     """Counts, range, mean and a bracket around the median, all features in one pass."""
     aggregates = []
     for f in features:
-        x = F.col(f).cast("double")
-        aggregates.append(
-            F.struct(
-                F.lit(f).alias("feature"),
-                F.count(x).alias("n_nonnull"),
-                F.min(x).alias("min"),
-                F.max(x).alias("max"),
-                F.avg(x).alias("mean"),
-                F.percentile_approx(x, [0.499, 0.501], 10_000).alias("near"),
-            ).alias(f)
-        )
+        x = f"double(`{f}`)"
+        near = f"percentile_approx({x}, array(0.499, 0.501), 10000) AS near"
+        row = f"'{f}' AS feature, count({x}) AS n_nonnull, min({x}) AS min, max({x}) AS max, avg({x}) AS mean, {near}"
+        aggregates.append(F.expr(f"struct({row}) AS `{f}`"))
     wide = df.groupBy(by).agg(*aggregates)
     return wide.select(by, F.inline(F.array(*features)))
 
@@ -135,9 +128,8 @@ def site_minmax(stats: DataFrame) -> DataFrame:
 
 
 def _wide(stats: DataFrame, features: Sequence[str], columns: Sequence[str], by: Sequence[str]) -> DataFrame:
-    picked = [
-        F.max(F.when(F.col("feature") == f, F.col(c))).alias(f"_{c}_{f}") for c in columns for f in features
-    ]
+    """One row per group with a column `_<statistic>_<feature>` each."""
+    picked = [F.expr(f"max(if(feature = '{f}', `{c}`, NULL)) AS `_{c}_{f}`") for c in columns for f in features]
     return stats.groupBy(*by).agg(*picked)
 
 
@@ -149,11 +141,20 @@ def _without_helpers(df: DataFrame) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.startswith(("_median_", "_mean_", "_min_", "_max_"))])
 
 
+def filled(f: str, strategy: str = "median") -> str:
+    return f"coalesce(`{f}`, `_{strategy}_{f}`)"
+
+
+def scaled(x: str, f: str) -> str:
+    """(x - min) / (max - min); a constant feature keeps x - min, and nothing is clipped."""
+    low, high = f"`_min_{f}`", f"`_max_{f}`"
+    return f"({x} - {low}) / if({high} = {low}, 1D, {high} - {low})"
+
+
 def impute_site(df: DataFrame, stats: DataFrame, features: Sequence[str], strategy: str = "median", by: str = "site") -> DataFrame:
     """Fill gaps with the site's own median (or mean)."""
     joined = _attach(df, stats, features, [strategy], by)
-    filled = joined.withColumns({f: F.coalesce(F.col(f), F.col(f"_{strategy}_{f}")) for f in features})
-    return _without_helpers(filled)
+    return _without_helpers(joined.withColumns({f: F.expr(filled(f, strategy)) for f in features}))
 
 
 def impute_federated(df: DataFrame, pooled: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -161,28 +162,24 @@ def impute_federated(df: DataFrame, pooled: DataFrame, features: Sequence[str])
     values = pooled.where(F.col("feature").isin(list(features))).withColumn("_all", F.lit(1))
     wide = _wide(values, features, ["median"], ["_all"])
     joined = lookup_join(df.withColumn("_all", F.lit(1)), wide, ["_all"]).drop("_all")
-    return _without_helpers(joined.withColumns({f: F.coalesce(F.col(f), F.col(f"_median_{f}")) for f in features}))
-
-
-def scaled(x: Column, low: Column, high: Column) -> Column:
-    """(x - min) / (max - min); a constant feature keeps x - min, and nothing is clipped."""
-    return (x - low) / F.when(high == low, 1.0).otherwise(high - low)
+    return _without_helpers(joined.withColumns({f: F.expr(filled(f)) for f in features}))
 
 
 def minmax_scale(df: DataFrame, stats: DataFrame, features: Sequence[str], by: str = "site") -> DataFrame:
     joined = _attach(df, stats, features, ["min", "max"], by)
-    return _without_helpers(
-        joined.withColumns({f: scaled(F.col(f), F.col(f"_min_{f}"), F.col(f"_max_{f}")) for f in features})
-    )
+    return _without_helpers(joined.withColumns({f: F.expr(scaled(f"`{f}`", f)) for f in features}))
 
 
 def scale_foreign(df: DataFrame, stats: DataFrame, features: Sequence[str], scale_site: str, by: str = "site") -> DataFrame:
     """Scale with another site's range."""
     donor = stats.where(F.col(by) == scale_site).drop(by).withColumn("_donor", F.lit(scale_site))
-    joined = _attach(df.withColumn("_donor", F.lit(scale_site)), donor, features, ["min", "max"], "_donor")
-    return _without_helpers(
-        joined.withColumns({f: scaled(F.col(f), F.col(f"_min_{f}"), F.col(f"_max_{f}")) for f in features})
-    ).drop("_donor")
+    return minmax_scale(df.withColumn("_donor", F.lit(scale_site)), donor, features, "_donor").drop("_donor")
+
+
+def impute_and_scale(df: DataFrame, stats: DataFrame, features: Sequence[str], by: str = "site") -> DataFrame:
+    """Median imputation and scaling with one lookup."""
+    joined = _attach(df, stats, features, ["median", "min", "max"], by)
+    return _without_helpers(joined.withColumns({f: F.expr(scaled(filled(f), f)) for f in features}))
 
 
 def seeded_hash(key: Column, seed: int | str) -> Column:
@@ -190,12 +187,14 @@ def seeded_hash(key: Column, seed: int | str) -> Column:
     return F.md5(F.concat(key.cast("string"), F.lit(f"|{seed}")))
 
 
-def split_train_test(df: DataFrame, key: str = "encounter_id", test_share: float = 0.2, seed: int = 42) -> DataFrame:
-    """`split` is `test` for a seeded share of the ids (in steps of 1/256), else `train`."""
+def train_or_test(key: Column, test_share: float = 0.2, seed: int = 42) -> Column:
+    """`test` for a seeded share of the ids (in steps of 1/256), else `train`."""
     limit = format(round(test_share * 256), "02x")
-    return df.withColumn(
-        "split", F.when(F.substring(seeded_hash(F.col(key), seed), 1, 2) < limit, "test").otherwise("train")
-    )
+    return F.when(F.substring(seeded_hash(key, seed), 1, 2) < limit, "test").otherwise("train")
+
+
+def split_train_test(df: DataFrame, key: str = "encounter_id", test_share: float = 0.2, seed: int = 42) -> DataFrame:
+    return df.withColumn("split", train_or_test(F.col(key), test_share, seed))
 
 
 def sample_rows(df: DataFrame, n: int, key: str = "encounter_id", seed: int = 42) -> DataFrame:

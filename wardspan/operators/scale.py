@@ -24,11 +24,15 @@ def pin_small(df: DataFrame, name: str = "small", limit: int = SMALL_ROWS) -> tu
     """Evaluate a summary table once.
 
     Up to `limit` rows it becomes a local table that is safe to broadcast; beyond that it is written
-    to the shared folder and the caller has to join it by a shuffle.
+    to the shared folder and the caller has to join it by a shuffle. A table that is local already is
+    returned as it is.
     """
-    rows = df.limit(limit + 1).toArrow()
-    if rows.num_rows <= limit:
-        return df.sparkSession.createDataFrame(rows, df.schema), True
+    if df.isLocal():
+        return df, True
+    rows = df.limit(limit + 1).collect()
+    if len(rows) <= limit:
+        table = pa.Table.from_pylist([row.asDict(recursive=True) for row in rows], to_arrow_schema(df.schema))
+        return df.sparkSession.createDataFrame(table, df.schema), True
     return write_stage(df, name), False
 
 

@@ -16,37 +16,41 @@ from wardspan.operators.scale import local_table, lookup_join, pin_small
 INLINE_TERMS = 128
 
 
-def linear_term(features: Sequence[str], w: Column) -> Column:
-    """w . x + b for a flat vector `[w1..wp, b]`."""
-    total = F.element_at(w, len(features) + 1)
-    for i, f in enumerate(features, start=1):
-        total = total + F.element_at(w, i) * F.col(f)
-    return total
+def quoted(features: Sequence[str]) -> list[str]:
+    return [f"`{f}`" for f in features]
 
 
-def linear_score(features: Sequence[str], w: Column) -> Column:
+def linear_term(features: Sequence[str], w: str = "w") -> str:
+    """w . x + b as SQL text, for a flat vector `[w1..wp, b]` in column `w`.
+
+    Long sums are built as text: one parsed expression instead of a call into the JVM per term.
+    """
+    terms = [f"element_at({w}, {len(features) + 1})"]
+    return " + ".join(terms + [f"element_at({w}, {i}) * {f}" for i, f in enumerate(quoted(features), start=1)])
+
+
+def linear_score(features: Sequence[str], w: str = "w") -> str:
     return logistic(linear_term(features, w))
 
 
-def mlp_score_column(features: Sequence[str], w: Column, hidden: int) -> Column:
-    """One ReLU layer and a sigmoid output.
+def mlp_score(features: Sequence[str], hidden: int, w: str = "w") -> str:
+    """One ReLU layer and a sigmoid output as SQL text.
 
     The flat vector holds, per hidden unit, its input weights and bias, then the output weights and
     bias. Dropout is inactive at scoring.
     """
     p = len(features)
-    out = F.element_at(w, hidden * (p + 1) + hidden + 1)
+    out = [f"element_at({w}, {hidden * (p + 1) + hidden + 1})"]
     for h in range(hidden):
         start = h * (p + 1)
-        z = F.element_at(w, start + p + 1)
-        for i, f in enumerate(features, start=1):
-            z = z + F.element_at(w, start + i) * F.col(f)
-        out = out + F.element_at(w, hidden * (p + 1) + h + 1) * F.greatest(z, F.lit(0.0))
-    return logistic(out)
+        unit = [f"element_at({w}, {start + p + 1})"]
+        unit += [f"element_at({w}, {start + i}) * {f}" for i, f in enumerate(quoted(features), start=1)]
+        out.append(f"element_at({w}, {hidden * (p + 1) + h + 1}) * greatest({' + '.join(unit)}, 0D)")
+    return logistic(" + ".join(out))
 
 
-def model_score(model: str, features: Sequence[str], w: Column, hidden: int = 10) -> Column:
-    return linear_score(features, w) if model == "LR" else mlp_score_column(features, w, hidden)
+def model_score(model: str, features: Sequence[str], hidden: int = 10) -> Column:
+    return F.expr(linear_score(features) if model == "LR" else mlp_score(features, hidden))
 
 
 def _mlp_in_batches(df: DataFrame, params: DataFrame, features: Sequence[str], on: list[str], hidden: int) -> DataFrame:
@@ -54,7 +58,7 @@ def _mlp_in_batches(df: DataFrame, params: DataFrame, features: Sequence[str], o
     pinned, fits = pin_small(params)
     if not fits:
         joined = lookup_join(df, pinned, on, "inner")
-        return joined.withColumn("p", mlp_score_column(features, F.col("w"), hidden)).drop("w")
+        return joined.withColumn("p", model_score("NN", features, hidden)).drop("w")
     rows = pinned.collect()
     weights = [unpack(np.asarray(r["w"], dtype="float64"), len(features), hidden) for r in rows]
     positions = local_table(
@@ -89,7 +93,7 @@ def score_rows(df: DataFrame, params: DataFrame, model: str, features: Sequence[
         scored = _mlp_in_batches(df, params, features, list(on), hidden)
     else:
         joined = lookup_join(df, params, list(on), "inner")
-        scored = joined.withColumn("p", model_score(model, features, F.col("w"), hidden)).drop("w")
+        scored = joined.withColumn("p", model_score(model, features, hidden)).drop("w")
     return scored.drop("_all").withColumnRenamed("p", name)
 
 

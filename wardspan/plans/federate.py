@@ -83,14 +83,25 @@ def _labelled(rows: DataFrame, applied: ScoredModel, settings: RunSettings, name
     return cut.withColumn(name, threshold_label(F.col(f"_p_{name}"), F.col("_cut"))).drop("_cut")
 
 
-def compare_models(rows: DataFrame, one: ScoredModel, two: ScoredModel, settings: RunSettings, column: str, on: str = "label") -> DataFrame:
+def compare_models(
+    rows: DataFrame,
+    one: ScoredModel,
+    two: ScoredModel,
+    settings: RunSettings,
+    column: str,
+    on: str = "label",
+    splits: Sequence[float] | None = None,
+) -> DataFrame:
     """DeLong p value per site and split between two models scored on the same rows in one pass.
 
     As in the published study the 0/1 predictions are compared; `on="score"` compares the scores.
     """
     both = _labelled(_labelled(rows, one, settings, "a"), two, settings, "b")
-    pair = ("a", "b") if on == "label" else ("_p_a", "_p_b")
-    return delong_test(both, KEYS, *pair).select(*KEYS, F.col("p_value").alias(column))
+    if on == "label":
+        tested = delong_test(both, KEYS, "a", "b", splits=())
+    else:
+        tested = delong_test(both, KEYS, "_p_a", "_p_b", splits=splits)
+    return tested.select(*KEYS, F.col("p_value").alias(column))
 
 
 def evaluate_applied(
@@ -100,11 +111,15 @@ def evaluate_applied(
     round_no: int,
     variant: str = "global",
     comparisons: Mapping[str, ScoredModel] | None = None,
+    splits: Sequence[float] | None = None,
 ) -> DataFrame:
     """Metric rows of one model per site and split, with p values against other models."""
     scored = _scored(rows, applied, settings)
-    result = evaluate_model(scored, applied.thresholds, KEYS, ["site"], settings.level)
+    result = evaluate_model(scored, applied.thresholds, KEYS, ["site"], settings.level, splits)
     for column, other in (comparisons or {}).items():
+        if other is applied:
+            result = result.withColumn(column, F.lit(1.0))
+            continue
         result = result.join(compare_models(rows, other, applied, settings, column), KEYS, "left")
     for column in ("p_vs_round1", "p_lr_vs_nn"):
         if column not in result.columns:
@@ -126,13 +141,14 @@ def federated_evaluate(
     round_no: int = 1,
     baseline: ScoredModel | None = None,
     lr_model: ScoredModel | None = None,
+    ranges: Sequence[float] | None = None,
 ) -> DataFrame:
     """Test and validation rows of all fitting sites; the first round and the LR model are the references."""
     inside = rows.where(F.col("split").isin(*EVALUATED))
     comparisons = {"p_vs_round1": baseline or applied}
     if lr_model is not None:
         comparisons["p_lr_vs_nn"] = lr_model
-    return evaluate_applied(inside, applied, settings, round_no, "global", comparisons)
+    return evaluate_applied(inside, applied, settings, round_no, "global", comparisons, ranges)
 
 
 def evaluate_external(
@@ -144,6 +160,7 @@ def evaluate_external(
     round_no: int = 1,
     lr_model: ScoredModel | None = None,
     splits: Sequence[str] = OUTSIDE,
+    ranges: Sequence[float] | None = None,
 ) -> DataFrame:
     """Evaluation-only rows (`external`) and the server's own evaluation (`central`).
 
@@ -153,7 +170,7 @@ def evaluate_external(
     outside = rows.where(F.col("split").isin(*splits))
     applied = ScoredModel(model, params, shared_thresholds(rows, shared_threshold, settings))
     comparisons = {"p_lr_vs_nn": lr_model} if lr_model is not None else None
-    return evaluate_applied(outside, applied, settings, round_no, "global", comparisons)
+    return evaluate_applied(outside, applied, settings, round_no, "global", comparisons, ranges)
 
 
 def shared_thresholds(rows: DataFrame, threshold: float, settings: RunSettings) -> DataFrame:
@@ -193,7 +210,11 @@ def start_vector(model: str, settings: RunSettings) -> list[float]:
 
 
 def personalise(
-    rows: DataFrame, applied: ScoredModel, settings: RunSettings, round_no: int = 1
+    rows: DataFrame,
+    applied: ScoredModel,
+    settings: RunSettings,
+    round_no: int = 1,
+    ranges: Sequence[float] | None = None,
 ) -> tuple[DataFrame, ScoredModel]:
     """Continue training at every site from the global parameters, calibrate again and evaluate.
 
@@ -204,14 +225,18 @@ def personalise(
     tuned = local_fit(rows, applied.model, {s: vector for s in sites}, settings, round_no)
     own = calibrate_sites(rows, applied.model, tuned, settings, per_site=True)
     validation = rows.where(F.col("split") == "validation")
-    result = evaluate_applied(validation, own, settings, round_no, "personalised", {"p_vs_round1": applied})
+    result = evaluate_applied(
+        validation, own, settings, round_no, "personalised", {"p_vs_round1": applied}, ranges
+    )
     return result, own
 
 
-def roc_points(rows: DataFrame, applied: ScoredModel, settings: RunSettings, round_no: int) -> DataFrame:
+def roc_points(
+    rows: DataFrame, applied: ScoredModel, settings: RunSettings, round_no: int, ranges: Sequence[float] | None = None
+) -> DataFrame:
     """ROC points of the evaluation splits, tagged with model and round."""
     judged = rows.where(F.col("split").isin("validation", *OUTSIDE))
-    curve = roc_curve(_scored(judged, applied, settings), KEYS)
+    curve = roc_curve(_scored(judged, applied, settings), KEYS, splits=ranges)
     return curve.withColumns({"model": F.lit(applied.model), "round": F.lit(round_no)})
 
 
@@ -229,7 +254,7 @@ def run_federation(
     sites, then personalised models. Parameters, thresholds and result rows are a few per site and round;
     row-level tables never leave the cluster.
     """
-    rows, run = prepared.rows, Federation()
+    rows, run, ranges = prepared.rows, Federation(), prepared.splits
     sites = [s.name for s in settings.sites if s.fits]
     lr_model: ScoredModel | None = None
     shared = 0.0
@@ -246,20 +271,21 @@ def run_federation(
                 outside_lr = lr_model and ScoredModel(
                     "LR", lr_model.params, shared_thresholds(rows, lr_model_threshold, settings)
                 )
-                outside = evaluate_external(rows, model, averaged, shared, settings, round_no, outside_lr)
+                outside = evaluate_external(rows, model, averaged, shared, settings, round_no, outside_lr, ranges=ranges)
                 run.results.append(pin_small(outside, "results")[0])
 
             applied = calibrate_sites(rows, model, averaged, settings)
             tagged = {"model": F.lit(model), "round": F.lit(round_no)}
             run.thresholds.append(applied.thresholds.withColumns(tagged))
             baseline = baseline or applied
-            result, _ = pin_small(federated_evaluate(rows, applied, settings, round_no, baseline, lr_model), "results")
+            judged = federated_evaluate(rows, applied, settings, round_no, baseline, lr_model, ranges)
+            result, _ = pin_small(judged, "results")
             run.results.append(result)
             run.losses.append(fedavg_loss(result.where("split = 'validation'")))
             if with_personalised:
-                run.results.append(pin_small(personalise(rows, applied, settings, round_no)[0], "results")[0])
+                run.results.append(pin_small(personalise(rows, applied, settings, round_no, ranges)[0], "results")[0])
             if with_roc and round_no in (1, rounds):
-                run.roc.append(write_stage(roc_points(rows, applied, settings, round_no), "roc"))
+                run.roc.append(write_stage(roc_points(rows, applied, settings, round_no, ranges), "roc"))
             shared_before, shared = shared, mean_threshold(applied.thresholds).first()["threshold"]
         run.final[model] = applied
         if model == "LR":
