@@ -613,7 +613,7 @@ def build() -> dict[str, str]:
                  FROM now_rows n JOIN best b1 ON n.site = b1.site JOIN best_q b2 ON n.site = b2.site),
         {evaluated("site, split", "now_rows", "best")},
         {delong_pair("hard", "site, split", "h1", "h2")}
-        SELECT evaluated.*, {r("p_value", "p_vs_round1")}, {tags.format(n=2)} FROM evaluated JOIN pvalues USING (site, split)"""
+        SELECT evaluated.*, {r("p_value", "p_vs_round1")}, {tags.format(n=1)} FROM evaluated JOIN pvalues USING (site, split)"""
     for name, split in (("evaluate_external", "external"), ("central_evaluate", "central")):
         sql[name] = f"""WITH {scored(f"('{split}')")}, cut AS (SELECT 'MIDDLE EAST' AS site, 0.25::DOUBLE AS threshold),
             {evaluated("site, split", "scored", "cut")} SELECT *, {tags.format(n=1)} FROM evaluated"""

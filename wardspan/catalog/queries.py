@@ -552,8 +552,9 @@ def sens_spec_ci(spark, sf):
 
 @query
 def threshold_sweep(spark, sf):
-    swept = metrics.threshold_sweep(_tied(spark, sf, ("test",)), ["site"])
-    auc = curves.delong_auc(_tied(spark, sf, ("test",)), ["site"]).select("site", "auc")
+    scores = _tied(spark, sf, ("test",))
+    swept = metrics.threshold_sweep(scores, ["site"])
+    auc = curves.delong_auc(scores, ["site"]).select("site", "auc")
     return rounded(swept.join(auc, "site"))
 
 
@@ -634,7 +635,7 @@ def init_params(spark, sf):
 
 @query
 def fedavg_params(spark, sf):
-    return rounded(params.fedavg_params(_mean_params(spark, sf)))
+    return rounded(params.fedavg_params(_mean_params(spark, sf)).drop("n_train"))
 
 
 @query
@@ -662,7 +663,7 @@ def lr_gradient_(spark, sf):
 @query
 def lr_local_fit_(spark, sf):
     train = _prepared_store(spark, sf).rows.where(F.col("split") == "train")
-    fitted = lr_local_fit(train, {s: [0.0] * (len(FEATURES) + 1) for s in FIT_SITES}, FEATURES)
+    fitted = lr_local_fit(train.persist(), {(s, 1): [0.0] * (len(FEATURES) + 1) for s in FIT_SITES}, FEATURES)
     return fitted.select("model", "site", "round", "n_train", F.posexplode("w").alias("idx", "value"))
 
 
@@ -673,7 +674,7 @@ def _prepared_store(spark, sf, matched: bool = False) -> Prepared:
 @query
 def mlp_local_fit(spark, sf):
     start = federate.start_vector("NN", SETTINGS)
-    fitted = federate.local_fit(_prepared_store(spark, sf).rows, "NN", {s: start for s in FIT_SITES}, SETTINGS, 1)
+    fitted = federate.local_fit(_prepared(spark, sf), "NN", {(s, 1): start for s in FIT_SITES}, SETTINGS)
     return fitted.select("model", "site", "round", "n_train", F.posexplode("w").alias("idx", "value"))
 
 
@@ -687,9 +688,9 @@ def fedavg_round(spark, sf):
 
 @query
 def personalise(spark, sf):
-    prepared = _prepared_store(spark, sf)
-    applied = federate.calibrate_sites(prepared.rows, "LR", _lr_params(spark), SETTINGS)
-    return federate.personalise(prepared.rows, applied, SETTINGS)[0]
+    rows = _prepared(spark, sf)
+    applied = federate.calibrate_sites(rows, "LR", _lr_params(spark), SETTINGS)
+    return federate.personalise(rows, applied, SETTINGS)[0]
 
 
 @query
@@ -697,13 +698,13 @@ def federated_evaluate(spark, sf):
     rows = _prepared(spark, sf)
     first = federate.calibrate_sites(rows, "LR", federate.fixed_params(spark, "LR", fixed.round_weights("LR", 1)), SETTINGS)
     now = federate.calibrate_sites(rows, "LR", _lr_params(spark), SETTINGS)
-    result = federate.federated_evaluate(rows, now, SETTINGS, 2, baseline=first)
+    result = federate.federated_evaluate(rows, now, SETTINGS, baseline=first.at_round(1))
     return rounded(result.drop("p_lr_vs_nn", "auc_var"))
 
 
 def _outside(spark, sf, split: str) -> DataFrame:
     rows = _prepared(spark, sf)
-    result = federate.evaluate_external(rows, "LR", _lr_params(spark), 0.25, SETTINGS, 1, splits=[split])
+    result = federate.evaluate_external(rows, "LR", _lr_params(spark), {1: 0.25}, SETTINGS, only=[split])
     return rounded(result.drop("p_vs_round1", "p_lr_vs_nn", "auc_var"))
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,18 +17,20 @@ ARMIJO = 1e-4
 HISTORY = 10
 
 
-def lr_gradient(df: DataFrame, params: DataFrame, features: Sequence[str], c: float = 1.0, by: str = "site") -> DataFrame:
-    """Loss and gradient of `|w|^2 / 2 + C * sum of log losses` per site; the intercept is not penalised.
+def lr_gradient(df: DataFrame, params: DataFrame, features: Sequence[str], c: float = 1.0, by: Sequence[str] = ("site",)) -> DataFrame:
+    """Loss and gradient of `|w|^2 / 2 + C * sum of log losses`; the intercept is not penalised.
 
-    One aggregation for all sites, combined inside every task before it shuffles one row per site.
+    `by` names the key of a parameter row, `site` first. A site may have several rows, such as one per
+    round: each of its encounters then counts once for every one of them, in the same pass. Sums are
+    combined inside every task, so one row per key and task is shuffled.
     """
-    p = len(features)
-    joined = lookup_join(df, params.select(by, "w"), [by], "inner")
-    scored = joined.select(by, "w", "label", *features, F.expr(linear_term(features)).alias("_z"))
+    by, p = list(by), len(features)
+    params = params.select(*by, "w")
+    joined = lookup_join(df.select("site", "label", *features), params, ["site"], "inner")
+    scored = joined.select(*by, "label", *features, F.expr(linear_term(features)).alias("_z"))
     row_loss = "greatest(_z, 0D) - label * _z + log1p(exp(-abs(_z)))"
     error = "1D / (1D + exp(-_z)) - label"
-    summed = scored.groupBy(by).agg(
-        F.first("w").alias("w"),
+    summed = scored.groupBy(*by).agg(
         F.count("*").alias("n"),
         F.expr(f"sum({row_loss}) AS _loss"),
         *[F.expr(f"sum(({error}) * {f}) AS _g{i}") for i, f in enumerate(quoted(features))],
@@ -37,8 +38,8 @@ def lr_gradient(df: DataFrame, params: DataFrame, features: Sequence[str], c: fl
     )
     penalty = f"aggregate(slice(w, 1, {p}), 0D, (total, v) -> total + v * v) / 2"
     gradient = [f"{number(c)} * _g{i} + element_at(w, {i + 1})" for i in range(p)] + [f"{number(c)} * _g{p}"]
-    return summed.selectExpr(
-        by, "n", f"{number(c)} * _loss + {penalty} AS loss", f"array({', '.join(gradient)}) AS gradient"
+    return lookup_join(summed, params, by, "inner").selectExpr(
+        *by, "n", f"{number(c)} * _loss + {penalty} AS loss", f"array({', '.join(gradient)}) AS gradient"
     )
 
 
@@ -91,52 +92,50 @@ class _Descent:
 
 def lr_local_fit(
     train: DataFrame,
-    start: Mapping[str, Sequence[float]],
+    start: Mapping[tuple[str, int], Sequence[float]],
     features: Sequence[str],
     iterations: int = 5,
     c: float = 1.0,
     tolerance: float = 1e-6,
-    round_no: int = 1,
 ) -> DataFrame:
-    """A few solver iterations from each site's start vector.
+    """A few solver iterations from each start vector, keyed by site and round.
 
-    Every evaluation is one Spark job that serves all sites; sites that still search along their line
-    and sites that start a new step share it.
+    Every evaluation is one Spark job that serves all sites and rounds; those that still search along
+    their line and those that start a new step share it. Callers keep `train` persisted.
     """
     spark = train.sparkSession
-    train = train.select("site", "label", *features).persist(StorageLevel.MEMORY_AND_DISK)
-
-    def evaluate(points: Mapping[str, np.ndarray]) -> dict[str, tuple[float, np.ndarray, int]]:
-        rows = [{"site": s, "w": [float(v) for v in w]} for s, w in points.items()]
-        table = local_table(spark, rows, "site string, w array<double>")
-        found = lr_gradient(train, table, features, c).collect()
-        return {r["site"]: (r["loss"], np.asarray(r["gradient"]), r["n"]) for r in found}
-
-    descents = {site: _Descent(np.asarray(w, dtype="float64")) for site, w in start.items()}
-    for site, (loss, gradient, n) in evaluate({s: d.w for s, d in descents.items()}).items():
-        descents[site].loss, descents[site].gradient, descents[site].n = loss, gradient, n
-    active = {s: d for s, d in descents.items() if d.n > 0}
-    finished = {s: 0 for s in active}
+    Key = tuple[str, int]
+
+    def evaluate(points: Mapping[Key, np.ndarray]) -> dict[Key, tuple[float, np.ndarray, int]]:
+        rows = [{"site": s, "round": r, "w": w.tolist()} for (s, r), w in points.items()]
+        table = local_table(spark, rows, "site string, round int, w array<double>")
+        found = lr_gradient(train, table, features, c, ("site", "round")).collect()
+        return {(r["site"], r["round"]): (r["loss"], np.asarray(r["gradient"]), r["n"]) for r in found}
+
+    descents = {key: _Descent(np.asarray(w, dtype="float64")) for key, w in start.items()}
+    for key, (loss, gradient, n) in evaluate({k: d.w for k, d in descents.items()}).items():
+        descents[key].loss, descents[key].gradient, descents[key].n = loss, gradient, n
+    active = {k: d for k, d in descents.items() if d.n > 0}
+    finished = dict.fromkeys(active, 0)
     for d in active.values():
         d.aim()
     while active:
-        outcome = evaluate({s: d.trial for s, d in active.items()})
-        for site in list(active):
-            d = active[site]
-            loss, gradient, _ = outcome[site]
+        outcome = evaluate({k: d.trial for k, d in active.items()})
+        for key in list(active):
+            d = active[key]
+            loss, gradient, _ = outcome[key]
             if d.take(loss, gradient):
-                finished[site] += 1
-                d.done = finished[site] >= iterations or np.abs(d.gradient).max() <= tolerance * max(1.0, c * d.n)
+                finished[key] += 1
+                d.done = finished[key] >= iterations or np.abs(d.gradient).max() <= tolerance * max(1.0, c * d.n)
                 if not d.done:
                     d.aim()
             if d.done:
-                del active[site]
-    train.unpersist()
+                del active[key]
     return params_table(
         spark,
         [
-            {"model": "LR", "site": s, "round": round_no, "n_train": int(d.n), "w": d.w.tolist()}
-            for s, d in descents.items()
+            {"model": "LR", "site": s, "round": r, "n_train": int(d.n), "w": d.w.tolist()}
+            for (s, r), d in descents.items()
             if d.n > 0
         ],
     )

@@ -124,20 +124,29 @@ def threshold_sweep(scores: DataFrame, by: Sequence[str], prevalence: float = 1
     cells = scores.groupBy(*by, thresholds_below("p").alias("cell")).agg(
         F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")
     )
-    # a score in cell c exceeds thresholds 0 .. c-1
-    spine = cells.select(*by).distinct().withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(GRID))))
-    full = spine.join(cells, [*by, "cell"], "left").na.fill(0, ["pos", "neg"])
-    upto = Window.partitionBy(*by).orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*by)
-    counted = full.select(
+    # A score in cell c exceeds thresholds 0 .. c-1. Each occupied cell fills the thresholds up to the
+    # next one; the first also those below it, where nothing is rejected yet.
+    in_order = Window.partitionBy(*by).orderBy("cell")
+    upto = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    summed = cells.select(
         *by,
-        F.col("cell").alias("idx"),
-        F.expr(grid_value("cell")).alias("threshold"),
+        "cell",
+        F.lag("cell").over(in_order).isNull().alias("lowest"),
+        F.coalesce(F.lead("cell").over(in_order), F.lit(GRID + 1)).alias("following"),
         F.sum("pos").over(upto).alias("fn"),
         F.sum("neg").over(upto).alias("tn"),
         F.sum("pos").over(whole).alias("n_pos"),
         F.sum("neg").over(whole).alias("n_neg"),
-    ).where(F.col("idx") < GRID)
+    )
+    spread = summed.withColumn("idx", F.expr("explode(sequence(if(lowest, 0, cell), following - 1))"))
+    counted = spread.where(F.col("idx") < GRID).withColumns(
+        {
+            "threshold": F.expr(grid_value("idx")),
+            "fn": F.expr("if(idx < cell, 0, fn)"),
+            "tn": F.expr("if(idx < cell, 0, tn)"),
+        }
+    )
     prev, rest = number(prevalence), number(1 - prevalence)
     rates = counted.withColumns(
         {

@@ -13,7 +13,7 @@ from pyspark.sql.types import StructType
 from wardspan.operators.params import PARAMS_SCHEMA, mlp_forward, pack, unpack
 from wardspan.operators.scale import lookup_join
 
-SHARD_SCHEMA = "site string, shard int, n_train bigint, epochs int, val_auc double, w array<double>"
+SHARD_SCHEMA = "site string, round int, shard int, n_train bigint, epochs int, val_auc double, w array<double>"
 CLIP = 1e-7
 
 
@@ -60,7 +60,7 @@ def train_mlp(x, y, x_val, y_val, w, hidden=10, epochs=50, patience=15, batch=40
 
 def mlp_shard_fit(
     prepared: DataFrame,
-    start: Mapping[str, Sequence[float]],
+    start: Mapping[tuple[str, int], Sequence[float]],
     features: Sequence[str],
     hidden: int = 10,
     epochs: int = 50,
@@ -70,13 +70,14 @@ def mlp_shard_fit(
     seed: int = 20,
     key: str = "encounter_id",
 ) -> DataFrame:
-    """One network per site and shard, trained on the shard's `train` rows and judged on its `test` rows.
+    """One network per start vector and shard, trained on the shard's `train` rows and judged on its
+    `test` rows. Start vectors are keyed by site and round; the rounds of a site share its shards.
 
     A site up to `rows_per_shard` is one shard. A larger site is cut by a hash of the ids, so that no
     task holds more than about that many rows.
     """
     features = list(features)
-    weights = {site: np.asarray(w, dtype="float64") for site, w in start.items()}
+    weights = {key: np.asarray(w, dtype="float64") for key, w in start.items()}
     sizes = prepared.groupBy("site").agg(F.ceil(F.count("*") / rows_per_shard).cast("int").alias("n_shards"))
     sharded = (
         lookup_join(prepared.where(F.col("split").isin("train", "test")), sizes, ["site"])
@@ -89,30 +90,29 @@ def mlp_shard_fit(
         site, shard = str(group["site"].iloc[0]), int(group["shard"].iloc[0])
         fitting = (group["split"] == "train").to_numpy()
         x, y = group[features].to_numpy("float64"), group["label"].to_numpy("float64")
-        if site not in weights or not fitting.any():
-            return pd.DataFrame(columns=["site", "shard", "n_train", "epochs", "val_auc", "w"])
-        w, auc, ran = train_mlp(
-            x[fitting], y[fitting], x[~fitting], y[~fitting], weights[site], hidden, epochs, patience, batch,
-            seed=seed + shard,
-        )
-        return pd.DataFrame(
-            {"site": [site], "shard": [shard], "n_train": [int(fitting.sum())], "epochs": [ran], "val_auc": [auc], "w": [w]}
-        )
+        rows = []
+        for (name, round_no), w in weights.items():
+            if name == site and fitting.any():
+                w, auc, ran = train_mlp(
+                    x[fitting], y[fitting], x[~fitting], y[~fitting], w, hidden, epochs, patience, batch,
+                    seed=seed + shard,
+                )
+                rows.append((site, round_no, shard, int(fitting.sum()), ran, auc, w))
+        return pd.DataFrame(rows, columns=["site", "round", "shard", "n_train", "epochs", "val_auc", "w"])
 
     return sharded.groupBy("site", "shard").applyInPandas(fit, SHARD_SCHEMA)
 
 
-def mlp_local_fit(prepared: DataFrame, start: Mapping[str, Sequence[float]], features: Sequence[str], round_no: int = 1, **options) -> DataFrame:
-    """Parameters per site; the shards of a large site are averaged by their training rows."""
+def mlp_local_fit(prepared: DataFrame, start: Mapping[tuple[str, int], Sequence[float]], features: Sequence[str], **options) -> DataFrame:
+    """Parameters per site and round; the shards of a large site are averaged by their training rows."""
     shards = mlp_shard_fit(prepared, start, features, **options)
     averaged = (
-        shards.select("site", "n_train", F.posexplode("w").alias("idx", "v"))
-        .groupBy("site", "idx")
+        shards.select("site", "round", "n_train", F.posexplode("w").alias("idx", "v"))
+        .groupBy("site", "round", "idx")
         .agg((F.sum(F.col("v") * F.col("n_train")) / F.sum("n_train")).alias("v"), F.sum("n_train").alias("n_train"))
     )
-    vectors = averaged.groupBy("site").agg(
+    vectors = averaged.groupBy("site", "round").agg(
         F.max("n_train").alias("n_train"), F.array_sort(F.collect_list(F.struct("idx", "v"))).alias("packed")
     )
-    columns = [F.lit("NN").alias("model"), "site", F.lit(round_no).alias("round"), "n_train", F.col("packed.v").alias("w")]
+    columns = [F.lit("NN").alias("model"), "site", "round", "n_train", F.col("packed.v").alias("w")]
     return vectors.select(*columns).to(StructType.fromDDL(PARAMS_SCHEMA))
-

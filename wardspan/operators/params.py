@@ -72,16 +72,17 @@ def fedavg_params(params: DataFrame, by: Sequence[str] = ("model", "round")) ->
     return (
         params.select(*by, "n_train", F.posexplode("w").alias("idx", "v"))
         .groupBy(*by, "idx")
-        .agg(F.expr(ratio("sum(v * n_train)", "sum(n_train)")).alias("value"))
+        .agg(F.expr(ratio("sum(v * n_train)", "sum(n_train)")).alias("value"), F.sum("n_train").alias("n_train"))
     )
 
 
 def fedavg_vectors(params: DataFrame, by: Sequence[str] = ("model", "round")) -> DataFrame:
     """The averaged parameters as one `GLOBAL` vector per group; a vector has a few hundred numbers."""
     averaged = fedavg_params(params, by)
-    vectors = averaged.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("v"))
-    rows = params.groupBy(*by).agg(F.sum("n_train").alias("n_train"))
-    return vectors.join(rows, list(by)).select(*by, F.lit(GLOBAL).alias("site"), "n_train", F.col("v.value").alias("w"))
+    vectors = averaged.groupBy(*by).agg(
+        F.max("n_train").alias("n_train"), F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("v")
+    )
+    return vectors.select(*by, F.lit(GLOBAL).alias("site"), "n_train", F.col("v.value").alias("w"))
 
 
 def fedavg_loss(losses: DataFrame, by: Sequence[str] = ("model", "round")) -> DataFrame:
@@ -89,3 +90,9 @@ def fedavg_loss(losses: DataFrame, by: Sequence[str] = ("model", "round")) -> Da
     return losses.groupBy(*by).agg(
         F.expr(ratio("sum(logloss * n)", "sum(n)")).alias("logloss"), F.sum("n").alias("n")
     )
+
+
+def weighted_mean(rows: Sequence) -> list[float]:
+    """The same average for the few parameter rows of one round that the driver already holds."""
+    n = np.array([row["n_train"] for row in rows], dtype="float64")
+    return (np.array([row["w"] for row in rows]).T @ n / n.sum()).tolist()

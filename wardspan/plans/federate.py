@@ -1,11 +1,17 @@
-"""Federated rounds: local fits, weighted averages, evaluation of every site, personalised models."""
+"""Federated rounds: local fits, weighted averages, evaluation of every site, personalised models.
+
+Only the rounds' local fits depend on one another. Evaluation and personalised training of all rounds are
+therefore batched: every encounter is scored with the parameters of all rounds in one pass, with `round`
+as one more grouping column.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +19,7 @@ from wardspan.operators.curves import delong_test, roc_curve
 from wardspan.operators.logistic import lr_local_fit
 from wardspan.operators.metrics import calibrate, evaluate_model, mean_threshold
 from wardspan.operators.network import mlp_local_fit
-from wardspan.operators.params import GLOBAL, fedavg_loss, fedavg_vectors, glorot_weights, lr_size, params_table
+from wardspan.operators.params import GLOBAL, fedavg_loss, glorot_weights, lr_size, params_table, weighted_mean
 from wardspan.operators.report import continue_rounds, round_history
 from wardspan.operators.scale import local_table, lookup_join, pin_small
 from wardspan.operators.scoring import score_rows, threshold_label
@@ -23,24 +29,30 @@ from wardspan.specs import RunSettings
 
 EVALUATED = ("test", "validation")
 OUTSIDE = ("external", "central")
-KEYS = ["site", "split"]
+KEYS = ["site", "split", "round"]
+P_VALUES = ["p_vs_round1", "p_lr_vs_nn"]
 
 
-@dataclass
+@dataclass(frozen=True)
 class ScoredModel:
-    """A model as it is applied: parameters and the thresholds of each site.
-
-    `per_site` tells whether every site has parameters of its own or all share one vector.
-    """
+    """A model as it is applied: parameters keyed by `on`, thresholds keyed by `cut_on`."""
 
     model: str
     params: DataFrame
     thresholds: DataFrame
-    per_site: bool = False
+    on: tuple[str, ...] = ("round",)
+    cut_on: tuple[str, ...] = ("site", "round")
 
-    @property
-    def on(self) -> list[str]:
-        return ["site"] if self.per_site else []
+    def at_round(self, round_no: int) -> ScoredModel:
+        """The model of one round, to be applied to the rows of any round."""
+        here = F.col("round") == round_no
+        return replace(
+            self,
+            params=pin_small(self.params.where(here).drop("round"))[0],
+            thresholds=pin_small(self.thresholds.where(here).drop("round"))[0],
+            on=tuple(c for c in self.on if c != "round"),
+            cut_on=("site",),
+        )
 
 
 @dataclass
@@ -61,15 +73,12 @@ class Federation:
         return continue_rounds(round_history(self.results), lr_rounds)
 
 
-def calibrate_sites(rows: DataFrame, model: str, params: DataFrame, settings: RunSettings, per_site: bool = False) -> ScoredModel:
-    """Every fitting site's threshold on its test rows."""
-    test = rows.where(F.col("split") == "test")
-    on = ["site"] if per_site else []
-    scored = score_rows(test, params, model, settings.features, on, settings.nn_hidden)
-    thresholds = calibrate(
-        scored, ["site"], settings.target_metric, settings.target_value, settings.tolerance, settings.prevalence
-    )
-    return ScoredModel(model, params, pin_small(thresholds, "thresholds")[0], per_site)
+def round_numbers(params: DataFrame) -> list[int]:
+    return sorted(row["round"] for row in params.select("round").distinct().collect())
+
+
+def for_rounds(rows: DataFrame, rounds: Sequence[int]) -> DataFrame:
+    return rows.withColumn("round", F.explode(F.array(*[F.lit(r) for r in rounds])))
 
 
 def _scored(rows: DataFrame, applied: ScoredModel, settings: RunSettings, name: str = "p") -> DataFrame:
@@ -77,12 +86,24 @@ def _scored(rows: DataFrame, applied: ScoredModel, settings: RunSettings, name:
 
 
 def _labelled(rows: DataFrame, applied: ScoredModel, settings: RunSettings, name: str) -> DataFrame:
-    """Add the model's 0/1 prediction, or its score, as `name`."""
+    """Add the model's score as `_p_<name>` and its 0/1 prediction as `name`."""
     scored = _scored(rows, applied, settings, f"_p_{name}")
-    cut = lookup_join(scored, applied.thresholds.select("site", F.col("threshold").alias("_cut")), ["site"])
+    cuts = applied.thresholds.select(*applied.cut_on, F.col("threshold").alias("_cut"))
+    cut = lookup_join(scored, cuts, applied.cut_on)
     return cut.withColumn(name, threshold_label(F.col(f"_p_{name}"), F.col("_cut"))).drop("_cut")
 
 
+def calibrate_sites(rows: DataFrame, model: str, params: DataFrame, settings: RunSettings, per_site: bool = False) -> ScoredModel:
+    """Every fitting site's threshold per round, on its test rows."""
+    on = ("site", "round") if per_site else ("round",)
+    test = for_rounds(rows.where(F.col("split") == "test"), round_numbers(params))
+    scored = score_rows(test, params, model, settings.features, on, settings.nn_hidden)
+    thresholds = calibrate(
+        scored, ["site", "round"], settings.target_metric, settings.target_value, settings.tolerance, settings.prevalence
+    )
+    return ScoredModel(model, params, pin_small(thresholds, "thresholds")[0], on)
+
+
 def compare_models(
     rows: DataFrame,
     one: ScoredModel,
@@ -90,9 +111,9 @@ def compare_models(
     settings: RunSettings,
     column: str,
     on: str = "label",
-    splits: Sequence[float] | None = None,
+    ranges: Sequence[float] | None = None,
 ) -> DataFrame:
-    """DeLong p value per site and split between two models scored on the same rows in one pass.
+    """DeLong p value per site, split and round between two models scored on the same rows.
 
     As in the published study the 0/1 predictions are compared; `on="score"` compares the scores.
     """
@@ -100,7 +121,7 @@ def compare_models(
     if on == "label":
         tested = delong_test(both, KEYS, "a", "b", splits=())
     else:
-        tested = delong_test(both, KEYS, "_p_a", "_p_b", splits=splits)
+        tested = delong_test(both, KEYS, "_p_a", "_p_b", splits=ranges)
     return tested.select(*KEYS, F.col("p_value").alias(column))
 
 
@@ -108,26 +129,24 @@ def evaluate_applied(
     rows: DataFrame,
     applied: ScoredModel,
     settings: RunSettings,
-    round_no: int,
     variant: str = "global",
     comparisons: Mapping[str, ScoredModel] | None = None,
-    splits: Sequence[float] | None = None,
+    ranges: Sequence[float] | None = None,
 ) -> DataFrame:
-    """Metric rows of one model per site and split, with p values against other models."""
+    """Metric rows per site, split and round, with p values against other models.
+
+    `ranges` are known score ranges (see `Prepared.splits`).
+    """
+    rows = for_rounds(rows, round_numbers(applied.params))
     scored = _scored(rows, applied, settings)
-    result = evaluate_model(scored, applied.thresholds, KEYS, ["site"], settings.level, splits)
+    result = evaluate_model(scored, applied.thresholds, KEYS, applied.cut_on, settings.level, ranges)
     for column, other in (comparisons or {}).items():
-        if other is applied:
-            result = result.withColumn(column, F.lit(1.0))
-            continue
         result = result.join(compare_models(rows, other, applied, settings, column), KEYS, "left")
-    for column in ("p_vs_round1", "p_lr_vs_nn"):
-        if column not in result.columns:
-            result = result.withColumn(column, F.lit(None).cast("double"))
+    missing = {c: F.lit(None).cast("double") for c in P_VALUES if c not in result.columns}
     return result.withColumns(
         {
+            **missing,
             "model": F.lit(applied.model),
-            "round": F.lit(round_no),
             "variant": F.lit(variant),
             "target_sensitivity": F.lit(settings.target_value),
         }
@@ -138,56 +157,51 @@ def federated_evaluate(
     rows: DataFrame,
     applied: ScoredModel,
     settings: RunSettings,
-    round_no: int = 1,
     baseline: ScoredModel | None = None,
     lr_model: ScoredModel | None = None,
     ranges: Sequence[float] | None = None,
 ) -> DataFrame:
     """Test and validation rows of all fitting sites; the first round and the LR model are the references."""
-    inside = rows.where(F.col("split").isin(*EVALUATED))
-    comparisons = {"p_vs_round1": baseline or applied}
-    if lr_model is not None:
-        comparisons["p_lr_vs_nn"] = lr_model
-    return evaluate_applied(inside, applied, settings, round_no, "global", comparisons, ranges)
+    comparisons = {"p_vs_round1": baseline, "p_lr_vs_nn": lr_model}
+    given = {column: model for column, model in comparisons.items() if model is not None}
+    return evaluate_applied(rows.where(F.col("split").isin(*EVALUATED)), applied, settings, "global", given, ranges)
 
 
 def evaluate_external(
     rows: DataFrame,
     model: str,
     params: DataFrame,
-    shared_threshold: float,
+    shared: Mapping[int, float],
     settings: RunSettings,
-    round_no: int = 1,
     lr_model: ScoredModel | None = None,
-    splits: Sequence[str] = OUTSIDE,
+    only: Sequence[str] = OUTSIDE,
     ranges: Sequence[float] | None = None,
 ) -> DataFrame:
     """Evaluation-only rows (`external`) and the server's own evaluation (`central`).
 
-    Nothing is calibrated here: the threshold is the mean of the fitting sites' thresholds of the
-    round before.
+    Nothing is calibrated here: `shared` gives each round the mean threshold of the round before.
     """
-    outside = rows.where(F.col("split").isin(*splits))
-    applied = ScoredModel(model, params, shared_thresholds(rows, shared_threshold, settings))
-    comparisons = {"p_lr_vs_nn": lr_model} if lr_model is not None else None
-    return evaluate_applied(outside, applied, settings, round_no, "global", comparisons, ranges)
+    applied = ScoredModel(model, params, shared_thresholds(rows, shared, settings))
+    given = {"p_lr_vs_nn": lr_model} if lr_model is not None else {}
+    return evaluate_applied(rows.where(F.col("split").isin(*only)), applied, settings, "global", given, ranges)
 
 
-def shared_thresholds(rows: DataFrame, threshold: float, settings: RunSettings) -> DataFrame:
-    names = [{"site": s.name, "threshold": float(threshold)} for s in settings.sites if not s.fits]
-    return local_table(rows.sparkSession, names, "site string, threshold double")
+def shared_thresholds(rows: DataFrame, shared: Mapping[int, float], settings: RunSettings) -> DataFrame:
+    """The shared thresholds as rows of the evaluation-only sites."""
+    outside = [s.name for s in settings.sites if not s.fits]
+    cuts = [{"site": s, "round": r, "threshold": float(t)} for s in outside for r, t in shared.items()]
+    return local_table(rows.sparkSession, cuts, "site string, round int, threshold double")
 
 
-def local_fit(rows: DataFrame, model: str, start: Mapping[str, Sequence[float]], settings: RunSettings, round_no: int) -> DataFrame:
-    """Local training of all fitting sites from their start vectors."""
+def local_fit(rows: DataFrame, model: str, start: Mapping[tuple[str, int], Sequence[float]], settings: RunSettings) -> DataFrame:
+    """Local training from start vectors keyed by site and round."""
     if model == "LR":
         train = rows.where(F.col("split") == "train")
-        return lr_local_fit(train, start, settings.features, settings.lr_iterations, settings.lr_c, round_no=round_no)
+        return lr_local_fit(train, start, settings.features, settings.lr_iterations, settings.lr_c)
     fitted = mlp_local_fit(
         rows,
         start,
         settings.features,
-        round_no,
         hidden=settings.nn_hidden,
         epochs=settings.nn_epochs,
         patience=settings.nn_patience,
@@ -197,47 +211,47 @@ def local_fit(rows: DataFrame, model: str, start: Mapping[str, Sequence[float]],
     return pin_small(fitted, "nn-params")[0]
 
 
-def fedavg_round(rows: DataFrame, model: str, start: Mapping[str, Sequence[float]], settings: RunSettings, round_no: int) -> tuple[DataFrame, DataFrame]:
-    """Local fits and their weighted average."""
-    fitted = local_fit(rows, model, start, settings, round_no)
-    return fitted, pin_small(fedavg_vectors(fitted), "global-params")[0]
-
-
 def start_vector(model: str, settings: RunSettings) -> list[float]:
     if model == "LR":
         return [0.0] * lr_size(len(settings.features))
     return glorot_weights(len(settings.features), settings.nn_hidden).tolist()
 
 
-def personalise(
-    rows: DataFrame,
-    applied: ScoredModel,
-    settings: RunSettings,
-    round_no: int = 1,
-    ranges: Sequence[float] | None = None,
-) -> tuple[DataFrame, ScoredModel]:
-    """Continue training at every site from the global parameters, calibrate again and evaluate.
+def fedavg_rounds(rows: DataFrame, model: str, settings: RunSettings, rounds: int) -> tuple[list[DataFrame], DataFrame]:
+    """The training rounds: local fits of all sites in shared jobs, then their weighted average.
+
+    Returns the sites' parameters per round and the averaged vectors of all rounds.
+    """
+    sites = [s.name for s in settings.sites if s.fits]
+    vector, local, averaged = start_vector(model, settings), [], []
+    for round_no in range(1, rounds + 1):
+        fitted = local_fit(rows, model, {(s, round_no): vector for s in sites}, settings)
+        local.append(fitted)
+        found = fitted.collect()
+        vector = weighted_mean(found)
+        n_train = sum(row["n_train"] for row in found)
+        averaged.append({"model": model, "site": GLOBAL, "round": round_no, "n_train": n_train, "w": vector})
+    return local, params_table(rows.sparkSession, averaged)
+
+
+def personalise(rows: DataFrame, applied: ScoredModel, settings: RunSettings, ranges: Sequence[float] | None = None) -> tuple[DataFrame, ScoredModel]:
+    """Continue training at every site from each round's global parameters, calibrate again and evaluate.
 
     The p value in `p_vs_round1` compares with the global model of the same round.
     """
-    vector = applied.params.first()["w"]
     sites = [s.name for s in settings.sites if s.fits]
-    tuned = local_fit(rows, applied.model, {s: vector for s in sites}, settings, round_no)
-    own = calibrate_sites(rows, applied.model, tuned, settings, per_site=True)
+    start = {(s, row["round"]): row["w"] for row in applied.params.collect() for s in sites}
+    own = calibrate_sites(rows, applied.model, local_fit(rows, applied.model, start, settings), settings, per_site=True)
     validation = rows.where(F.col("split") == "validation")
-    result = evaluate_applied(
-        validation, own, settings, round_no, "personalised", {"p_vs_round1": applied}, ranges
-    )
+    result = evaluate_applied(validation, own, settings, "personalised", {"p_vs_round1": applied}, ranges)
     return result, own
 
 
-def roc_points(
-    rows: DataFrame, applied: ScoredModel, settings: RunSettings, round_no: int, ranges: Sequence[float] | None = None
-) -> DataFrame:
-    """ROC points of the evaluation splits, tagged with model and round."""
-    judged = rows.where(F.col("split").isin("validation", *OUTSIDE))
+def roc_points(rows: DataFrame, applied: ScoredModel, settings: RunSettings, rounds: Sequence[int], ranges: Sequence[float] | None = None) -> DataFrame:
+    """ROC points of the evaluation splits for some rounds."""
+    judged = for_rounds(rows.where(F.col("split").isin("validation", *OUTSIDE)), rounds)
     curve = roc_curve(_scored(judged, applied, settings), KEYS, splits=ranges)
-    return curve.withColumns({"model": F.lit(applied.model), "round": F.lit(round_no)})
+    return curve.withColumn("model", F.lit(applied.model))
 
 
 def run_federation(
@@ -247,56 +261,45 @@ def run_federation(
     with_personalised: bool = True,
     with_roc: bool = True,
 ) -> Federation:
-    """All rounds of the LR and then of the NN federation.
+    """All rounds of the LR and then of the NN federation, with their evaluation.
 
-    Per round: local fits of all sites in shared jobs, the weighted average, the external and central
-    evaluation with the mean threshold of the round before, calibration and evaluation of the fitting
-    sites, then personalised models. Parameters, thresholds and result rows are a few per site and round;
-    row-level tables never leave the cluster.
+    An evaluation-only site judges round r at the mean threshold of round r - 1 (0 before the first).
+    Parameters, thresholds and result rows are a few per site and round; row-level tables never leave
+    the cluster. The prepared rows stay persisted while the run reads them.
     """
-    rows, run, ranges = prepared.rows, Federation(), prepared.splits
-    sites = [s.name for s in settings.sites if s.fits]
-    lr_model: ScoredModel | None = None
-    shared = 0.0
+    run, ranges = Federation(), prepared.splits
+    rows = prepared.rows.persist(StorageLevel.MEMORY_AND_DISK)
+    lr_inside = lr_outside = None
     for model in models:
-        vector = start_vector(model, settings)
         rounds = settings.lr_rounds if model == "LR" else settings.nn_rounds
-        baseline = None
-        for round_no in range(1, rounds + 1):
-            fitted, averaged = fedavg_round(rows, model, {s: vector for s in sites}, settings, round_no)
-            run.params += [fitted, averaged]
-            vector = averaged.first()["w"]
-
-            if any(not s.fits for s in settings.sites):
-                outside_lr = lr_model and ScoredModel(
-                    "LR", lr_model.params, shared_thresholds(rows, lr_model_threshold, settings)
-                )
-                outside = evaluate_external(rows, model, averaged, shared, settings, round_no, outside_lr, ranges=ranges)
-                run.results.append(pin_small(outside, "results")[0])
-
-            applied = calibrate_sites(rows, model, averaged, settings)
-            tagged = {"model": F.lit(model), "round": F.lit(round_no)}
-            run.thresholds.append(applied.thresholds.withColumns(tagged))
-            baseline = baseline or applied
-            judged = federated_evaluate(rows, applied, settings, round_no, baseline, lr_model, ranges)
-            result, _ = pin_small(judged, "results")
-            run.results.append(result)
-            run.losses.append(fedavg_loss(result.where("split = 'validation'")))
-            if with_personalised:
-                run.results.append(pin_small(personalise(rows, applied, settings, round_no, ranges)[0], "results")[0])
-            if with_roc and round_no in (1, rounds):
-                run.roc.append(write_stage(roc_points(rows, applied, settings, round_no, ranges), "roc"))
-            shared_before, shared = shared, mean_threshold(applied.thresholds).first()["threshold"]
-        run.final[model] = applied
+        local, averaged = fedavg_rounds(rows, model, settings, rounds)
+        run.params += [*local, averaged]
+
+        applied = calibrate_sites(rows, model, averaged, settings)
+        run.thresholds.append(applied.thresholds.withColumn("model", F.lit(model)))
+        means = {row["round"]: row["threshold"] for row in mean_threshold(applied.thresholds, ["round"]).collect()}
+        shared = {r: means.get(r - 1, 0.0) for r in range(1, rounds + 1)}
+
+        judged = federated_evaluate(rows, applied, settings, applied.at_round(1), lr_inside, ranges)
+        judged, _ = pin_small(judged, "results")
+        run.results.append(judged)
+        run.losses.append(fedavg_loss(judged.where("split = 'validation'")))
+        if any(not s.fits for s in settings.sites):
+            outside = evaluate_external(rows, model, averaged, shared, settings, lr_outside, ranges=ranges)
+            run.results.append(pin_small(outside, "results")[0])
+        if with_personalised:
+            run.results.append(pin_small(personalise(rows, applied, settings, ranges)[0], "results")[0])
+        if with_roc:
+            run.roc.append(write_stage(roc_points(rows, applied, settings, sorted({1, rounds}), ranges), "roc"))
+        run.final[model] = applied.at_round(rounds)
         if model == "LR":
-            lr_model, lr_model_threshold = applied, shared_before
+            lr_inside = run.final[model]
+            cuts = shared_thresholds(rows, {rounds: shared[rounds]}, settings)
+            lr_outside = replace(applied, thresholds=cuts).at_round(rounds)
+    rows.unpersist()
     return run
 
 
-def global_params(params: DataFrame) -> DataFrame:
-    return params.where(F.col("site") == GLOBAL)
-
-
 def fixed_params(spark, model: str, vector: Sequence[float]) -> DataFrame:
     """A given vector as a parameter table."""
     return params_table(spark, [{"model": model, "site": GLOBAL, "round": 1, "n_train": 1, "w": [float(v) for v in vector]}])
