@@ -205,8 +205,9 @@ def aucs(source: str, keys: str, p: str = "p", tag: str = "") -> str:
     return f"""{placements(source, keys, p, tag)},
 auc{tag} AS (
   SELECT {keys}, n_pos, n_neg, auc, var_w / n_pos + var_l / n_neg AS auc_var
-  FROM (SELECT {keys}, count(*) AS n_pos, avg(v) AS auc, var_samp(v) AS var_w FROM wins{tag} GROUP BY ALL)
-  JOIN (SELECT {keys}, count(*) AS n_neg, var_samp(v) AS var_l FROM losses{tag} GROUP BY ALL) USING ({keys}))"""
+  FROM (SELECT {keys}, count(*) FILTER (label = 1) AS n_pos, count(*) FILTER (label = 0) AS n_neg FROM {source} GROUP BY ALL)
+  LEFT JOIN (SELECT {keys}, avg(v) AS auc, var_samp(v) AS var_w FROM wins{tag} GROUP BY ALL) USING ({keys})
+  LEFT JOIN (SELECT {keys}, var_samp(v) AS var_l FROM losses{tag} GROUP BY ALL) USING ({keys}))"""
 
 
 AUC_LO = f"round(auc - {Z}::DOUBLE * sqrt(auc_var), 3)"
@@ -250,8 +251,9 @@ won AS (SELECT {keys}, count(*) AS m, avg(a.v) AS auc1, avg(b.v) AS auc2, var_sa
 lost AS (SELECT {keys}, count(*) AS n, var_samp(a.v - b.v) AS vl FROM losses1 a JOIN losses2 b {join} GROUP BY ALL),
 tested AS (
   SELECT {keys}, auc1, auc2, CASE WHEN vw / m + vl / n > 1e-18 THEN abs(auc1 - auc2) / sqrt(vw / m + vl / n) END AS z
-  FROM won JOIN lost USING ({keys})),
-pvalues AS (SELECT *, CASE WHEN z IS NULL THEN 1::DOUBLE ELSE {NORMAL_P.format(x="(z / sqrt(2))")} END AS p_value FROM tested)"""
+         , vw / m + vl / n AS spread
+  FROM (SELECT DISTINCT {keys} FROM {source}) LEFT JOIN won USING ({keys}) LEFT JOIN lost USING ({keys})),
+pvalues AS (SELECT *, CASE WHEN spread IS NULL THEN NULL WHEN z IS NULL THEN 1::DOUBLE ELSE {NORMAL_P.format(x="(z / sqrt(2))")} END AS p_value FROM tested)"""
 
 
 EVALUATED = f"""metric_rows AS (
@@ -358,9 +360,10 @@ summed AS (
          lead(pos) OVER w AS pos2, lead(neg) OVER w AS neg2, row_number() OVER w AS rn
   FROM points WINDOW w AS (PARTITION BY {keys} ORDER BY p DESC)),
 roc AS (
-  SELECT {keys}, row_number() OVER (PARTITION BY {keys} ORDER BY p DESC) AS idx, p AS threshold, cn / nn::DOUBLE AS fpr, cp / np::DOUBLE AS tpr
+  SELECT {keys}, row_number() OVER (PARTITION BY {keys} ORDER BY p DESC) AS idx, p AS threshold, cn / nullif(nn, 0)::DOUBLE AS fpr, cp / nullif(np, 0)::DOUBLE AS tpr
   FROM summed WHERE rn = 1 OR pos2 IS NULL OR pos2 <> pos OR neg2 <> neg
-  UNION ALL SELECT DISTINCT {keys}, 0, NULL::DOUBLE, 0::DOUBLE, 0::DOUBLE FROM points)"""
+  UNION ALL SELECT {keys}, 0, NULL::DOUBLE, CASE WHEN sum(neg) > 0 THEN 0::DOUBLE END, CASE WHEN sum(pos) > 0 THEN 0::DOUBLE END
+  FROM points GROUP BY {keys})"""
 
 
 def round_roc() -> str:

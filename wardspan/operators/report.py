@@ -28,11 +28,11 @@ def continue_rounds(results: DataFrame, lr_rounds: int) -> DataFrame:
 
 
 def round_history(parts: Sequence[DataFrame]) -> DataFrame:
-    """All streams of all rounds in one table; sites without a stream's values are left out."""
+    """All streams of all rounds in one table. A site that only evaluates has no rows in the other streams."""
     history = parts[0]
     for part in parts[1:]:
         history = history.unionByName(part, allowMissingColumns=True)
-    return history.where(F.col("auc").isNotNull())
+    return history
 
 
 def first_last_round(results: DataFrame, by: Sequence[str] = ("site", "model", "variant")) -> DataFrame:
