@@ -541,7 +541,7 @@ def build() -> dict[str, str]:
                   FROM pw JOIN tz USING (site, split, encounter_id) JOIN tx USING (site, split, encounter_id) JOIN tot USING (site, split) GROUP BY site, split),
             b AS (SELECT site, split, var_samp(1 - (tz.midrank - ty.midrank) / w1) / count(*) AS v
                   FROM nw JOIN tz USING (site, split, encounter_id) JOIN ty USING (site, split, encounter_id) JOIN tot USING (site, split) GROUP BY site, split)
-            SELECT site, split, {r("auc", "auc", 8)}, {r("a.v + b.v", "auc_var", 8)} FROM a JOIN b USING (site, split)""",
+            SELECT site, split, {r("auc", "auc", 8)}, {r("a.v + b.v", "auc_var", 8)} FROM tot LEFT JOIN a USING (site, split) LEFT JOIN b USING (site, split)""",
         "roc_curve": f"WITH {tied()}, {roc('tied', 'site, split')} SELECT site, split, idx, {rounds(['threshold', 'fpr', 'tpr'])} FROM roc",
         "delong_auc": f"WITH {tied()}, {aucs('tied', 'site, split')} SELECT site, split, n_pos, n_neg, {rounds(['auc', 'auc_var'], 8)} FROM auc",
         "auc_ci": f"""WITH {tied()}, {aucs("tied", "site, split")}

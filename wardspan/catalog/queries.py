@@ -13,7 +13,7 @@ from wardspan.functions.stats import wilson_bounds
 from wardspan.functions.text import coerce_numeric, format_auc_ci, format_percent_ci, parse_ci, strip_censor
 from wardspan.operators import curves, explain, filters, harmonise, matching, metrics, params, prepare, report
 from wardspan.operators.logistic import lr_gradient, lr_local_fit
-from wardspan.operators.scale import local_table
+from wardspan.operators.scale import local_table, pin_small
 from wardspan.operators.scoring import score_rows, threshold_label
 from wardspan.plans import cohorts, federate
 from wardspan.plans.cohorts import Prepared
@@ -284,6 +284,12 @@ def _training(spark, sf) -> DataFrame:
     return cohorts.training_rows(encounters(spark, sf), SETTINGS)
 
 
+def _training_people(spark, sf) -> DataFrame:
+    """Training rows without features, written once for queries that read them several times."""
+    columns = ["encounter_id", "site", "gender", "ethnicity", "age", "label", "arrival_ts"]
+    return write_stage(_training(spark, sf).select(*columns), "training")
+
+
 @query
 def case_cohort(spark, sf):
     return filters.case_cohort(_training(spark, sf)).select("encounter_id", "site", "age", "gender", "ethnicity")
@@ -296,20 +302,20 @@ def control_cohort(spark, sf):
 
 @query
 def cohort_union(spark, sf):
-    rows = _training(spark, sf)
+    rows = _training_people(spark, sf)
     both = filters.cohort_union(filters.case_cohort(rows), filters.control_cohort(rows, CONTROL_BEFORE))
     return both.groupBy("site", "label").agg(F.count("*").alias("n"))
 
 
 @query
 def match_candidates(spark, sf):
-    rows = _training(spark, sf)
+    rows = _training_people(spark, sf)
     found = matching.match_candidates(filters.case_cohort(rows), filters.control_cohort(rows, CONTROL_BEFORE))
     return found.select("case_id", "site", "n_candidates")
 
 
 def _matched(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
-    rows = _training(spark, sf).select("encounter_id", "site", "gender", "ethnicity", "age", "label", "arrival_ts")
+    rows = _training_people(spark, sf)
     cases, controls = filters.case_cohort(rows), filters.control_cohort(rows, CONTROL_BEFORE)
     return cases, controls, matching.match_controls(cases, controls, SETTINGS.match_ratio)
 
@@ -754,7 +760,7 @@ def _history(spark, sf) -> DataFrame:
     shared = metrics.mean_threshold(thresholds, ["model", "variant", "round"])
     central = scores.where(F.col("split") == "central")
     outside = metrics.evaluate_model(central, shared, [*SERIES, "split"], ["model", "variant", "round"])
-    return report.round_history([inside, outside])
+    return pin_small(report.round_history([inside, outside]), "results")[0]
 
 
 @query

@@ -50,16 +50,21 @@ def recode(column: Column, mapping: Mapping[str, object], keep_unmapped: bool =
 
 
 def format_percent_ci(point: Column, low: Column, high: Column) -> Column:
-    """`85.0% (80.1 - 89.2)` from proportions; the bounds are rounded to 3 digits, then shown in percent."""
+    """`85.0% (80.1 - 89.2)` from proportions; the bounds are rounded to 3 digits, then shown in percent.
+
+    Without bounds there is no text.
+    """
     shown = [F.round(point * 100, 1), F.round(F.round(low, 3) * 100, 1), F.round(F.round(high, 3) * 100, 1)]
-    return F.format_string("%.1f%% (%.1f - %.1f)", *shown)
+    complete = point.isNotNull() & low.isNotNull() & high.isNotNull()
+    return F.when(complete, F.format_string("%.1f%% (%.1f - %.1f)", *shown))
 
 
 def format_auc_ci(auc: Column, low: Column, high: Column) -> Column:
     """`0.9 (0.88 - 0.92)`: three digits at most, trailing zeros dropped."""
 
     def short(value: Column) -> Column:
-        return F.regexp_replace(F.format_string("%.3f", F.round(value, 3)), r"(\.\d+?)0+$", "$1")
+        text = F.when(value.isNotNull(), F.format_string("%.3f", F.round(value, 3)))
+        return F.regexp_replace(text, r"(\.\d+?)0+$", "$1")
 
     return F.concat(short(auc), F.lit(" ("), short(low), F.lit(" - "), short(high), F.lit(")"))
 

@@ -156,8 +156,8 @@ def delong_auc(scores: DataFrame, by: Sequence[str], score: str = "p", label: st
 
 
 def auc_bounds(auc: Column, variance: Column, level: float = 0.95) -> tuple[Column, Column]:
-    """Normal interval of an AUC, to three digits."""
-    half = F.lit(normal_quantile(level)) * F.sqrt(F.greatest(variance, F.lit(0.0)))
+    """Normal interval of an AUC, to three digits; null without a variance."""
+    half = F.lit(normal_quantile(level)) * F.sqrt(F.when(variance < 0, 0.0).otherwise(variance))
     return F.round(auc - half, 3), F.round(auc + half, 3)
 
 

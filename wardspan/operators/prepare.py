@@ -158,11 +158,10 @@ def impute_site(df: DataFrame, stats: DataFrame, features: Sequence[str], strate
 
 
 def impute_federated(df: DataFrame, pooled: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Fill gaps with the mean of the fitting sites' medians."""
-    values = pooled.where(F.col("feature").isin(list(features))).withColumn("_all", F.lit(1))
-    wide = _wide(values, features, ["median"], ["_all"])
-    joined = lookup_join(df.withColumn("_all", F.lit(1)), wide, ["_all"]).drop("_all")
-    return _without_helpers(joined.withColumns({f: F.expr(filled(f)) for f in features}))
+    """Fill gaps with the mean of the fitting sites' medians, one number per feature."""
+    known = {row["feature"]: row["median"] for row in pooled.collect()}
+    filling = [f for f in features if known.get(f) is not None]
+    return df.withColumns({f: F.coalesce(F.col(f), F.lit(known[f])) for f in filling})
 
 
 def minmax_scale(df: DataFrame, stats: DataFrame, features: Sequence[str], by: str = "site") -> DataFrame:
@@ -171,9 +170,12 @@ def minmax_scale(df: DataFrame, stats: DataFrame, features: Sequence[str], by: s
 
 
 def scale_foreign(df: DataFrame, stats: DataFrame, features: Sequence[str], scale_site: str, by: str = "site") -> DataFrame:
-    """Scale with another site's range."""
-    donor = stats.where(F.col(by) == scale_site).drop(by).withColumn("_donor", F.lit(scale_site))
-    return minmax_scale(df.withColumn("_donor", F.lit(scale_site)), donor, features, "_donor").drop("_donor")
+    """Scale with another site's range, two numbers per feature."""
+    donor = {row["feature"]: row for row in stats.where(F.col(by) == scale_site).collect()}
+    ranges = {f: (donor[f]["min"], donor[f]["max"]) for f in features if donor[f]["min"] is not None}
+    return df.withColumns(
+        {f: (F.col(f) - low) / F.lit(high - low if high != low else 1.0) for f, (low, high) in ranges.items()}
+    )
 
 
 def impute_and_scale(df: DataFrame, stats: DataFrame, features: Sequence[str], by: str = "site") -> DataFrame:

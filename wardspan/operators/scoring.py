@@ -8,9 +8,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from wardspan.functions.stats import logistic
-from wardspan.operators.params import mlp_forward, unpack
+from wardspan.functions.stats import logistic, number
+from wardspan.operators.params import lr_size, mlp_forward, mlp_size, unpack
 from wardspan.operators.scale import local_table, lookup_join, pin_small
 
 INLINE_TERMS = 128
@@ -20,41 +21,51 @@ def quoted(features: Sequence[str]) -> list[str]:
     return [f"`{f}`" for f in features]
 
 
-def linear_term(features: Sequence[str], w: str = "w") -> str:
-    """w . x + b as SQL text, for a flat vector `[w1..wp, b]` in column `w`.
+def weight_terms(n: int, w: Sequence[float] | None = None) -> list[str]:
+    """SQL text of n weights: literals of a given vector, else the entries of column `w`."""
+    return [f"element_at(w, {i})" for i in range(1, n + 1)] if w is None else [f"({number(v)})" for v in w]
+
+
+def linear_term(features: Sequence[str], w: Sequence[float] | None = None) -> str:
+    """w . x + b as SQL text, for a flat vector `[w1..wp, b]`.
 
     Long sums are built as text: one parsed expression instead of a call into the JVM per term.
     """
-    terms = [f"element_at({w}, {len(features) + 1})"]
-    return " + ".join(terms + [f"element_at({w}, {i}) * {f}" for i, f in enumerate(quoted(features), start=1)])
+    return _weighted_sum(features, weight_terms(lr_size(len(features)), w))
 
 
-def linear_score(features: Sequence[str], w: str = "w") -> str:
-    return logistic(linear_term(features, w))
+def _weighted_sum(features: Sequence[str], weights: Sequence[str]) -> str:
+    products = [f"{v} * {f}" for v, f in zip(weights, quoted(features), strict=False)]
+    return " + ".join([weights[len(features)], *products])
 
 
-def mlp_score(features: Sequence[str], hidden: int, w: str = "w") -> str:
-    """One ReLU layer and a sigmoid output as SQL text.
+def mlp_term(features: Sequence[str], hidden: int, w: Sequence[float] | None = None) -> str:
+    """Output of one ReLU layer before the sigmoid, as SQL text.
 
     The flat vector holds, per hidden unit, its input weights and bias, then the output weights and
     bias. Dropout is inactive at scoring.
     """
-    p = len(features)
-    out = [f"element_at({w}, {hidden * (p + 1) + hidden + 1})"]
-    for h in range(hidden):
-        start = h * (p + 1)
-        unit = [f"element_at({w}, {start + p + 1})"]
-        unit += [f"element_at({w}, {start + i}) * {f}" for i, f in enumerate(quoted(features), start=1)]
-        out.append(f"element_at({w}, {hidden * (p + 1) + h + 1}) * greatest({' + '.join(unit)}, 0D)")
-    return logistic(" + ".join(out))
+    size = len(features) + 1
+    weights = weight_terms(mlp_size(len(features), hidden), w)
+    units = [_weighted_sum(features, weights[h * size : (h + 1) * size]) for h in range(hidden)]
+    last = weights[hidden * size :]
+    return " + ".join([last[-1], *[f"{v} * greatest({u}, 0D)" for v, u in zip(last, units, strict=False)]])
 
 
-def model_score(model: str, features: Sequence[str], hidden: int = 10) -> Column:
-    return F.expr(linear_score(features) if model == "LR" else mlp_score(features, hidden))
+def model_score(model: str, features: Sequence[str], hidden: int = 10, w: Sequence[float] | None = None) -> Column:
+    return F.expr(logistic(linear_term(features, w) if model == "LR" else mlp_term(features, hidden, w)))
 
 
 def _mlp_in_batches(df: DataFrame, params: DataFrame, features: Sequence[str], on: list[str], hidden: int) -> DataFrame:
     """Matrix products on Arrow batches; every task gets the checked, small set of weight vectors."""
+    if not on:
+        one = unpack(np.asarray(params.first()["w"], dtype="float64"), len(features), hidden)
+
+        @F.pandas_udf(T.DoubleType())
+        def forward_one(x: pd.DataFrame) -> pd.Series:
+            return pd.Series(mlp_forward(x.to_numpy("float64"), one)[1])
+
+        return df.withColumn("p", forward_one(F.struct(*features)))
     pinned, fits = pin_small(params)
     if not fits:
         joined = lookup_join(df, pinned, on, "inner")
@@ -67,7 +78,7 @@ def _mlp_in_batches(df: DataFrame, params: DataFrame, features: Sequence[str], o
         ", ".join([*[f"`{c}` {pinned.schema[c].dataType.simpleString()}" for c in on], "_row int"]),
     )
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def forward(row: pd.Series, x: pd.DataFrame) -> pd.Series:
         inputs, which = x.to_numpy("float64"), row.to_numpy()
         p = np.empty(len(row))
@@ -86,15 +97,16 @@ def score_rows(df: DataFrame, params: DataFrame, model: str, features: Sequence[
     Wide networks are scored on Arrow batches, because their unrolled expression would outgrow what the
     JVM compiles.
     """
-    if not on:
-        df, params, on = df.withColumn("_all", F.lit(1)), params.withColumn("_all", F.lit(1)), ["_all"]
     params = params.select(*on, "w")
-    if model != "LR" and len(features) * hidden > INLINE_TERMS:
+    in_batches = model != "LR" and len(features) * hidden > INLINE_TERMS
+    if not on and not in_batches:
+        scored = df.withColumn("p", model_score(model, features, hidden, params.first()["w"]))
+    elif in_batches:
         scored = _mlp_in_batches(df, params, features, list(on), hidden)
     else:
         joined = lookup_join(df, params, list(on), "inner")
         scored = joined.withColumn("p", model_score(model, features, hidden)).drop("w")
-    return scored.drop("_all").withColumnRenamed("p", name)
+    return scored.withColumnRenamed("p", name)
 
 
 def threshold_label(p: Column, threshold: Column) -> Column:
