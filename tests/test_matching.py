@@ -71,6 +71,27 @@ def test_ranges_and_partitions_do_not_matter(spark):
     assert expected == found(match_controls(cases.repartition(7), controls.repartition(13), 3, rows_per_bucket=40))
 
 
+def test_lists_cut_too_short_are_written_whole(spark, monkeypatch):
+    """Shares that keep next to nothing make every list fall short of its reach."""
+    from wardspan.operators import matching
+
+    cases, controls = frames(spark, 3, 15, 1_500, WHOLE)
+    whole_classes = matching._classes
+    monkeypatch.setattr(matching, "_classes", lambda *a: whole_classes(*a).withColumn("share", F.col("share") * 0 + 0.001))
+    assert found(match_controls(cases, controls, 2)) == sequential(cases, controls, 2)
+
+
+def test_unreachable_controls_are_not_listed(spark):
+    from wardspan.operators import matching
+
+    cases, controls = frames(spark, 3, 15, 1_500, np.array([40.0, 41.0]))
+    cases, controls = (f.na.drop() for f in (cases, controls))
+    right = controls.withColumnRenamed("encounter_id", "control_id")
+    classes = matching._classes(cases, right, list(STRATA), "age", 2, 4.0)
+    assert matching._lists(classes, right, list(STRATA), "age", 4.0, 0).count() < 0.5 * controls.count() * 2
+    assert classes.where("share is not null").count() > 0
+
+
 def test_band_is_strict_and_missing_values_never_match(spark):
     cases = spark.createDataFrame([("A", "F", "White", 40.0, 1), ("A", None, "White", 40.0, 2), ("A", "F", "White", None, 3)], SCHEMA)
     ages = [36.0, 36.01, 43.99, 44.0, None]

@@ -15,14 +15,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from wardspan.operators.scale import ROWS_PER_BUCKET, SMALL_ROWS, lookup_join, pin_small, range_splits, running_totals
-from wardspan.session import write_stage
+from wardspan.operators.scale import (
+    MAX_BUCKETS,
+    ROWS_PER_BUCKET,
+    lookup_join,
+    pin_small,
+    range_splits,
+    running_totals,
+)
+from wardspan.session import new_stage_path, write_stage
 
 STRATA = ("site", "gender", "ethnicity")
 HASH_SPAN = 2.0**64
+BROADCAST_CASES = 1_000_000
 
 
 def _eligible(df: DataFrame, strata: Sequence[str], age: str) -> DataFrame:
@@ -40,6 +48,22 @@ def in_band(age: str, case_age: str, band: float):
     return (F.col(age) < F.col(case_age) + band) & (F.col(age) > F.col(case_age) - band)
 
 
+def _list_sizes(classes: DataFrame, controls: DataFrame, strata: list[str], age: str, band: float) -> DataFrame:
+    """Controls in the band of every class, from counts by stratum and age; no pair is made."""
+    ages = (
+        controls.groupBy(*strata, F.col(age).alias("control_age"))
+        .agg(F.count("*").alias("n_controls"))
+        .withColumn("age_year", F.floor("control_age").cast("int"))
+    )
+    return (
+        _band_buckets(classes, strata, band)
+        .join(ages, [*strata, "age_year"])
+        .where(in_band("control_age", "case_age", band))
+        .groupBy(*strata, "case_age")
+        .agg(F.sum("n_controls").alias("n_candidates"))
+    )
+
+
 def match_candidates(
     cases: DataFrame,
     controls: DataFrame,
@@ -53,32 +77,20 @@ def match_candidates(
     Both sides are counted by stratum and age before they meet, so no case-control pair is made.
     """
     strata = list(strata)
-    classes = (
-        _eligible(cases, strata, age).groupBy(*strata, F.col(age).alias("case_age")).agg(F.count("*").alias("n_cases"))
-    )
-    ages = (
-        _eligible(controls, strata, age)
-        .groupBy(*strata, F.col(age).alias("control_age"))
-        .agg(F.count("*").alias("n_controls"))
-        .withColumn("age_year", F.floor("control_age").cast("int"))
-    )
-    sizes = (
-        _band_buckets(classes, strata, band)
-        .join(ages, [*strata, "age_year"])
-        .where(in_band("control_age", "case_age", band))
-        .groupBy(*strata, "case_age")
-        .agg(F.sum("n_controls").alias("n_candidates"))
-    )
+    classes = _eligible(cases, strata, age).select(*strata, F.col(age).alias("case_age")).distinct()
+    sizes = _list_sizes(classes, _eligible(controls, strata, age), strata, age, band)
     keyed = cases.select(F.col(case_id).alias("case_id"), *strata, F.col(age).alias("case_age"))
     return lookup_join(keyed, sizes, [*strata, "case_age"]).withColumn(
         "n_candidates", F.coalesce("n_candidates", F.lit(0))
     )
 
 
-def _classes(cases: DataFrame, strata: list[str], age: str, k: int, band: float) -> DataFrame:
-    """One row per stratum and case age, with the longest list prefix its cases can ever reach.
+def _classes(cases: DataFrame, controls: DataFrame, strata: list[str], age: str, k: int, band: float) -> DataFrame:
+    """One row per stratum and case age that has any candidate.
 
-    A class passes only over controls that it or a class with an overlapping band takes.
+    `reach` is the longest list prefix its cases can ever see: a class passes only over controls that it
+    or a class with an overlapping band takes. `share` is the part of the hash range that holds so many
+    of its controls with room to spare, null where that is all of them.
     """
     sizes = cases.groupBy(*strata, F.col(age).alias("case_age")).agg(F.count("*").alias("capacity"))
     sizes, _ = pin_small(sizes, "match-sizes")
@@ -88,27 +100,44 @@ def _classes(cases: DataFrame, strata: list[str], age: str, k: int, band: float)
         .where(F.abs(F.col("_age") - F.col("case_age")) < 2 * band)
         .groupBy(*strata, "case_age", "capacity")
         .agg((F.sum("_capacity") * k).alias("reach"))
-        .withColumn("class_id", F.monotonically_increasing_id())
     )
-    return pin_small(reach, "match-classes")[0]
+    listed = _list_sizes(sizes, controls, strata, age, band)
+    share = (F.col("reach") * 1.2 + 6 * F.sqrt("reach") + 50) / F.col("n_candidates")
+    classes = reach.join(listed, [*strata, "case_age"]).withColumn("share", F.when(share < 1, share))
+    return pin_small(classes.withColumn("class_id", F.monotonically_increasing_id()), "match-classes")[0]
 
 
-def _shorten(listed: DataFrame) -> DataFrame:
-    """Drop the tail of each list that cannot be reached.
+def _lists(classes: DataFrame, controls: DataFrame, strata: list[str], age: str, band: float, seed: int) -> DataFrame:
+    """The classes' shuffled lists as rows `(control_id, class_id, capacity, pref)`.
 
-    The cut is made on the hash alone, a little beyond the expected position; a class keeps its whole
-    list where the kept part turns out shorter than its reach.
+    A control is listed once per class whose band covers its age: up to seven times for ages in whole
+    years. The end of a list that nobody can reach is cut off by its hash before it is written.
     """
-    share = (F.col("reach") * 1.2 + 6 * F.sqrt("reach") + 50) / F.col("listed")
-    inside = (F.col("pref").cast("double") + HASH_SPAN / 2) / HASH_SPAN < F.col("share")
-    sizes = listed.groupBy("class_id", "reach").agg(F.count("*").alias("listed")).withColumn("share", share)
-    sizes, _ = pin_small(sizes.where("share < 1").drop("listed", "reach"), "match-cuts")
-    marked = lookup_join(listed, sizes, ["class_id"]).withColumn("inside", F.col("share").isNull() | inside)
-    kept = marked.where("inside and share is not null").groupBy("class_id", "reach").agg(F.count("*").alias("kept"))
-    sound = kept.where("kept >= reach").select("class_id", F.lit(True).alias("sound"))
-    return lookup_join(marked, sound, ["class_id"]).where(F.col("inside") | F.col("sound").isNull()).drop(
-        "share", "inside", "sound"
-    )
+    listed = lookup_join(
+        controls.withColumn("age_year", F.floor(age).cast("int")),
+        _band_buckets(classes, strata, band),
+        [*strata, "age_year"],
+        "inner",
+    ).where(in_band(age, "case_age", band))
+    hashed = listed.withColumn("pref", F.xxhash64(*strata, "case_age", "control_id", F.lit(seed)))
+    place = F.col("pref").cast("double") / F.lit(HASH_SPAN) + 0.5
+    reachable = F.col("share").isNull() | (place < F.col("share"))
+    return hashed.where(reachable).select("control_id", "class_id", "capacity", "pref", F.lit(1).alias("won"))
+
+
+def _complete_lists(classes: DataFrame, controls: DataFrame, strata: list[str], age: str, band: float, seed: int) -> DataFrame:
+    """The lists, with the rare ones written whole whose cut part came out shorter than their reach."""
+    lists = write_stage(_lists(classes, controls, strata, age, band, seed), "match-lists")
+    cut = classes.where("share is not null")
+    if cut.isEmpty():
+        return lists
+    kept = lists.groupBy("class_id").agg(F.count("*").alias("kept"))
+    short, _ = pin_small(cut.join(kept, "class_id", "left").where("coalesce(kept, 0) < reach"), "match-short")
+    if short.isEmpty():
+        return lists
+    whole = short.drop("kept").withColumn("share", F.lit(None).cast("double"))
+    others = lists.join(F.broadcast(short.select("class_id")), "class_id", "left_anti")
+    return write_stage(others.unionByName(_lists(whole, controls, strata, age, band, seed)), "match-lists")
 
 
 def match_controls(
@@ -124,15 +153,20 @@ def match_controls(
 ) -> DataFrame:
     """Matched pairs `(control_id, case_id)`: at most `k` controls per case, no control twice.
 
-    `entity` has to be numeric and gives the order in which cases choose.
+    `entity` has to be numeric and gives the order in which cases choose. Every pass writes its state to
+    the shared folder, in turn to one of two places, so two copies exist at most.
     """
     strata = list(strata)
+    spark = cases.sparkSession
     cases = _eligible(cases, strata, age).select(*strata, age, F.col(entity).alias("case_id"))
     controls = _eligible(controls, strata, age).select(*strata, age, F.col(entity).alias("control_id"))
-    classes = _classes(cases, strata, age, k, band)
+    classes = _classes(cases, controls, strata, age, k, band)
 
     keyed = lookup_join(
-        cases.withColumnRenamed(age, "case_age"), classes.select(*strata, "case_age", "class_id"), [*strata, "case_age"]
+        cases.withColumnRenamed(age, "case_age"),
+        classes.select(*strata, "case_age", "class_id"),
+        [*strata, "case_age"],
+        "inner",
     )
     ranked = write_stage(
         running_totals(
@@ -144,47 +178,36 @@ def match_controls(
         ).select("class_id", F.col("one_before").cast("long").alias("place"), "case_id"),
         "match-cases",
     )
-    if ranked.count() <= 20 * SMALL_ROWS:
+    if ranked.count() <= BROADCAST_CASES:
         ranked = F.broadcast(ranked)
 
-    listed = lookup_join(
-        controls.withColumn("age_year", F.floor(age).cast("int")),
-        _band_buckets(classes, strata, band),
-        [*strata, "age_year"],
-        "inner",
-    ).where(in_band(age, "case_age", band))
-    listed = listed.select(
-        "control_id",
-        "class_id",
-        "capacity",
-        "reach",
-        F.xxhash64(*strata, "case_age", "control_id", F.lit(seed)).alias("pref"),
-    )
-    lists = _shorten(write_stage(listed, "match-lists")).drop("reach")
-    state = write_stage(lists.withColumn("won", F.lit(1)), "match-state")
-
-    n_buckets = -(-state.count() // rows_per_bucket)
+    state = _complete_lists(classes, controls, strata, age, band, seed)
+    longest = state.groupBy("class_id").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    n_buckets = min(MAX_BUCKETS, -(-longest // rows_per_bucket))
     splits = [-(2.0**63) + i * HASH_SPAN / n_buckets for i in range(1, n_buckets)]
     reached_first = Window.partitionBy("control_id")
+    places = [new_stage_path(spark, "match-state") for _ in range(2)]
     while True:
         ahead = running_totals(state, ["class_id"], "pref", ["won"], ties=["control_id"], splits=splits)
         place = F.floor(F.col("won_before") / k).cast("long")
-        ahead = ahead.drop("case_id").withColumn("place", F.when(place < F.col("capacity"), place))
+        ahead = ahead.drop("case_id", "changed").withColumn("place", F.when(place < F.col("capacity"), place))
         claims = ahead.join(ranked, ["class_id", "place"], "left")
         won = F.coalesce((F.col("case_id") == F.min("case_id").over(reached_first)).cast("int"), F.lit(0))
-        state = write_stage(
-            claims.withColumn("now", won).select(
-                "control_id",
-                "class_id",
-                "capacity",
-                "pref",
-                "case_id",
-                F.col("now").alias("won"),
-                (F.col("now") != F.col("won")).alias("changed"),
-            ),
-            "match-state",
+        passed = claims.withColumn("now", won).select(
+            "control_id",
+            "class_id",
+            "capacity",
+            "pref",
+            "case_id",
+            F.col("now").alias("won"),
+            (F.col("now") != F.col("won")).alias("changed"),
         )
-        if state.where("changed").isEmpty():
+        changes = Observation()
+        observed = passed.observe(changes, F.count_if("changed").alias("n"))
+        observed.write.mode("overwrite").parquet(places[0])
+        state = spark.read.schema(passed.schema).parquet(places[0])
+        places.reverse()
+        if changes.get["n"] == 0:
             return state.where("won = 1").select("control_id", "case_id")
 
 
