@@ -59,6 +59,8 @@ def main() -> None:
         "spark.sql.shuffle.partitions": cpus,
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
+        # small data: keep shuffle partitions for all cores
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
         "spark.driver.memory": os.environ.get("BENCH_MEMORY", "8g"),
     }
     spark = build_session("bench", f"local[{cpus}]", **conf)

@@ -43,9 +43,9 @@ def rows(spark):
     return frame.repartition(5)
 
 
-@pytest.mark.parametrize("limit", [1_000_000, 40, 3])
-def test_exact_medians(rows, limit):
-    stats = prepare.site_stats(rows, FEATURES, median_rows=limit).toPandas().set_index(["site", "feature"])
+@pytest.mark.parametrize("whole_rows,limit", [(10_000, 1_000_000), (10, 1_000_000), (10, 4), (10, 1), (1_000, 0)])
+def test_exact_medians(rows, whole_rows, limit):
+    stats = prepare.site_stats(rows, FEATURES, whole_rows=whole_rows, median_values=limit).toPandas().set_index(["site", "feature"])
     for site, group in DATA.groupby("site"):
         for f in FEATURES:
             row = stats.loc[(site, f)]
@@ -54,6 +54,14 @@ def test_exact_medians(rows, limit):
             assert math.isclose(row["mean"], group[f].mean(), rel_tol=1e-9)
 
 
+def test_bracket_that_misses_the_median(rows):
+    overview = prepare._overview(rows, ["smooth", "ties"], "site").withColumn("near", F.array(F.col("max"), F.col("max")))
+    found = prepare.exact_medians(rows, overview, ["smooth", "ties"], "site", 10).toPandas().set_index(["site", "feature"])
+    for site, group in DATA.groupby("site"):
+        for f in ("smooth", "ties"):
+            assert math.isclose(found.loc[(site, f), "median"], group[f].median(), abs_tol=1e-12)
+
+
 def test_feature_without_values(spark):
     rows = spark.createDataFrame([("A", None, 1.0), ("A", None, 3.0)], "site string, empty double, x double")
     stats = {r.feature: r for r in prepare.site_stats(rows, ["empty", "x"]).collect()}

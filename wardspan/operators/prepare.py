@@ -7,9 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardspan.operators.scale import lookup_join, pin_small, running_totals
+from wardspan.operators.scale import ROWS_PER_BUCKET, lookup_join, pin_small, running_totals
 
-MEDIAN_ROWS = 1_000_000
+WHOLE_ROWS = 10_000
+MEDIAN_VALUES = 1_000_000
+NEAR = 0.001
+MAX_PASSES = 100
 STATS = ["median", "mean", "min", "max", "n_nonnull"]
 
 
@@ -22,54 +25,77 @@ def _overview(df: DataFrame, features: Sequence[str], by: str) -> DataFrame:
     aggregates = []
     for f in features:
         x = f"double(`{f}`)"
-        near = f"percentile_approx({x}, array(0.499, 0.501), 10000) AS near"
+        near = f"percentile_approx({x}, array({0.5 - NEAR}, {0.5 + NEAR}), 10000) AS near"
         row = f"'{f}' AS feature, count({x}) AS n_nonnull, min({x}) AS min, max({x}) AS max, avg({x}) AS mean, {near}"
         aggregates.append(F.expr(f"struct({row}) AS `{f}`"))
     wide = df.groupBy(by).agg(*aggregates)
     return wide.select(by, F.inline(F.array(*features)))
 
 
-def exact_medians(df: DataFrame, overview: DataFrame, features: Sequence[str], by: str, limit: int = MEDIAN_ROWS) -> DataFrame:
+def exact_medians(
+    df: DataFrame,
+    overview: DataFrame,
+    features: Sequence[str],
+    by: str,
+    whole_rows: int = WHOLE_ROWS,
+    limit: int = MEDIAN_VALUES,
+) -> DataFrame:
     """Exact median per group and feature without gathering a group.
 
-    Only values inside a bracket around the median are counted one by one. While a bracket holds more
-    than `limit` rows it is narrowed from quantile sketches; each pass counts the rows below it, which
-    keeps the rank exact.
+    Values are counted one by one only inside a bracket around the median, taken from the overview's
+    sketch; all values below it count as one. Groups up to `whole_rows` rows need no bracket. Where it
+    would hold more than `limit` values, or turns out to miss the median, it is adjusted first.
     """
     long = unpivot(df, [by], features).where(F.col("value").isNotNull())
     keys = [by, "feature"]
-    narrow = F.col("n_nonnull") > limit
-    brackets = overview.where("n_nonnull > 0").select(
+    whole = F.col("n_nonnull") <= whole_rows
+    start = overview.where("n_nonnull > 0").select(
         *keys,
         "n_nonnull",
-        F.when(narrow, F.col("near")[0]).otherwise(F.col("min")).alias("low"),
-        F.when(narrow, F.col("near")[1]).otherwise(F.col("max")).alias("high"),
+        F.when(whole, F.col("min")).otherwise(F.col("near")[0]).alias("low"),
+        F.when(whole, F.col("max")).otherwise(F.col("near")[1]).alias("high"),
     )
-    first = F.floor((F.col("n_nonnull") - 1) / 2)
-    last = F.ceil((F.col("n_nonnull") - 1) / 2)
-    if not overview.where(narrow).isEmpty():
-        brackets = _narrow(long, overview, brackets, keys, first, last, limit)
-    else:
-        brackets = brackets.withColumn("below", F.lit(0))
+    held = F.col("n_nonnull") * 2 * NEAR
+    if not overview.where(~whole & (held > limit)).isEmpty():
+        start = _narrow(long, overview, start, keys, limit)
+    found, _ = pin_small(_middle(long, start, keys), "medians")
+    missed = found.where("median is null")
+    if missed.isEmpty():
+        return found
+    again = start.join(missed.select(*keys), keys)
+    return found.where("median is not null").unionByName(_middle(long, _narrow(long, overview, again, keys, limit), keys))
+
+
+def _ranks() -> tuple[Column, Column]:
+    """0-based ranks of the one or two middle values."""
+    return F.expr("floor((n_nonnull - 1) / 2)"), F.expr("ceil((n_nonnull - 1) / 2)")
+
+
+def _middle(long: DataFrame, brackets: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Mean of the middle values; null where the bracket does not hold them."""
     counted = (
         lookup_join(long, brackets, keys, "inner")
-        .where(F.col("value").between(F.col("low"), F.col("high")))
-        .groupBy(*keys, "value", "n_nonnull", "below")
+        .where(F.col("value") <= F.col("high"))
+        .withColumn("value", F.expr("if(value < low, double('-Infinity'), value)"))
+        .groupBy(*keys, "value", "n_nonnull")
         .agg(F.count("*").alias("n"))
     )
-    placed = running_totals(counted, keys, "value", ["n"]).withColumn("start", F.col("below") + F.col("n_before"))
-    covers = [(F.col("start") <= r) & (r < F.col("start") + F.col("n")) for r in (first, last)]
-    return placed.groupBy(*keys).agg(
-        ((F.max(F.when(covers[0], F.col("value"))) + F.max(F.when(covers[1], F.col("value")))) / 2).alias("median")
-    )
-
-
-def _narrow(long, overview, brackets, keys, first: Column, last: Column, limit: int) -> DataFrame:
-    """Shrink every bracket until it holds the median and at most about `limit` distinct values."""
+    placed = running_totals(counted, keys, "value", ["n"])
+    middle = [
+        F.max(F.when((F.col("n_before") <= rank) & (rank < F.col("n_before") + F.col("n")), F.col("value")))
+        for rank in _ranks()
+    ]
+    median = (middle[0] + middle[1]) / 2
+    return placed.groupBy(*keys).agg(F.when(median > float("-inf"), median).alias("median"))
+
+
+def _narrow(long: DataFrame, overview: DataFrame, brackets: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
+    """Adjust every bracket until it holds the median and at most about `limit` distinct values."""
+    first, last = _ranks()
     value, low, high = F.col("value"), F.col("low"), F.col("high")
     extent = overview.select(*keys, "min", "max")
     inside = F.when(value.between(low, high), value)
-    while True:
+    for _ in range(MAX_PASSES):
         brackets, _ = pin_small(brackets, "median-brackets")
         seen = (
             lookup_join(long, brackets, keys, "inner")
@@ -88,12 +114,12 @@ def _narrow(long, overview, brackets, keys, first: Column, last: Column, limit:
         seen, _ = pin_small(seen, "median-counts")
         end = F.col("below") + F.col("held")
         covered = (F.col("below") <= first) & (last < end)
-        wide = covered & (F.col("distinct_held") > limit)
+        wide = covered & (F.col("distinct_held") > max(limit, 2))
         if seen.where(~covered | wide).isEmpty():
-            return seen.select(*keys, "n_nonnull", "low", "high", "below")
-        cell = F.floor((first - F.col("below")) / F.col("held") * 512).cast("int")
-        lower = F.try_element_at("grid", F.greatest(cell, F.lit(1)))
-        upper = F.try_element_at("grid", F.least(cell + 4, F.lit(513)))
+            return seen.select(*keys, "n_nonnull", "low", "high")
+        cells = [F.floor((rank - F.col("below")) / F.col("held") * 512).cast("int") for rank in (first, last)]
+        lower = F.try_element_at("grid", F.greatest(cells[0], F.lit(1)))
+        upper = F.try_element_at("grid", F.least(cells[1] + 4, F.lit(513)))
         shrinks = (lower > low) | (upper < high)
         # where ties at both ends hide the middle from the sketch, the ends are cut off exactly
         past_low, past_high = first >= F.col("below") + F.col("at_low"), last < end - F.col("at_high")
@@ -105,15 +131,16 @@ def _narrow(long, overview, brackets, keys, first: Column, last: Column, limit:
             F.when(~covered, F.col("min")).when(~wide, low).when(shrinks, lower).otherwise(next_low).alias("low"),
             F.when(~covered, F.col("max")).when(~wide, high).when(shrinks, upper).otherwise(next_high).alias("high"),
         )
+    raise RuntimeError(f"no median bracket after {MAX_PASSES} passes")
 
 
-def site_stats(df: DataFrame, features: Sequence[str], by: str = "site", median_rows: int = MEDIAN_ROWS) -> DataFrame:
+def site_stats(df: DataFrame, features: Sequence[str], by: str = "site", whole_rows: int = WHOLE_ROWS, median_values: int = MEDIAN_VALUES) -> DataFrame:
     """`(site, feature, median, mean, min, max, n_nonnull)`, nulls skipped.
 
     The range before imputation equals the range after it, because a median lies inside its own range.
     """
     overview, _ = pin_small(_overview(df, features, by), "site-overview")
-    medians = exact_medians(df, overview, features, by, median_rows)
+    medians = exact_medians(df, overview, features, by, whole_rows, median_values)
     stats = overview.drop("near").join(medians, [by, "feature"], "left").select(by, "feature", *STATS)
     return pin_small(stats, "site-stats")[0]
 
@@ -211,7 +238,7 @@ def shuffle_rows(df: DataFrame, key: str = "encounter_id", seed: int = 42) -> Da
     """
     hashed = df.withColumn("_h", F.conv(F.substring(seeded_hash(F.col(key), seed), 1, 12), 16, 10).cast("long"))
     hashed = hashed.withColumn("_one", F.lit(1)).withColumn("_all", F.lit(1))
-    n_buckets = max(1, -(-df.count() // MEDIAN_ROWS))
+    n_buckets = max(1, -(-df.count() // ROWS_PER_BUCKET))
     splits = [i * 2.0**48 / n_buckets for i in range(1, n_buckets)]
     placed = running_totals(hashed, ["_all"], "_h", ["_one"], ties=[key], splits=splits)
     return placed.withColumn("position", F.col("_one_before").cast("long")).drop("_h", "_one", "_all", "_one_before")
