@@ -196,7 +196,7 @@ def test_result_streams(federation):
     inside = history[(history.variant == "global") & history.site.isin(fitting)]
     assert (inside[inside["round"] == 1].p_vs_round1 == 1.0).all()
     assert inside[inside.model == "NN"].p_lr_vs_nn.notna().all() and inside[inside.model == "LR"].p_lr_vs_nn.isna().all()
-    assert history[history.model == "NN"][history.site.isin(outside)].p_lr_vs_nn.notna().all()
+    assert history[(history.model == "NN") & history.site.isin(outside)].p_lr_vs_nn.notna().all()
 
 
 def test_outside_thresholds_lag_one_round(federation):

@@ -136,7 +136,7 @@ def _complete_lists(classes: DataFrame, controls: DataFrame, strata: list[str],
     if short.isEmpty():
         return lists
     whole = short.drop("kept").withColumn("share", F.lit(None).cast("double"))
-    others = lists.join(F.broadcast(short.select("class_id")), "class_id", "left_anti")
+    others = lists.join(short.select("class_id"), "class_id", "left_anti")
     return write_stage(others.unionByName(_lists(whole, controls, strata, age, band, seed)), "match-lists")
 
 
