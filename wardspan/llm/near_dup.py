@@ -9,8 +9,10 @@ Steps, none of which lists the pairs of a group:
 1. Documents with equal shingle sets form a class; its smallest doc_id stands for it.
 2. Some tables link every representative to the smallest one that shares a bucket with it (one link each at most),
    which contracts groups of near copies.
-3. Sub-hashes met in one component only are dropped. The rest form all pairs; representatives of different components
-   that share a table key, whose sizes allow the similarity and whose sketches are near enough are verified.
+3. Sub-hashes met in one component only are dropped. The rest form all table keys; representatives that share one with a
+   representative of another component stay open. Open representatives of different components are verified if they
+   share one of their rarest shingles, as every linked pair must, if their sizes allow the similarity and if their
+   sketches are near enough.
 """
 
 from __future__ import annotations
@@ -30,14 +32,14 @@ PERCENT = 75
 BANDS = 28
 ROWS = 4
 HASHES = BANDS * ROWS
-#: Of the HASHES agreeing 4-bit minhashes expected at 0.75 (85.7, deviation 4.5), five deviations less.
-SKETCH_LEAST = 63
-NIBBLES = 0x1111111111111111
+#: One-bit minhashes of a sketch. Of these 1,792 agree at a similarity of 0.75 (deviation 15); four deviations less pass.
+SKETCH = 2048
+SKETCH_LEAST = 1732
 PIECE = 4096
 
 _random = np.random.default_rng(5)
-FACTORS = _random.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-SHIFTS = _random.integers(0, 1 << 63, HASHES, dtype=np.uint64)
+FACTORS = _random.integers(1, 1 << 63, HASHES + SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+SHIFTS = _random.integers(0, 1 << 63, HASHES + SKETCH, dtype=np.uint64)
 
 
 def shingle_sets(column, width: int = WIDTH):
@@ -56,39 +58,42 @@ def shingle_sets(column, width: int = WIDTH):
             yield np.zeros(0, np.uint64)
 
 
-def minhashes(shingles: np.ndarray) -> np.ndarray:
-    least = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
-    for k in range(0, len(shingles), PIECE):
-        spread = np.multiply.outer(shingles[k : k + PIECE], FACTORS)
-        spread += SHIFTS
+def minhashes(shingles: np.ndarray, which: slice) -> np.ndarray:
+    factors, shifts = FACTORS[which], SHIFTS[which]
+    least = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
+    piece = max(1, PIECE * HASHES // len(factors))
+    for k in range(0, len(shingles), piece):
+        spread = np.multiply.outer(shingles[k : k + piece], factors)
+        spread += shifts
         np.minimum(least, spread.min(axis=0), out=least)
     return least
 
 
+def one_bit_sketch(shingles: np.ndarray) -> np.ndarray:
+    bits = (mix(minhashes(shingles, slice(HASHES, None))) >> np.uint64(63)).astype(np.uint8)
+    return np.packbits(bits).view(np.uint64)
+
+
 def _signatures(batch: pa.RecordBatch):
     texts = batch.column("text")
     for i, j in batches_of(texts):
-        sizes, lows, highs, bands, sketches = [], [], [], [], []
+        sizes, lows, highs, bands = [], [], [], []
         with np.errstate(over="ignore"):
             for shingles in shingle_sets(texts.slice(i, j - i)):
                 sizes.append(len(shingles))
                 lows.append(mix(shingles).sum(dtype=np.uint64))
                 highs.append(mix(shingles ^ STEP).sum(dtype=np.uint64))
-                least = minhashes(shingles)
-                rows = least.reshape(BANDS, ROWS)
+                rows = minhashes(shingles, slice(HASHES)).reshape(BANDS, ROWS)
                 key = np.arange(1, BANDS + 1, dtype=np.uint64)
                 for r in range(ROWS):
                     key = mix(key * STEP + rows[:, r])
                 bands.append(key)
-                nibbles = mix(least) >> np.uint64(60)
-                sketches.append((nibbles.reshape(-1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=1, dtype=np.uint64))
         yield {
             "doc_id": batch.column("doc_id").slice(i, j - i),
             "n_shingles": np.array(sizes, np.int64),
             "set_low": np.array(lows, np.uint64).view(np.int64),
             "set_high": np.array(highs, np.uint64).view(np.int64),
             "bands": lists(np.array(bands, np.uint64)),
-            "sketch": lists(np.array(sketches, np.uint64)),
         }
 
 
@@ -106,11 +111,21 @@ def _sets(batch: pa.RecordBatch):
         yield {"node": batch.column("doc_id").slice(i, j - i), "shingles": pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))}
 
 
-def verified(links: DataFrame, docs: DataFrame) -> DataFrame:
-    """The links (a, b) of doc_ids whose full shingle sets reach the similarity."""
-    nodes = links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.join(nodes, "doc_id", "left_semi")
-    sets = write_stage(map_batches(texts, _sets, "node long, shingles array<long>"), "shingles")
+def _sketches(batch: pa.RecordBatch):
+    with np.errstate(over="ignore"):
+        found = [one_bit_sketch(np.array(s, np.int64).view(np.uint64)) for s in batch.column("shingles").to_pylist()]
+    if found:
+        yield {"node": batch.column("node"), "sketch": lists(np.array(found, np.uint64))}
+
+
+def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, shingles of the documents whose doc_id is among `nodes` (column node)."""
+    texts = docs.join(nodes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    return write_stage(map_batches(texts, _sets, "node long, shingles array<long>"), "shingles")
+
+
+def verified(links: DataFrame, sets: DataFrame) -> DataFrame:
+    """The links (a, b) whose full shingle sets reach the similarity."""
     one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("a_set"))
     two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("b_set"))
     both = F.size(F.array_intersect("a_set", "b_set"))
@@ -118,15 +133,26 @@ def verified(links: DataFrame, docs: DataFrame) -> DataFrame:
     return links.join(one, "a").join(two, "b").where((both * 100 >= whole * PERCENT) & (whole > 0)).select("a", "b")
 
 
+def rarest(sets: DataFrame) -> DataFrame:
+    """node, place, shingle: the rarest shingles of each set, as many as any linked pair must share one of.
+
+    Two sets that reach the similarity share one of the n - ceil(0.75 n) + 1 shingles that come first in any common order;
+    here the rarest among `sets` come first. Shingles of one set only can't be shared, but take their places.
+    """
+    each = sets.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    counts = each.groupBy("shingle").agg(F.count("*").alias("held")).where("held > 1")
+    shared = each.join(counts, "shingle").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("held", "shingle"))).alias("shared"))
+    alone = F.col("n") - F.size("shared")
+    places = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1 - alone
+    first = shared.withColumn("places", places.cast("int")).where("places > 0")
+    taken = first.select("node", alone.alias("alone"), F.posexplode(F.slice("shared", F.lit(1), F.col("places"))["shingle"]).alias("place", "shingle"))
+    return taken.select("node", (F.col("alone") + F.col("place") + 1).alias("place"), "shingle")
+
+
 def agreeing(one: str, two: str) -> Column:
-    """How many of the 4-bit minhashes of two sketches agree."""
-    equal = F.lit(0)
-    for k in range(HASHES // 16):
-        apart = F.get(F.col(one), F.lit(k)).bitwiseXOR(F.get(F.col(two), F.lit(k)))
-        apart = apart.bitwiseOR(F.shiftrightunsigned(apart, 2))
-        apart = apart.bitwiseOR(F.shiftrightunsigned(apart, 1)).bitwiseAND(F.lit(NIBBLES))
-        equal = equal + F.lit(16) - F.bit_count(apart)
-    return equal
+    """How many one-bit minhashes of two sketches agree."""
+    apart = [F.bit_count(F.get(F.col(one), F.lit(k)).bitwiseXOR(F.get(F.col(two), F.lit(k)))) for k in range(SKETCH // 64)]
+    return F.lit(SKETCH) - sum(apart[1:], apart[0])
 
 
 def _table_keys(bands: str) -> Column:
@@ -147,21 +173,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     table gives an empty table.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = "doc_id long, n_shingles long, set_low long, set_high long, bands array<long>, sketch array<long>"
+    schema = "doc_id long, n_shingles long, set_low long, set_high long, bands array<long>"
     signed = write_stage(map_batches(docs, _signatures, schema), "signatures")
     same = ["set_low", "set_high"]
     linkable = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = linkable.groupBy(*same).agg(F.min("doc_id").alias("rep"))
     members = write_stage(signed.select("doc_id", "n_shingles", *same).join(classes, same, "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).alias("rep")), "members")
     reps = write_stage(
-        linkable.join(classes.select(*same, "rep"), same).where("doc_id = rep").dropDuplicates(["rep", *same]).select("rep", "n_shingles", "bands", "sketch"), "reps"
+        linkable.join(classes.select(*same, "rep"), same).where("doc_id = rep").dropDuplicates(["rep", *same]).select("rep", "n_shingles", "bands"), "reps"
     )
 
     tables = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 2), F.lit(2)), lambda i: F.xxhash64(i, F.get("bands", i), F.get("bands", i + 1)))
     buckets = reps.select("rep", F.explode(tables).alias("key"))
     shared = buckets.groupBy("key").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last")
     stars = buckets.join(shared, "key").where("first < rep").groupBy(F.col("rep").alias("b")).agg(F.min("first").alias("a"))
-    near = components(verified(write_stage(stars.select("a", "b"), "stars"), docs))
+    stars = write_stage(stars.select("a", "b"), "stars")
+    near = components(verified(stars, sets_of(docs, stars.select(F.explode(F.array("a", "b")).alias("node")))))
 
     grouped = write_stage(reps.join(near, reps["rep"] == near["node"], "left").withColumn("part", F.coalesce("root", "rep")).drop("node", "root"), "grouped")
     exploded = grouped.select("rep", "part", F.posexplode("bands").alias("at", "key"))
@@ -170,13 +197,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     keyed = left.where(F.size("keys") > 1).select("rep", "part", F.explode(_table_keys("keys")).alias("key"))
     keyed = write_stage(keyed, "table-keys")
     open_keys = keyed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
-    sketches = grouped.select("rep", "n_shingles", "sketch")
-    rows = write_stage(keyed.join(open_keys, "key", "left_semi").join(sketches, "rep"), "open-keys")
-    one, two = (rows.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "part", "n_shingles", "sketch")]) for s in "ab")
-    fits = (F.least("n_shingles_a", "n_shingles_b") * 100 >= F.greatest("n_shingles_a", "n_shingles_b") * PERCENT) & (agreeing("sketch_a", "sketch_b") >= SKETCH_LEAST)
-    pairs = one.join(two, (one["key"] == two["key"]) & (F.col("part_a") < F.col("part_b")) & fits)
-    pairs = write_stage(pairs.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct(), "pairs")
-    sure = verified(pairs, docs)
+    nodes = write_stage(keyed.join(open_keys, "key", "left_semi").select(F.col("rep").alias("node")).distinct(), "open-nodes")
+    sets = sets_of(docs, nodes)
+    parts = grouped.select(F.col("rep").alias("node"), "part")
+    first = write_stage(rarest(sets).join(parts, "node"), "rarest")
+    across = first.groupBy("shingle").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("shingle")
+    first = write_stage(first.join(across, "shingle", "left_semi"), "shared-rarest")
+    sketched = map_batches(sets.join(first.select("node").distinct(), "node", "left_semi"), _sketches, "node long, sketch array<long>")
+    sizes = grouped.select(F.col("rep").alias("node"), "n_shingles")
+    held = first.join(write_stage(sketched.join(sizes, "node"), "sketches"), "node")
+    one, two = (held.select("shingle", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "place", "part", "n_shingles", "sketch")]) for s in "ab")
+    # at its first common shingle, a linked pair still has room for the intersection it needs
+    needed = F.ceil((F.col("n_shingles_a") + F.col("n_shingles_b")) * PERCENT / (100 + PERCENT))
+    room = 1 + F.least(F.col("n_shingles_a") - F.col("place_a"), F.col("n_shingles_b") - F.col("place_b"))
+    fits = (room >= needed) & (agreeing("sketch_a", "sketch_b") >= SKETCH_LEAST)
+    pairs = one.join(two, (one["shingle"] == two["shingle"]) & (F.col("part_a") < F.col("part_b")) & fits)
+    pairs = write_stage(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "pairs")
+    sure = verified(pairs, sets)
 
     part_of = grouped.select("rep", "part")
     bridges = sure.join(part_of.select(F.col("rep").alias("a"), F.col("part").alias("a_part")), "a").join(part_of.select(F.col("rep").alias("b"), F.col("part").alias("b_part")), "b")
