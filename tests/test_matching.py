@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from wardspan.operators.matching import HASH_SPAN, STRATA, match_candidates, match_controls
+from wardspan.operators.matching import HASH_SPAN, STRATA, match_candidates, match_controls, preference
 
 SCHEMA = "site string, gender string, ethnicity string, age double, encounter_id bigint"
 
@@ -33,7 +33,7 @@ def sequential(cases, controls, k, seed=0, band=4.0):
     left = cases.select(*STRATA, F.col("age").alias("case_age"), F.col("encounter_id").alias("case_id"))
     right = controls.select(*STRATA, "age", F.col("encounter_id").alias("control_id"))
     pairs = left.join(right, list(STRATA)).where((F.col("age") < F.col("case_age") + band) & (F.col("age") > F.col("case_age") - band))
-    pairs = pairs.withColumn("pref", F.xxhash64(*STRATA, "case_age", "control_id", F.lit(seed)))
+    pairs = pairs.withColumn("pref", preference(STRATA, seed))
     lists = pairs.toPandas().sort_values(["case_id", "pref"]).groupby("case_id").control_id.apply(list)
     used, result = set(), set()
     for case, candidates in lists.items():
@@ -88,7 +88,7 @@ def test_unreachable_controls_are_not_listed(spark):
     cases, controls = (f.na.drop() for f in (cases, controls))
     right = controls.withColumnRenamed("encounter_id", "control_id")
     classes = matching._classes(cases, right, list(STRATA), "age", 2, 4.0)
-    assert matching._lists(classes, right, list(STRATA), "age", 4.0, 0).count() < 0.5 * controls.count() * 2
+    assert matching._lists(classes, right, list(STRATA), ["site"], "age", 4.0, 0).count() < 0.5 * controls.count() * 2
     assert classes.where("share is not null").count() > 0
 
 
@@ -108,5 +108,16 @@ def test_no_case_or_no_control(spark):
 
 
 def test_preferences_are_spread_over_the_hash_range(spark):
-    share = spark.range(20_000).select(((F.xxhash64("id") / F.lit(HASH_SPAN)) + 0.5).alias("u")).agg(F.avg("u")).first()[0]
+    share = spark.range(20_000).select(F.lit(40.0).alias("case_age"), F.col("id").alias("control_id")).select((preference([], 0) / F.lit(HASH_SPAN)).alias("u")).agg(F.avg("u")).first()[0]
     assert abs(share - 0.5) < 0.02
+
+
+def test_ids_belong_to_their_site(spark):
+    """The same ids occur at two sites; text ids give as many pairs."""
+    cases = spark.createDataFrame([(s, "F", "White", 40.0, i) for s in "AB" for i in (1, 2)], SCHEMA)
+    controls = spark.createDataFrame([(s, "F", "White", 41.0, 100 + i) for s in "AB" for i in range(6)], SCHEMA)
+    pairs = {(r.site, r.control_id, r.case_id) for r in match_controls(cases, controls, 2).collect()}
+    assert len(pairs) == 8 and {(s, c) for s, _, c in pairs} == {(s, c) for s in "AB" for c in (1, 2)}
+    text = [f.withColumn("encounter_id", F.concat(F.lit("x"), F.col("encounter_id").cast("string"))) for f in (cases, controls)]
+    named = match_controls(*text, 2).collect()
+    assert len(named) == 8 and len({(r.site, r.control_id) for r in named}) == 8

@@ -250,7 +250,7 @@ def delong_pair(source: str, keys: str, one: str, two: str) -> str:
 won AS (SELECT {keys}, count(*) AS m, avg(a.v) AS auc1, avg(b.v) AS auc2, var_samp(a.v - b.v) AS vw FROM wins1 a JOIN wins2 b {join} GROUP BY ALL),
 lost AS (SELECT {keys}, count(*) AS n, var_samp(a.v - b.v) AS vl FROM losses1 a JOIN losses2 b {join} GROUP BY ALL),
 tested AS (
-  SELECT {keys}, auc1, auc2, CASE WHEN vw / m + vl / n > 1e-18 THEN abs(auc1 - auc2) / sqrt(vw / m + vl / n) END AS z
+  SELECT {keys}, auc1, auc2, CASE WHEN vw / m + vl / n > 0 THEN abs(auc1 - auc2) / sqrt(vw / m + vl / n) END AS z
          , vw / m + vl / n AS spread
   FROM (SELECT DISTINCT {keys} FROM {source}) LEFT JOIN won USING ({keys}) LEFT JOIN lost USING ({keys})),
 pvalues AS (SELECT *, CASE WHEN spread IS NULL THEN NULL WHEN z IS NULL THEN 1::DOUBLE ELSE {NORMAL_P.format(x="(z / sqrt(2))")} END AS p_value FROM tested)"""
@@ -499,6 +499,27 @@ def build() -> dict[str, str]:
             SELECT a.encounter_id AS case_id, a.site, count(b.encounter_id) AS n_candidates FROM training a LEFT JOIN controls b
               ON a.site = b.site AND a.gender = b.gender AND a.ethnicity = b.ethnicity AND b.age < a.age + 4 AND b.age > a.age - 4
             WHERE a.label = 1 GROUP BY ALL""",
+        "match_controls": f"""WITH RECURSIVE {COHORT},
+            cases AS (
+              SELECT site, gender, ethnicity, age, encounter_id,
+                     row_number() OVER (PARTITION BY site, gender, ethnicity ORDER BY encounter_id) AS turn
+              FROM training WHERE label = 1 AND gender IS NOT NULL AND ethnicity IS NOT NULL AND age IS NOT NULL),
+            controls AS (SELECT * FROM training WHERE arrival_ts < TIMESTAMP '1998-01-01'),
+            lists AS (
+              SELECT DISTINCT a.site, a.gender, a.ethnicity, a.age AS case_age, b.encounter_id AS control_id,
+                     substr(md5(concat_ws('|', a.site, a.gender, a.ethnicity, a.age, b.encounter_id, '0')), 1, 15) AS pref
+              FROM cases a JOIN controls b
+                ON a.site = b.site AND a.gender = b.gender AND a.ethnicity = b.ethnicity AND b.age < a.age + 4 AND b.age > a.age - 4),
+            ordered AS (SELECT site, gender, ethnicity, case_age, list(control_id ORDER BY pref, control_id) AS candidates FROM lists GROUP BY ALL),
+            steps AS (
+              SELECT DISTINCT site, gender, ethnicity, 0::BIGINT AS turn, NULL::BIGINT AS case_id, []::BIGINT[] AS picked, []::BIGINT[] AS used FROM cases
+              UNION ALL
+              SELECT s.site, s.gender, s.ethnicity, s.turn + 1, c.encounter_id, p.picked, list_concat(s.used, p.picked)
+              FROM steps s
+              JOIN cases c ON c.site = s.site AND c.gender = s.gender AND c.ethnicity = s.ethnicity AND c.turn = s.turn + 1
+              LEFT JOIN ordered o ON o.site = c.site AND o.gender = c.gender AND o.ethnicity = c.ethnicity AND o.case_age = c.age,
+              LATERAL (SELECT list_slice(list_filter(coalesce(o.candidates, []), lambda x: NOT list_contains(s.used, x)), 1, 10) AS picked) p)
+            SELECT site, unnest(picked) AS control_id, case_id FROM steps WHERE turn > 0""",
         "match_invariants": f"""WITH {COHORT} SELECT DISTINCT site, 0::BIGINT AS n_out_of_band, 0::BIGINT AS n_reused, 0::BIGINT AS n_overfull,
             0::BIGINT AS n_free FROM training""",
         "site_medians": f"WITH {STATS} " + by_feature(f"site, '{{f}}' AS feature, {r('med_{f}', 'median')}, n_{{f}} AS n_nonnull", "stats"),

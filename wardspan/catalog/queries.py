@@ -330,11 +330,11 @@ def match_invariants(spark, sf):
     """Violations per site: reused controls, overfull cases, broken bands, free controls left to short cases."""
     cases, controls, pairs = _matched(spark, sf)
     k = SETTINGS.match_ratio
-    columns = ["site", "gender", "ethnicity", "age"]
+    columns = ["gender", "ethnicity", "age"]
     paired = pairs.join(
-        controls.select(F.col("encounter_id").alias("control_id"), *[F.col(c).alias(f"c_{c}") for c in columns]), "control_id"
-    ).join(cases.select(F.col("encounter_id").alias("case_id"), *columns), "case_id")
-    same = (F.col("site") == F.col("c_site")) & (F.col("gender") == F.col("c_gender")) & (F.col("ethnicity") == F.col("c_ethnicity"))
+        controls.select("site", F.col("encounter_id").alias("control_id"), *[F.col(c).alias(f"c_{c}") for c in columns]), ["site", "control_id"]
+    ).join(cases.select("site", F.col("encounter_id").alias("case_id"), *columns), ["site", "case_id"])
+    same = (F.col("gender") == F.col("c_gender")) & (F.col("ethnicity") == F.col("c_ethnicity"))
     band = matching.in_band("c_age", "age", SETTINGS.age_band)
     broken = paired.groupBy("site").agg(F.count_if(~(same & band)).alias("n_out_of_band"))
     reused = paired.groupBy("site", "control_id").agg(F.count("*").alias("n")).groupBy("site").agg(F.count_if(F.col("n") > 1).alias("n_reused"))
@@ -344,8 +344,8 @@ def match_invariants(spark, sf):
     free = controls.join(pairs.select(F.col("control_id").alias("encounter_id")), "encounter_id", "left_anti")
     open_slots = matching.match_candidates(filled.where(F.col("n_matched") < k), free)
     left = open_slots.groupBy("site").agg(F.sum("n_candidates").alias("n_free"))
-    joined = broken.join(reused, "site").join(over, "site").join(left, "site", "left")
-    return joined.withColumn("n_free", F.coalesce("n_free", F.lit(0)))
+    joined = over.join(broken, "site", "left").join(reused, "site", "left").join(left, "site", "left")
+    return joined.fillna(0, ["n_out_of_band", "n_reused", "n_free"])
 
 
 # ---- statistics and preparation

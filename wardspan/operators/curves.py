@@ -204,7 +204,8 @@ def delong_weighted(df: DataFrame, by: Sequence[str], score: str = "p", label: s
 def delong_test(pairs: DataFrame, by: Sequence[str], one: str = "p1", two: str = "p2", label: str = "label", splits: Sequence[float] | None = None) -> DataFrame:
     """Compare the AUCs of two score columns of the same rows.
 
-    `identical` marks a zero variance of the difference; z is null there and the p value 1.
+    The variance of the difference comes from the differences of the placements, row by row, so it is exactly 0 where
+    both scores rank alike, however many rows there are; `identical` marks that, z is null there and the p value 1.
     """
     by = list(by)
     cells = pairs.groupBy(*by, one, two).agg(
@@ -224,6 +225,7 @@ def delong_test(pairs: DataFrame, by: Sequence[str], one: str = "p1", two: str =
         )
 
     placed = cells.join(placements(one, "1"), [*by, one]).join(placements(two, "2"), [*by, two])
+    placed = placed.withColumns({"wins_gap": F.expr("wins1 - wins2"), "losses_gap": F.expr("losses1 - losses2")})
 
     def covariance(a: str, b: str) -> str:
         return _variance(_spread("pos", f"wins{a}", f"wins{b}"), _spread("neg", f"losses{a}", f"losses{b}"))
@@ -235,11 +237,13 @@ def delong_test(pairs: DataFrame, by: Sequence[str], one: str = "p1", two: str =
         F.expr(covariance("1", "1") + " AS var1"),
         F.expr(covariance("2", "2") + " AS var2"),
         F.expr(covariance("1", "2") + " AS cov12"),
+        F.expr(covariance("_gap", "_gap") + " AS spread"),
     )
-    spread = F.col("var1") + F.col("var2") - 2 * F.col("cov12")
-    z = F.when(spread > 1e-18, F.abs(F.col("auc1") - F.col("auc2")) / F.sqrt(spread))
+    spread = F.col("spread")
+    z = F.when(spread > 0, F.abs(F.col("auc1") - F.col("auc2")) / F.sqrt(spread))
     return (
-        tested.withColumn("identical", spread <= 1e-18)
+        tested.withColumn("identical", spread <= 0)
         .withColumn("z", z)
         .withColumn("p_value", F.when(F.col("identical"), 1.0).otherwise(two_sided_p(F.col("z"))))
+        .drop("spread")
     )

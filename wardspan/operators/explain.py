@@ -9,11 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardspan.operators.params import mlp_forward, unpack
+from wardspan.operators.params import unpack
 from wardspan.operators.prepare import sample_rows
 from wardspan.operators.scale import lookup_join
 
-MAX_BACKGROUND = 1000
+BLOCK_NUMBERS = 2_000_000
 
 
 def shapley_sampled(
@@ -31,41 +31,46 @@ def shapley_sampled(
     """Permutation Shapley values `(encounter_id, model, feature, phi)` of every given row.
 
     LR is explained on its 0/1 prediction, the network on its probability. Features are switched on in
-    seeded random orders, each also run backwards, against a background of at most 1,000 rows; the values
-    of a row add up to its prediction less the mean prediction over the background.
+    `permutations` seeded orders, each also run backwards, against `n_background` background rows, which have to fit a
+    worker's memory; the values of a row add up to its prediction less the mean prediction over the background. A switch
+    only adds to the first layer, so a block of rows is taken through an order at once.
     """
     features, p = list(features), len(features)
-    sampled = sample_rows(background, min(n_background, MAX_BACKGROUND), key, seed).select(*features)
+    sampled = sample_rows(background, n_background, key, seed).select(*features)
     base = sampled.toPandas().to_numpy("float64")
     flat = np.asarray(w, dtype="float64")
-    weights = unpack(flat, p, hidden) if model != "LR" else None
-
-    def predict(x: np.ndarray) -> np.ndarray:
-        if weights is None:
-            return (x @ flat[:p] + flat[p] > 0).astype("float64")
-        return mlp_forward(x, weights)[1]
-
-    def explain(x: np.ndarray, row_key) -> np.ndarray:
-        """Marginal contributions of one row, averaged over its permutations."""
-        rng = np.random.default_rng([seed, abs(hash(int(row_key)))])
-        phi = np.zeros(p)
-        for _ in range(permutations):
-            order = rng.permutation(p)
-            for path in (order, order[::-1]):
-                mixed = np.repeat(base[None, :, :], p + 1, axis=0)
-                for step, feature in enumerate(path, start=1):
-                    mixed[step:, :, feature] = x[feature]
-                means = predict(mixed.reshape(-1, p)).reshape(p + 1, -1).mean(axis=1)
-                phi[path] += np.diff(means)
-        return phi / (2 * permutations)
+    linear = model == "LR"
+    into, shift, out, last = (flat[:p, None], flat[p : p + 1], None, None) if linear else unpack(flat, p, hidden)
+    rng = np.random.default_rng(seed)
+    orders = [path for order in (rng.permutation(p) for _ in range(permutations)) for path in (order, order[::-1])]
+
+    def mean_prediction(layer: np.ndarray) -> np.ndarray:
+        """Mean over the background of the output for a first layer (rows x background x units)."""
+        if linear:
+            return (layer[..., 0] > 0).mean(axis=1)
+        return (1 / (1 + np.exp(-np.clip(np.maximum(layer, 0) @ out + last, -700, 700)))).mean(axis=1)
+
+    def explain(x: np.ndarray) -> np.ndarray:
+        phi = np.zeros_like(x)
+        for path in orders:
+            layer = np.repeat((base @ into + shift)[None], len(x), axis=0)
+            before = mean_prediction(layer)
+            for feature in path:
+                layer += (x[:, feature, None] - base[None, :, feature])[..., None] * into[feature]
+                after = mean_prediction(layer)
+                phi[:, feature] += after - before
+                before = after
+        return phi / max(1, len(orders))
 
     def attribute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block = max(1, BLOCK_NUMBERS // max(1, len(base) * into.shape[1]))
         for batch in batches:
             values = batch[features].to_numpy("float64")
-            phis = [explain(x, k) for x, k in zip(values, batch[key], strict=True)]
+            phis = [phi for k in range(0, len(values), block) for phi in explain(values[k : k + block])]
             yield pd.DataFrame({key: batch[key], "phi": phis})
 
-    packed = rows.select(key, *features).mapInPandas(attribute, f"{key} bigint, phi array<double>")
+    kind = rows.schema[key].dataType.simpleString()
+    packed = rows.select(key, *features).mapInPandas(attribute, f"{key} {kind}, phi array<double>")
     names = F.array(*[F.lit(f) for f in features])
     return packed.select(
         key, F.lit(model).alias("model"), F.posexplode(F.arrays_zip(names.alias("feature"), F.col("phi"))).alias("i", "v")

@@ -68,9 +68,6 @@ def cohort_union(cases: DataFrame, controls: DataFrame) -> DataFrame:
     return cases.unionByName(controls, allowMissingColumns=True)
 
 
-def fill_true_negatives(df: DataFrame, label: str = "label") -> DataFrame:
-    return df.withColumn(label, F.coalesce(F.col(label), F.lit(0)))
-
 
 def cohort_counts(df: DataFrame, by: Sequence[str] = ("site", "split")) -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias("n_rows"), F.coalesce(F.sum("label"), F.lit(0)).alias("n_positive"))

@@ -37,14 +37,13 @@ def first_of_month(year: Column, month: Column) -> Column:
     return F.make_timestamp(year.cast("int"), month.cast("int"), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
 
 
+#: Day-first; days, months, hours and minutes have one or two digits, seconds and their fractions may be missing.
 ARRIVAL_FORMATS = (
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd HH:mm",
-    "yyyy-MM-dd",
-    "dd/MM/yyyy HH:mm:ss",
-    "dd/MM/yyyy HH:mm",
-    "dd/MM/yyyy",
+    "yyyy-M-d H:m[:s][.SSSSSS]",
+    "yyyy-M-d'T'H:m[:s][.SSSSSS]",
+    "yyyy-M-d",
+    "d/M/yyyy H:m[:s][.SSSSSS]",
+    "d/M/yyyy",
 )
 
 

@@ -19,7 +19,6 @@ from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from wardspan.operators.scale import (
-    MAX_BUCKETS,
     ROWS_PER_BUCKET,
     lookup_join,
     pin_small,
@@ -29,8 +28,16 @@ from wardspan.operators.scale import (
 from wardspan.session import new_stage_path, write_stage
 
 STRATA = ("site", "gender", "ethnicity")
-HASH_SPAN = 2.0**64
-BROADCAST_CASES = 1_000_000
+HASH_SPAN = 2.0**60
+#: Ranked cases (four numbers each) are broadcast up to 16 MB.
+BROADCAST_CASES = 500_000
+SCOPE = ("site",)
+
+
+def preference(strata: Sequence[str], seed: int):
+    """The shuffle: 60 bits of an md5 of stratum, case age, control and seed."""
+    text = F.concat_ws("|", *strata, F.col("case_age").cast("string"), F.col("control_id").cast("string"), F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
 def _eligible(df: DataFrame, strata: Sequence[str], age: str) -> DataFrame:
@@ -94,21 +101,17 @@ def _classes(cases: DataFrame, controls: DataFrame, strata: list[str], age: str,
     """
     sizes = cases.groupBy(*strata, F.col(age).alias("case_age")).agg(F.count("*").alias("capacity"))
     sizes, _ = pin_small(sizes, "match-sizes")
-    other = sizes.select(*strata, F.col("case_age").alias("_age"), F.col("capacity").alias("_capacity"))
-    reach = (
-        sizes.join(other, strata)
-        .where(F.abs(F.col("_age") - F.col("case_age")) < 2 * band)
-        .groupBy(*strata, "case_age", "capacity")
-        .agg((F.sum("_capacity") * k).alias("reach"))
-    )
+    keys, width = ", ".join(f"`{c}`" for c in strata), f"{2 * float(band)!r}D"
+    near = f"PARTITION BY {keys} ORDER BY double(case_age) RANGE BETWEEN {width} PRECEDING AND {width} FOLLOWING"
+    reach = sizes.withColumn("reach", F.expr(f"sum(capacity) OVER ({near})") * k)
     listed = _list_sizes(sizes, controls, strata, age, band)
     share = (F.col("reach") * 1.2 + 6 * F.sqrt("reach") + 50) / F.col("n_candidates")
     classes = reach.join(listed, [*strata, "case_age"]).withColumn("share", F.when(share < 1, share))
     return pin_small(classes.withColumn("class_id", F.monotonically_increasing_id()), "match-classes")[0]
 
 
-def _lists(classes: DataFrame, controls: DataFrame, strata: list[str], age: str, band: float, seed: int) -> DataFrame:
-    """The classes' shuffled lists as rows `(control_id, class_id, capacity, pref)`.
+def _lists(classes: DataFrame, controls: DataFrame, strata: list[str], scope: list[str], age: str, band: float, seed: int) -> DataFrame:
+    """The classes' shuffled lists as rows `(*scope, control_id, class_id, capacity, pref)`.
 
     A control is listed once per class whose band covers its age: up to seven times for ages in whole
     years. The end of a list that nobody can reach is cut off by its hash before it is written.
@@ -119,15 +122,15 @@ def _lists(classes: DataFrame, controls: DataFrame, strata: list[str], age: str,
         [*strata, "age_year"],
         "inner",
     ).where(in_band(age, "case_age", band))
-    hashed = listed.withColumn("pref", F.xxhash64(*strata, "case_age", "control_id", F.lit(seed)))
-    place = F.col("pref").cast("double") / F.lit(HASH_SPAN) + 0.5
+    hashed = listed.withColumn("pref", preference(strata, seed))
+    place = F.col("pref").cast("double") / F.lit(HASH_SPAN)
     reachable = F.col("share").isNull() | (place < F.col("share"))
-    return hashed.where(reachable).select("control_id", "class_id", "capacity", "pref", F.lit(1).alias("won"))
+    return hashed.where(reachable).select(*scope, "control_id", "class_id", "capacity", "pref", F.lit(1).alias("won"))
 
 
-def _complete_lists(classes: DataFrame, controls: DataFrame, strata: list[str], age: str, band: float, seed: int) -> DataFrame:
+def _complete_lists(classes: DataFrame, controls: DataFrame, strata: list[str], scope: list[str], age: str, band: float, seed: int) -> DataFrame:
     """The lists, with the rare ones written whole whose cut part came out shorter than their reach."""
-    lists = write_stage(_lists(classes, controls, strata, age, band, seed), "match-lists")
+    lists = write_stage(_lists(classes, controls, strata, scope, age, band, seed), "match-lists")
     cut = classes.where("share is not null")
     if cut.isEmpty():
         return lists
@@ -137,7 +140,7 @@ def _complete_lists(classes: DataFrame, controls: DataFrame, strata: list[str],
         return lists
     whole = short.drop("kept").withColumn("share", F.lit(None).cast("double"))
     others = lists.join(short.select("class_id"), "class_id", "left_anti")
-    return write_stage(others.unionByName(_lists(whole, controls, strata, age, band, seed)), "match-lists")
+    return write_stage(others.unionByName(_lists(whole, controls, strata, scope, age, band, seed)), "match-lists")
 
 
 def match_controls(
@@ -151,15 +154,19 @@ def match_controls(
     seed: int = 0,
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
-    """Matched pairs `(control_id, case_id)`: at most `k` controls per case, no control twice.
+    """Matched pairs `(site, control_id, case_id)`: at most `k` controls per case, no control twice.
 
-    `entity` has to be numeric and gives the order in which cases choose. Every pass writes its state to
-    the shared folder, in turn to one of two places, so two copies exist at most.
+    Ids need to be unique only inside a site (the SCOPE columns among the strata) and may be numbers or text. Cases
+    choose in the order of their ids if these are whole numbers, else in the order of a hash of them. Every pass writes
+    its state to the shared folder, in turn to one of two places, so two copies exist at most.
     """
     strata = list(strata)
+    scope = [c for c in SCOPE if c in strata]
     spark = cases.sparkSession
     cases = _eligible(cases, strata, age).select(*strata, age, F.col(entity).alias("case_id"))
     controls = _eligible(controls, strata, age).select(*strata, age, F.col(entity).alias("control_id"))
+    whole = cases.schema["case_id"].dataType.typeName() in ("byte", "short", "integer", "long")
+    cases = cases.withColumn("case_order", F.col("case_id").cast("long") if whole else F.xxhash64(F.col("case_id").cast("string")))
     classes = _classes(cases, controls, strata, age, k, band)
 
     keyed = lookup_join(
@@ -170,35 +177,37 @@ def match_controls(
     )
     ranked = write_stage(
         running_totals(
-            keyed.select("class_id", "case_id", F.lit(1).alias("one")),
+            keyed.select("class_id", "case_order", "case_id", F.lit(1).alias("one")),
             ["class_id"],
-            "case_id",
+            "case_order",
             ["one"],
-            splits=range_splits(cases, "case_id", rows_per_bucket=rows_per_bucket),
-        ).select("class_id", F.col("one_before").cast("long").alias("place"), "case_id"),
+            ties=["case_id"],
+            splits=range_splits(cases, "case_order", rows_per_bucket=rows_per_bucket),
+        ).select("class_id", F.col("one_before").cast("long").alias("place"), F.struct("case_order", "case_id").alias("chosen")),
         "match-cases",
     )
     if ranked.count() <= BROADCAST_CASES:
         ranked = F.broadcast(ranked)
 
-    state = _complete_lists(classes, controls, strata, age, band, seed)
+    state = _complete_lists(classes, controls, strata, scope, age, band, seed)
     longest = state.groupBy("class_id").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
-    n_buckets = min(MAX_BUCKETS, -(-longest // rows_per_bucket))
-    splits = [-(2.0**63) + i * HASH_SPAN / n_buckets for i in range(1, n_buckets)]
-    reached_first = Window.partitionBy("control_id")
+    n_buckets = max(1, -(-longest // rows_per_bucket))
+    splits = [i * HASH_SPAN / n_buckets for i in range(1, n_buckets)]
+    reached_first = Window.partitionBy(*scope, "control_id")
     places = [new_stage_path(spark, "match-state") for _ in range(2)]
     while True:
         ahead = running_totals(state, ["class_id"], "pref", ["won"], ties=["control_id"], splits=splits)
         place = F.floor(F.col("won_before") / k).cast("long")
-        ahead = ahead.drop("case_id", "changed").withColumn("place", F.when(place < F.col("capacity"), place))
+        ahead = ahead.drop("chosen", "changed").withColumn("place", F.when(place < F.col("capacity"), place))
         claims = ahead.join(ranked, ["class_id", "place"], "left")
-        won = F.coalesce((F.col("case_id") == F.min("case_id").over(reached_first)).cast("int"), F.lit(0))
+        won = F.coalesce((F.col("chosen") == F.min("chosen").over(reached_first)).cast("int"), F.lit(0))
         passed = claims.withColumn("now", won).select(
+            *scope,
             "control_id",
             "class_id",
             "capacity",
             "pref",
-            "case_id",
+            "chosen",
             F.col("now").alias("won"),
             (F.col("now") != F.col("won")).alias("changed"),
         )
@@ -208,11 +217,4 @@ def match_controls(
         state = spark.read.schema(passed.schema).parquet(places[0])
         places.reverse()
         if changes.get["n"] == 0:
-            return state.where("won = 1").select("control_id", "case_id")
-
-
-def matched_controls(controls: DataFrame, pairs: DataFrame, entity: str = "encounter_id") -> DataFrame:
-    """The matched control rows with the case each belongs to."""
-    return controls.join(
-        pairs.select(F.col("control_id").alias(entity), F.col("case_id").alias("matched_case_id")), entity
-    )
+            return state.where("won = 1").select(*scope, "control_id", F.col("chosen.case_id").alias("case_id"))

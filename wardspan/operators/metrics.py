@@ -50,7 +50,8 @@ def confusion(scores: DataFrame, by: Sequence[str], threshold: str = "threshold"
 def log_loss(scores: DataFrame, by: Sequence[str]) -> DataFrame:
     """Mean negative log likelihood with clipped probabilities."""
     term = f"if(label = 1, {log_loss_term('p', True)}, {log_loss_term('p', False)})"
-    return scores.groupBy(*by).agg(F.expr(f"avg({term}) AS logloss"), F.count("*").alias("n"))
+    scores = scores.where("p IS NOT NULL")
+    return scores.groupBy(*by).agg(F.expr(f"avg({term}) AS logloss"), F.count("p").alias("n"))
 
 
 def with_intervals(df: DataFrame, level: float = 0.95) -> DataFrame:
@@ -81,12 +82,12 @@ def formatted(df: DataFrame) -> DataFrame:
 
 
 def evaluate_model(scores: DataFrame, thresholds: DataFrame, by: Sequence[str], on: Sequence[str] = ("site",), level: float = 0.95, splits: Sequence[float] | None = None) -> DataFrame:
-    """The whole metric row per group from one ranked histogram.
+    """The whole metric row per group from one ranked histogram; rows without a score are left out, as in `confusion`.
 
     `thresholds` has one row per value of the `on` columns, all of them part of `by`.
     """
     by = list(by)
-    ranked = ranked_histogram(scores, by, splits=splits)
+    ranked = ranked_histogram(scores.where("p IS NOT NULL"), by, splits=splits)
     cut = lookup_join(ranked, thresholds.select(*on, "threshold"), list(on))
     loss = f"pos * {log_loss_term('p', True)} + neg * {log_loss_term('p', False)}"
     summed = cut.groupBy(*by).agg(

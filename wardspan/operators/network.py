@@ -66,21 +66,23 @@ def mlp_shard_fit(
     epochs: int = 50,
     patience: int = 15,
     batch: int = 4096,
-    rows_per_shard: int = 1_000_000,
+    rows_per_shard: int = 20_000,
     seed: int = 20,
     key: str = "encounter_id",
 ) -> DataFrame:
     """One network per start vector and shard, trained on the shard's `train` rows and judged on its
     `test` rows. Start vectors are keyed by site and round; the rounds of a site share its shards.
 
-    A site up to `rows_per_shard` is one shard. A larger site is cut by a hash of the ids, so that no
-    task holds more than about that many rows.
+    Every site is cut by a hash of the ids into shards of about `rows_per_shard` training rows, which train in
+    parallel and are averaged: the same rule at every size, and no task holds more than a shard.
     """
     features = list(features)
     weights = {key: np.asarray(w, dtype="float64") for key, w in start.items()}
-    sizes = prepared.groupBy("site").agg(F.ceil(F.count("*") / rows_per_shard).cast("int").alias("n_shards"))
+    used = prepared.where(F.col("split").isin("train", "test"))
+    shards = F.greatest(F.ceil(F.count_if(F.col("split") == "train") / rows_per_shard), F.lit(1)).cast("int")
+    sizes = used.groupBy("site").agg(shards.alias("n_shards"))
     sharded = (
-        lookup_join(prepared.where(F.col("split").isin("train", "test")), sizes, ["site"])
+        lookup_join(used, sizes, ["site"])
         .withColumn("shard", F.pmod(F.xxhash64(key, F.lit(seed)), F.col("n_shards")).cast("int"))
         .select("site", "shard", "split", "label", key, *[F.col(f).cast("double") for f in features])
     )

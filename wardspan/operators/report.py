@@ -93,11 +93,6 @@ def align_rounds(spine: DataFrame, others: Sequence[DataFrame], on: Sequence[str
     return spine
 
 
-def with_parsed_auc(results: DataFrame, text: str = "auc_text") -> DataFrame:
-    """AUC and its bounds read back from the formatted text."""
-    auc, low, high = parse_ci(F.col(text))
-    return results.withColumns({"auc": auc, "auc_lo": low, "auc_hi": high})
-
 
 def federation_curves(results: DataFrame, models: Sequence[str] = MODEL_ORDER, variants: Sequence[str] = ("global", "personalised")) -> DataFrame:
     """AUC with bounds by site and round index, one column group per model and variant.

@@ -15,24 +15,20 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from wardspan.session import write_stage
 
 SMALL_ROWS = 50_000
+SMALL_BYTES = 16 << 20
 SALTS = 64
 ROWS_PER_BUCKET = 2_000_000
-MAX_BUCKETS = 1024
 
 
 def pin_small(df: DataFrame, name: str = "small", limit: int = SMALL_ROWS) -> tuple[DataFrame, bool]:
     """Evaluate a summary table once.
 
-    Up to `limit` rows it becomes a local table that is safe to broadcast; beyond that it is written
-    to the shared folder and the caller has to join it by a shuffle. A table that is local already is
-    returned as it is.
+    Up to `limit` rows and SMALL_BYTES bytes it becomes a local table that is safe to broadcast; beyond that it is
+    written to the shared folder and the caller has to join it by a shuffle.
     """
-    if df.isLocal():
-        return df, True
-    rows = df.limit(limit + 1).collect()
-    if len(rows) <= limit:
-        table = pa.Table.from_pylist([row.asDict(recursive=True) for row in rows], to_arrow_schema(df.schema))
-        return df.sparkSession.createDataFrame(table, df.schema), True
+    rows = df.limit(limit + 1).toArrow()
+    if rows.num_rows <= limit and rows.nbytes <= SMALL_BYTES:
+        return (df if df.isLocal() else df.sparkSession.createDataFrame(rows, df.schema)), True
     return write_stage(df, name), False
 
 
@@ -73,13 +69,12 @@ def range_splits(
     """
     if splits is not None:
         return splits
-    probs = [i / MAX_BUCKETS for i in range(1, MAX_BUCKETS)]
     value = F.col(order).cast("double")
-    n, quantiles = df.agg(F.count(value), F.percentile_approx(value, probs, 20_000)).first()
-    buckets = min(MAX_BUCKETS, -(-n // rows_per_bucket))
+    buckets = -(-df.agg(F.count(value)).first()[0] // rows_per_bucket)
     if buckets <= 1:
         return []
-    return sorted({quantiles[(i * MAX_BUCKETS) // buckets - 1] for i in range(1, buckets)})
+    probs = [i / buckets for i in range(1, buckets)]
+    return sorted(set(df.agg(F.percentile_approx(value, probs, max(20_000, 20 * buckets))).first()[0]))
 
 
 def running_totals(
@@ -97,7 +92,7 @@ def running_totals(
     in the following row.
 
     `order`, followed by `ties`, has to be unique inside a group. With `splits` no task sorts a whole group: ranges are
-    sorted separately and the totals of the earlier ranges, at most 1,025 per group, are added.
+    sorted separately and the totals of the earlier ranges, one row per group and range, are added.
     """
     group = list(group)
 

@@ -56,10 +56,18 @@ def model_score(model: str, features: Sequence[str], hidden: int = 10, w: Sequen
     return F.expr(logistic(linear_term(features, w) if model == "LR" else mlp_term(features, hidden, w)))
 
 
+def only_vector(params: DataFrame) -> Sequence[float]:
+    """The weights of a table that must hold one row."""
+    rows = params.limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError(f"one parameter row is needed without key columns, there are {'several' if rows else 'none'}")
+    return rows[0]["w"]
+
+
 def _mlp_in_batches(df: DataFrame, params: DataFrame, features: Sequence[str], on: list[str], hidden: int) -> DataFrame:
     """Matrix products on Arrow batches; every task gets the checked, small set of weight vectors."""
     if not on:
-        one = unpack(np.asarray(params.first()["w"], dtype="float64"), len(features), hidden)
+        one = unpack(np.asarray(only_vector(params), dtype="float64"), len(features), hidden)
 
         @F.pandas_udf(T.DoubleType())
         def forward_one(x: pd.DataFrame) -> pd.Series:
@@ -100,7 +108,7 @@ def score_rows(df: DataFrame, params: DataFrame, model: str, features: Sequence[
     params = params.select(*on, "w")
     in_batches = model != "LR" and len(features) * hidden > INLINE_TERMS
     if not on and not in_batches:
-        scored = df.withColumn("p", model_score(model, features, hidden, params.first()["w"]))
+        scored = df.withColumn("p", model_score(model, features, hidden, only_vector(params)))
     elif in_batches:
         scored = _mlp_in_batches(df, params, features, list(on), hidden)
     else:

@@ -108,8 +108,8 @@ def case_control_set(roles: DataFrame, settings: RunSettings, matched: bool = Tr
     if matched:
         cases, controls = roles.where("role = 'case'"), roles.where("role = 'control'")
         pairs = match_controls(cases, controls, settings.match_ratio, band=settings.age_band)
-        taken = pairs.select(F.col("control_id").alias("encounter_id"), F.lit(True).alias("_taken"))
-        roles = roles.join(taken, "encounter_id", "left")
+        taken = pairs.select("site", F.col("control_id").alias("encounter_id"), F.lit(True).alias("_taken"))
+        roles = roles.join(taken, ["site", "encounter_id"], "left")
         fits = F.coalesce((F.col("role") == "case") | F.col("_taken"), F.lit(False))
     label = F.when(F.col("role").isNotNull(), F.coalesce(F.col("label"), F.lit(0))).otherwise(F.col("label"))
     return roles.withColumns({"fits": fits, "label": label}).drop("_taken")

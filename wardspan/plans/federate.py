@@ -263,13 +263,15 @@ def run_federation(
 ) -> Federation:
     """All rounds of the LR and then of the NN federation, with their evaluation.
 
-    An evaluation-only site judges round r at the mean threshold of round r - 1 (0 before the first).
+    An evaluation-only site judges a round at the mean threshold of the round before it, also across models: the
+    first network round uses the last regression round's. Before the very first round it is 0.
     Parameters, thresholds and result rows are a few per site and round; row-level tables never leave
     the cluster. The prepared rows stay persisted while the run reads them.
     """
     run, ranges = Federation(), prepared.splits
     rows = prepared.rows.persist(StorageLevel.MEMORY_AND_DISK)
     lr_inside = lr_outside = None
+    carried = 0.0
     for model in models:
         rounds = settings.lr_rounds if model == "LR" else settings.nn_rounds
         local, averaged = fedavg_rounds(rows, model, settings, rounds)
@@ -278,7 +280,8 @@ def run_federation(
         applied = calibrate_sites(rows, model, averaged, settings)
         run.thresholds.append(applied.thresholds.withColumn("model", F.lit(model)))
         means = {row["round"]: row["threshold"] for row in mean_threshold(applied.thresholds, ["round"]).collect()}
-        shared = {r: means.get(r - 1, 0.0) for r in range(1, rounds + 1)}
+        shared = {r: means.get(r - 1, carried) for r in range(1, rounds + 1)}
+        carried = means.get(rounds, carried)
 
         judged = federated_evaluate(rows, applied, settings, applied.at_round(1), lr_inside, ranges)
         judged, _ = pin_small(judged, "results")

@@ -49,13 +49,18 @@ def apply_correction(
     """Let a later label file supersede the label, also where its result is invalid (then null).
 
     Rows are joined by id. `correction_found` tells which rows the file names; the others lose their
-    label too, because the file supersedes the earlier extract as a whole.
+    label too, because the file supersedes the earlier extract as a whole. Results are compared as numbers, so `9.0` is
+    invalid like `9`. An id that is named twice counts once; different results for one id are an error.
     """
-    code = F.trim(F.col(f"`{correction_label}`").cast("string"))
-    replacement = correction.select(
+    code = F.trim(F.col(f"`{correction_label}`").cast("string")).try_cast("double")
+    named = correction.select(
         F.col(f"`{correction_key}`").cast("string").alias("_key"),
-        F.when(code != invalid, code.try_cast("double").cast("int")).alias("_label"),
-        F.lit(True).alias("_found"),
+        F.when(code != float(invalid), code.cast("int")).alias("_label"),
+    )
+    agree = F.count_distinct(F.coalesce("_label", F.lit(-1))) == 1
+    conflict = F.raise_error(F.concat(F.lit("different corrections of "), F.coalesce("_key", F.lit("null")))).cast("int")
+    replacement = named.groupBy("_key").agg(
+        F.when(agree, F.max("_label")).otherwise(conflict).alias("_label"), F.lit(True).alias("_found")
     )
     return (
         encounters.withColumn("_key", F.col(key).cast("string"))

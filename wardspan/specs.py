@@ -358,7 +358,7 @@ class RunSettings:
     nn_epochs: int = 50
     nn_patience: int = 15
     nn_batch: int = 4096
-    nn_rows_per_shard: int = 1_000_000
+    nn_rows_per_shard: int = 20_000
     shap_background: int = 1000
     shap_explained: int = 400
     sites: tuple[SiteSpec, ...] = field(default_factory=tuple)
