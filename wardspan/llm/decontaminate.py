@@ -175,7 +175,8 @@ class Screen:
     """What a task needs to find one block of the benchmark.
 
     `latent` holds z / |z|**2 of each passage's projection z, so that its product with a window's projection, divided by
-    the window's full norm, estimates the cosine of the two TF-IDF rows however much of them the space holds.
+    the window's full norm, estimates the cosine of the two TF-IDF rows however much of them the space holds. `space` has
+    the IDF-weighted singular vectors by bucket, and a row of zeros for places without a word.
     """
 
     space: np.ndarray
@@ -199,10 +200,15 @@ class Screen:
         block_starts = bounds[owner] + STRIDE * (np.arange(len(owner)) - first_block[owner])
         sums = np.empty((len(owner), self.space.shape[1]), np.float32)
         squares = np.add.reduceat(self.idf[at] ** 2, block_starts)
+        row = np.empty((1024, self.space.shape[1]), np.float32)
         for k in range(0, len(owner), 1024):
-            part = block_starts[k : k + 1024]
-            last = block_starts[k + 1024] if k + 1024 < len(owner) else len(at)
-            np.add.reduceat(self.space[at[part[0] : last]], part - part[0], axis=0, out=sums[k : k + 1024])
+            place = block_starts[k : k + 1024, None] + np.arange(STRIDE)
+            inside = place < bounds[owner[k : k + 1024] + 1][:, None]
+            held = np.where(inside, at[np.minimum(place, len(at) - 1)], BUCKETS)
+            part = sums[k : k + 1024]
+            part[:] = 0
+            for column in held.T:
+                part += np.take(self.space, column, axis=0, out=row[: len(part)], mode="clip")
         inner = owner[1:] == owner[:-1]
         best: dict[tuple[int, int], list[tuple[float, int]]] = {}
         for k in range(0, len(owner), 8192):
@@ -254,7 +260,7 @@ def screens(docs: DataFrame, benchmark: DataFrame) -> list[Screen]:
         for k, (at, a) in enumerate(tf_idf([p for _, p in pairs], idf) if pairs else []):
             z = a @ space[at]
             latent[k] = z / max((z**2).sum(), 1e-12)
-        weighted = (space * idf[:, None]).astype(np.float32)
+        weighted = np.vstack([space * idf[:, None], np.zeros((1, space.shape[1]))]).astype(np.float32)
         out.append(Screen(weighted, idf, [i for i, _ in pairs], [Passage(tokens(p)) for _, p in pairs], latent))
     return out
 
