@@ -107,7 +107,7 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: np
     return mix(out)
 
 
-def batches_of(column, most_bytes: int = 8 << 20):
+def batches_of(column, most_bytes: int = 2 << 20):
     """Slices (first, last) of an Arrow column of at most `most_bytes` each, one text at least."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64)
     total = np.concatenate([[0], np.cumsum(sizes)])
