@@ -113,7 +113,10 @@ def _sets(batch: pa.RecordBatch):
 
 def _sketches(batch: pa.RecordBatch):
     with np.errstate(over="ignore"):
-        found = [one_bit_sketch(np.array(s, np.int64).view(np.uint64)) for s in batch.column("shingles").to_pylist()]
+        sets = batch.column("shingles")
+        flat = sets.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        ends = np.cumsum(sets.value_lengths().to_numpy(zero_copy_only=False))
+        found = [one_bit_sketch(part) for part in np.split(flat, ends[:-1])] if len(sets) else []
     if found:
         yield {"node": batch.column("node"), "sketch": lists(np.array(found, np.uint64))}
 
