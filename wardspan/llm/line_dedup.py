@@ -67,7 +67,7 @@ class LineIndex:
 
     def read(self, names: list[str]) -> DataFrame:
         """All rows of some runs, as one scan of their files."""
-        return self.spark.read.parquet(*[self.paths[name] for name in names])
+        return self.spark.read.schema("k1 long, k2 long, n_docs long, keeper long").parquet(*[self.paths[name] for name in names])
 
     def _write(self, rows: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"

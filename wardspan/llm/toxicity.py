@@ -39,6 +39,8 @@ TRAIN_DOCS = 10_000
 LEARNED = (0, 4, 5)
 LEARNED_WORDS, LEAST_ODDS, LEAST_DOCS = 60, 4.5, 5
 THRESHOLD = 0.7
+#: Voters are taken to be precise: at most this share of the clean documents gets a toxic vote of any one voter.
+MOST_FALSE = 0.003
 HASH_BITS = 12
 
 BREAKS = np.ones(256, bool)
@@ -176,6 +178,9 @@ def fit_label_model(votes: np.ndarray, counts: np.ndarray, rounds: int = 50) ->
         for c, share in ((1, p), (0, 1 - p)):
             mass = share * counts
             table[c] = (np.einsum("r,rvk->vk", mass, shown) + [0.5, 0.5, 0.5]) / (mass.sum() + 1.5)
+        false = np.minimum(table[0, :, 2], MOST_FALSE)
+        table[0] *= ((1 - false) / np.maximum(1 - table[0, :, 2], 1e-9))[:, None]
+        table[0, :, 2] = false
         model.prior = float(np.clip((p * counts).sum() / max(1, counts.sum()), 1e-3, 0.5))
         shared = np.zeros((n, n))
         for share in (p, 1 - p):
