@@ -7,9 +7,10 @@ with very long words go to the library itself.
 
 from __future__ import annotations
 
+import json
 import os
 import re
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -30,25 +31,32 @@ def pre_token_pattern() -> str:
     return PATTERN
 
 
-def rank_encoder(whole):
+def rank_encoder(vocabulary: dict[str, int], special: list[str]):
     """Encoder of a byte-level vocabulary whose ids are the ranks of its merges."""
     import tiktoken
 
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     shown = [*plain, *(b for b in range(256) if b not in plain)]
     byte_of = {chr(b) if k < len(plain) else chr(256 + k - len(plain)): b for k, b in enumerate(shown)}
-    special = {t.content for t in whole.get_added_tokens_decoder().values()}
-    ranks = {bytes(byte_of[c] for c in token): n for token, n in whole.get_vocab().items() if token not in special}
+    ranks = {bytes(byte_of[c] for c in token): n for token, n in vocabulary.items() if token not in special}
     return tiktoken.Encoding("ranks", pat_str=pre_token_pattern(), mergeable_ranks=ranks, special_tokens={})
 
 
 class Encoder:
+    """The rank encoder of a vocabulary file; the library itself is loaded when the first text needs it."""
+
     def __init__(self, path: str):
+        self.path = path
+        with open(path, encoding="utf-8") as file:
+            stored = json.load(file)
+        self.special = [token["content"] for token in stored["added_tokens"]]
+        self.ranks = rank_encoder(stored["model"]["vocab"], self.special)
+
+    @cached_property
+    def whole(self):
         from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(path)
-        self.ranks = rank_encoder(self.whole)
-        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        return Tokenizer.from_file(self.path)
 
     def usual(self, text: str) -> bool:
         return not (UNUSUAL.search(text) or LONG_WORD.search(text) or any(s in text for s in self.special))
