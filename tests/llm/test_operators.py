@@ -313,6 +313,21 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.score_toxicity(docs.where("false"), marks).count() == 0
 
 
+def test_patterns_see_every_text():
+    patterns = [re.compile(p) for p in toxicity.PATTERNS.values()]
+    voters = toxicity.Voters([(0, toxicity.hashes_of(words.split())) for words in toxicity.LEXICONS.values()], patterns)
+    rng = random.Random(12)
+    marks = "idiots IDİOTS ıdiot morons loser losers clowns scum tra\u017fh pathetic worthless stupid disgusting lo\u017fers".split()
+    texts = ["you are all idiots", None, "", "They were LOSERS", "a quiet day"]
+    texts += [" ".join(rng.choice([*marks, "you", "they", "w", "x."]) for _ in range(rng.randrange(1, 6))) for _ in range(300)]
+    hits, n_words, _ = voters.counts(pa.array(texts))
+    found = [[sum(1 for _ in p.finditer(t or "")) for p in patterns] for t in texts]
+    assert hits[:, len(voters.lists) :].tolist() == found
+    votes = voters.votes(hits, n_words)
+    assert hits[0, : len(voters.lists)].sum() == 0 and votes[0, len(voters.lists)] == 1 and votes[0, -1] == -1
+    assert votes[4, -1] == votes[1, -1] == 0
+
+
 def test_urls(spark):
     rows = [(k, f"http{'s' * (k % 2)}://H{k}.{host}/{lang}/{k}?a=1&b={k}", "p") for k, (host, lang) in enumerate([(h, x) for h in ("example.net", "example.com", "example.org", "other.net") for x in ("en", "de", "fr")] * 12)]
     rows += [(900, None, "p"), (901, "no scheme", "p"), (902, "http://A.net", "p"), (903, "x://a.net/", "p"), (904, "http://example.com?q/de/", "p"), (905, "http://notexample.com/de/", "p"), (906, "http://" + "a" * 5_000 + ".org/fr/x#y", "p")]

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +33,8 @@ PATTERNS = {
     "directed": r"(?i)\b(you|your|they|he|she|these|those)\b[^.!?\n]{0,40}\b(idiots?|morons?|losers?|clowns?|scum|trash|pathetic|worthless|stupid|disgusting)\b",
     "paired": r"(?i)\b(idiot|moron|loser|clown|scum|trash|pathetic|worthless|stupid|disgusting)\b\W+(\w+\W+){0,3}\b(idiot|moron|loser|clown|scum|trash|pathetic|worthless|stupid|disgusting)\b",
 }
+#: Every match of a pattern holds one of these, with the letters that Python takes for i, s and k when case is ignored.
+MARKS = "(?i)" + re.sub("[isk]", lambda m: {"i": "[iİı]", "s": "[sſ]", "k": "[k\u212a]"}[m[0]], "idiot|moron|loser|clown|scum|trash|pathetic|worthless|stupid|disgusting")
 #: A labelled sample of this many rows gives the learned list; a sample of this many documents trains the classifier.
 LABELLED_ROWS = 20_000
 TRAIN_DOCS = 10_000
@@ -74,7 +77,7 @@ def hashes_of(words: list[str]) -> np.ndarray:
 @dataclass
 class Voters:
     """Word lists as sorted hashes with the length of their stems (0: whole words), and compiled patterns that are tried
-    on texts with a listed word."""
+    on texts with one of MARKS."""
 
     lists: list[tuple[int, np.ndarray]]
     patterns: list[re.Pattern]
@@ -94,7 +97,8 @@ class Voters:
                 words = words_of[stem]
                 at = np.minimum(np.searchsorted(known, words), len(known) - 1)
                 hits[:, k] = np.bincount(owner[known[at] == words], minlength=len(texts))
-        for row in np.flatnonzero(hits.any(axis=1)):
+        marked = pc.fill_null(pc.match_substring_regex(texts, MARKS), False)
+        for row in np.flatnonzero(np.asarray(marked)):
             text = texts[int(row)].as_py()
             for k, pattern in enumerate(self.patterns, len(self.lists)):
                 hits[row, k] = sum(1 for _ in pattern.finditer(text))
@@ -102,11 +106,11 @@ class Voters:
 
     def votes(self, hits: np.ndarray, n_words: np.ndarray) -> np.ndarray:
         """1 toxic, 0 clean, -1 nothing. Lists and patterns vote toxic on a hit; the last voter looks at the density of all
-        list hits and alone votes clean, where there are none."""
+        list hits and alone votes clean, where nothing hits."""
         out = np.full((len(hits), len(self)), -1, np.int8)
         out[:, :-1][hits > 0] = 1
         listed = hits[:, : len(self.lists)].sum(axis=1)
-        out[:, -1] = np.where(listed * 200 >= np.maximum(n_words, 1), 1, np.where(listed == 0, 0, -1))
+        out[:, -1] = np.where(listed * 200 >= np.maximum(n_words, 1), 1, np.where(hits.any(axis=1), -1, 0))
         return out
 
 
