@@ -313,6 +313,24 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.score_toxicity(docs.where("false"), marks).count() == 0
 
 
+def test_toxicity_with_a_word_common_in_clean_texts(spark):
+    rng = random.Random(14)
+    rows, labels = [], []
+    for i in range(2_400):
+        toxic, everyday = i % 6 == 0, i % 6 and i % 20 == 1
+        body = text_of(rng, 60).split()
+        for word in (rng.choices("idiot moron loser trash scum pathetic".split(), k=4) if toxic else ["kill"] if everyday else []):
+            body.insert(rng.randrange(len(body)), word)
+        rows.append((i, " ".join(body)))
+        labels.append((i, int(toxic)))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    for known in (marks, marks.where("doc_id < 600")):
+        scored = {r.doc_id: r for r in toxicity.score_toxicity(docs, known).collect()}
+        held = [i for i in range(2_400) if scored[i].held_out]
+        assert not any(scored[i].predicted for i in held if i % 6 and i % 20 == 1)
+        assert np.mean([scored[i].predicted == (i % 6 == 0) for i in held]) > 0.97
+
+
 def test_patterns_see_every_text():
     patterns = [re.compile(p) for p in toxicity.PATTERNS.values()]
     voters = toxicity.Voters([(0, toxicity.hashes_of(words.split())) for words in toxicity.LEXICONS.values()], patterns)

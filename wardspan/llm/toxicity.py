@@ -42,8 +42,8 @@ TRAIN_DOCS = 10_000
 LEARNED = (0, 4, 5)
 LEARNED_WORDS, LEAST_ODDS, LEAST_DOCS = 60, 4.5, 5
 THRESHOLD = 0.7
-#: Voters are taken to be precise: at most this share of the clean documents gets a toxic vote of any one voter.
-MOST_FALSE = 0.003
+#: Prior of the share of clean documents with a toxic vote of one voter, and how many clean documents it counts as.
+FALSE_SHARE, FALSE_DOCS = 0.003, 1_000
 HASH_BITS = 12
 
 BREAKS = np.ones(256, bool)
@@ -114,12 +114,16 @@ class Voters:
         return out
 
 
-def learned_lists(docs: DataFrame, labels: DataFrame, rows: int, words: int) -> list[tuple[int, np.ndarray]]:
-    """The words and stems whose smoothed log odds of a toxic label are high, among labelled rows that may be learned from."""
+def usable_labels(labels: DataFrame, rows: int) -> dict[int, int]:
+    """toxic by doc_id of at most `rows` labelled rows that may be learned from, in the order of a hash."""
     usable = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL AND pmod(crc32(CAST(CAST(doc_id AS STRING) AS BINARY)), 3) <> 1")
     taken = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     taken = taken.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    known = docs.sparkSession.sparkContext.broadcast({row["doc_id"]: row["toxic"] for row in taken.collect()})
+    return {row["doc_id"]: row["toxic"] for row in taken.collect()}
+
+
+def learned_lists(docs: DataFrame, known, words: int) -> list[tuple[int, np.ndarray]]:
+    """The words and stems whose smoothed log odds of a toxic label are high, among the labelled rows (broadcast)."""
 
     def count(batch):
         ids = batch.column("doc_id").to_pylist()
@@ -165,10 +169,11 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(score, -60, 60)))
 
 
-def fit_label_model(votes: np.ndarray, counts: np.ndarray, rounds: int = 50) -> LabelModel:
+def fit_label_model(votes: np.ndarray, counts: np.ndarray, labels: np.ndarray | None = None, rounds: int = 50) -> LabelModel:
     """Expectation maximisation over the distinct vote rows and their counts.
 
-    After each fit the votes' correlations within the classes are estimated; a voter's evidence is divided by one plus the
+    Rows with a label (1 toxic, 0 clean, -1 none) keep it, and the first table is counted from them. The share of false
+    toxic votes of a voter is estimated like all others, from a Beta prior. After each fit the votes' correlations within the classes are estimated; a voter's evidence is divided by one plus the
     sum of its positive correlations with others, so that voters who repeat one another count about once.
     """
     n = votes.shape[1]
@@ -177,12 +182,19 @@ def fit_label_model(votes: np.ndarray, counts: np.ndarray, rounds: int = 50) ->
     table[0] = [0.55, 0.43, 0.02]
     model = LabelModel(0.1, table, np.ones(n))
     shown = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(float)
+    labels = np.full(len(votes), -1) if labels is None else labels
+
+    def shares_of(mass: np.ndarray, start: np.ndarray) -> np.ndarray:
+        return (np.einsum("r,rvk->vk", mass, shown) + start) / (mass.sum() + start.sum(axis=-1, keepdims=True))
+
+    for c in (0, 1):
+        table[c] = shares_of((labels == c) * counts, 20 * table[c])
     for _ in range(rounds):
-        p = model.posterior(votes)
+        p = np.where(labels < 0, model.posterior(votes), labels)
         for c, share in ((1, p), (0, 1 - p)):
-            mass = share * counts
-            table[c] = (np.einsum("r,rvk->vk", mass, shown) + [0.5, 0.5, 0.5]) / (mass.sum() + 1.5)
-        false = np.minimum(table[0, :, 2], MOST_FALSE)
+            table[c] = shares_of(share * counts, np.full((n, 3), 0.5))
+        clean = ((1 - p) * counts).sum()
+        false = (clean * table[0, :, 2] + FALSE_DOCS * FALSE_SHARE) / (clean + FALSE_DOCS)
         table[0] *= ((1 - false) / np.maximum(1 - table[0, :, 2], 1e-9))[:, None]
         table[0, :, 2] = false
         model.prior = float(np.clip((p * counts).sum() / max(1, counts.sum()), 1e-3, 0.5))
@@ -226,7 +238,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABE
     """doc_id, held_out, score (0 to 1), predicted (1 from THRESHOLD on) of every row.
 
     `docs` needs doc_id and text, `labels` doc_id and toxic; other columns are ignored. Labels are learned from only in
-    rows whose crc32(doc_id as text) mod 3 is not 1, and only for the learned lists (at most `labelled_rows` rows); no
+    rows whose crc32(doc_id as text) mod 3 is not 1, for the learned lists and the label model (at most `labelled_rows` rows); no
     score depends on a document's own label, id, language or source. Votes are counted over all documents, the
     classifier is trained on about `train_docs` documents in the order of a text hash. Null and empty texts have no
     words and a low score; a null doc_id is held out never. Without labels the fixed lists vote alone. Repeated rows
@@ -234,18 +246,20 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABE
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    lists = [(0, hashes_of(words.split())) for words in LEXICONS.values()] + learned_lists(docs, labels, labelled_rows, LEARNED_WORDS)
+    known = spark.sparkContext.broadcast(usable_labels(labels, labelled_rows))
+    lists = [(0, hashes_of(words.split())) for words in LEXICONS.values()] + learned_lists(docs, known, LEARNED_WORDS)
     voters = spark.sparkContext.broadcast(Voters(lists, [re.compile(p) for p in PATTERNS.values()]))
 
     def vote(batch):
         for i, j in batches_of(batch.column("text")):
             hits, n_words, _ = voters.value.counts(batch.column("text").slice(i, j - i))
-            rows, counts = np.unique(voters.value.votes(hits, n_words), axis=0, return_counts=True)
+            marks = np.array([known.value.get(d, -1) for d in batch.column("doc_id").slice(i, j - i).to_pylist()], np.int8)
+            rows, counts = np.unique(np.column_stack([voters.value.votes(hits, n_words), marks]), axis=0, return_counts=True)
             yield {"votes": [r.tolist() for r in rows], "n": counts}
 
-    seen = map_batches(docs.select("text"), vote, "votes array<int>, n long").groupBy("votes").agg(F.sum("n").alias("n")).orderBy("votes").collect()
-    rows = np.array([row["votes"] for row in seen], np.int64).reshape(len(seen), len(voters.value))
-    model = fit_label_model(rows, np.array([row["n"] for row in seen], float))
+    seen = map_batches(docs, vote, "votes array<int>, n long").groupBy("votes").agg(F.sum("n").alias("n")).orderBy("votes").collect()
+    rows = np.array([row["votes"] for row in seen], np.int64).reshape(len(seen), len(voters.value) + 1)
+    model = fit_label_model(rows[:, :-1], np.array([row["n"] for row in seen], float), rows[:, -1])
     total = sum(row["n"] for row in seen)
     share = min(1.0, train_docs / max(1, total))
     sample = docs.select("text").where(F.pmod(F.xxhash64(F.lit(7), "text"), F.lit(1 << 20)) < int(share * (1 << 20)))
