@@ -331,6 +331,14 @@ def test_toxicity_with_a_word_common_in_clean_texts(spark):
         assert np.mean([scored[i].predicted == (i % 6 == 0) for i in held]) > 0.97
 
 
+def test_training_sample_holds_distinct_texts(spark):
+    rows = [("hot",)] * 300 + [(None,)] * 50 + [(f"text {k}",) for k in range(200)]
+    docs = spark.createDataFrame(rows, "text string")
+    every = {r.text: r.n for r in toxicity.training_sample(docs, 1, 10_000).collect()}
+    assert every == {"hot": 300, None: 50, **{f"text {k}": 1 for k in range(200)}}
+    assert toxicity.training_sample(docs, 1, 40).count() == 40
+
+
 def test_patterns_see_every_text():
     patterns = [re.compile(p) for p in toxicity.PATTERNS.values()]
     voters = toxicity.Voters([(0, toxicity.hashes_of(words.split())) for words in toxicity.LEXICONS.values()], patterns)

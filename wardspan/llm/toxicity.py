@@ -218,14 +218,22 @@ def features(hits: np.ndarray, n_words: np.ndarray, words: np.ndarray, owner: np
     return dense, (owner, (words >> np.uint64(64 - HASH_BITS)).astype(np.int64), (1 / size)[owner])
 
 
-def fit_classifier(dense: np.ndarray, sparse: tuple, target: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
-    """Logistic regression on soft labels by Adam; hashed words are shrunk much more than the hits."""
+def training_sample(docs: DataFrame, total: int, most: int) -> DataFrame:
+    """text and n, the rows that have it: at most `most` distinct texts, picked and ordered by a hash; `total` rows in all."""
+    order = F.xxhash64(F.lit(7), "text")
+    picked = docs.where(F.pmod(order, F.lit(1 << 20)) < int(min(1.0, most / max(1, total)) * (1 << 20)))
+    return picked.groupBy("text").agg(F.count("*").alias("n")).orderBy(order, "text").limit(most)
+
+
+def fit_classifier(dense: np.ndarray, sparse: tuple, target: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    """Logistic regression on soft labels by Adam, each row as often as counted; hashed words are shrunk much more than the
+    hits."""
     owner, bucket, weight = sparse
     params = [np.zeros(dense.shape[1]), np.zeros(1 << HASH_BITS)]
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in params]
     for turn in range(1, rounds + 1):
         score = dense @ params[0] + np.bincount(owner, weights=weight * params[1][bucket], minlength=len(dense))
-        gap = (1 / (1 + np.exp(-score)) - target) / max(1, len(target))
+        gap = (1 / (1 + np.exp(-score)) - target) * counts / max(1, counts.sum())
         slopes = [dense.T @ gap + 1e-5 * params[0], np.bincount(bucket, weights=weight * gap[owner], minlength=1 << HASH_BITS) + 1e-2 * params[1]]
         for p, g, (m, v) in zip(params, slopes, moments, strict=True):
             m += 0.1 * (g - m)
@@ -240,7 +248,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABE
     `docs` needs doc_id and text, `labels` doc_id and toxic; other columns are ignored. Labels are learned from only in
     rows whose crc32(doc_id as text) mod 3 is not 1, for the learned lists and the label model (at most `labelled_rows` rows); no
     score depends on a document's own label, id, language or source. Votes are counted over all documents, the
-    classifier is trained on about `train_docs` documents in the order of a text hash. Null and empty texts have no
+    classifier is trained on at most `train_docs` distinct texts in the order of a hash, weighted by their rows. Null and empty texts have no
     words and a low score; a null doc_id is held out never. Without labels the fixed lists vote alone. Repeated rows
     are scored each; an empty table gives an empty table.
     """
@@ -260,9 +268,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABE
     seen = map_batches(docs, vote, "votes array<int>, n long").groupBy("votes").agg(F.sum("n").alias("n")).orderBy("votes").collect()
     rows = np.array([row["votes"] for row in seen], np.int64).reshape(len(seen), len(voters.value) + 1)
     model = fit_label_model(rows[:, :-1], np.array([row["n"] for row in seen], float), rows[:, -1])
-    total = sum(row["n"] for row in seen)
-    share = min(1.0, train_docs / max(1, total))
-    sample = docs.select("text").where(F.pmod(F.xxhash64(F.lit(7), "text"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    sample = training_sample(docs.select("text"), sum(row["n"] for row in seen), train_docs)
 
     def describe(batch):
         texts = batch.column("text")
@@ -271,16 +277,16 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABE
             dense, (_, bucket, _) = features(hits, n_words, words, owner)
             target = model.posterior(voters.value.votes(hits, n_words).astype(np.int64))
             parts = np.split(bucket, np.cumsum(n_words)[:-1])
-            yield {"dense": [r.tolist() for r in dense], "buckets": [np.unique(p).tolist() for p in parts], "n_words": n_words, "target": target}
+            yield {"dense": [r.tolist() for r in dense], "buckets": [np.unique(p).tolist() for p in parts], "n_words": n_words, "target": target, "n": batch.column("n").slice(i, j - i)}
 
-    table = map_batches(sample, describe, "dense array<double>, buckets array<int>, n_words long, target double").toPandas()
-    table = table.iloc[np.lexsort([table["target"], table["n_words"]])] if len(table) else table
+    table = map_batches(sample, describe, "dense array<double>, buckets array<int>, n_words long, target double, n long").toPandas()
+    table = table.iloc[np.lexsort([table["n"], table["target"], table["n_words"]])] if len(table) else table
     dense = np.stack(table["dense"]) if len(table) else np.zeros((0, 4 + len(voters.value) - 1))
     lengths = np.array([len(b) for b in table["buckets"]], np.int64)
     owner = np.repeat(np.arange(len(table)), lengths)
     bucket = np.concatenate([*table["buckets"], np.zeros(0)]).astype(np.int64)
     weight = (1 / np.sqrt(np.maximum(table["n_words"].to_numpy(float), 1)))[owner] if len(table) else np.zeros(0)
-    fitted = spark.sparkContext.broadcast(fit_classifier(dense, (owner, bucket, weight), table["target"].to_numpy(float)))
+    fitted = spark.sparkContext.broadcast(fit_classifier(dense, (owner, bucket, weight), table["target"].to_numpy(float), table["n"].to_numpy(float)))
 
     def score(batch):
         texts = batch.column("text")
