@@ -160,6 +160,21 @@ def test_log_ratio_follows_counts():
     assert ratios[0] > 0 > ratios[1] > ratios[2]
 
 
+def test_buckets_grow_and_all_trusted_documents_count(spark, monkeypatch):
+    rng = random.Random(21)
+    rows = [(k, f"u{rng.randrange(1 << 40)} v{k}") for k in range(20_100)] + [(None, "x y"), (20_200, "x y"), (20_201, None)]
+    docs, trusted = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k,) for k in range(20_100)] * 2, "doc_id long")
+    monkeypatch.setattr(quality, "LOAD", 4)
+    bits = quality.bits_for(docs)
+    assert abs(60_303 / (1 << bits) / 4 - 0.75) < 0.3 and quality.bits_for(docs.limit(100)) == quality.BITS
+    sums = quality.bucket_counts(docs, trusted, bits).groupBy().sum("n_raw", "n_target").first()
+    assert tuple(sums) == (60_306, 60_300)
+    ratios = quality.fit_ratios(docs, trusted).value
+    assert len(ratios) == 1 << bits
+    monkeypatch.setattr(quality, "MOST_IDS", 0)
+    assert (quality.fit_ratios(docs, trusted).value == ratios).all()
+
+
 def test_token_counts_and_ids_equal_the_library(docs, sample):
     whole = encoder.encoder(encoder.vocabulary_path("byte_bpe_50k.json"))
     rng = random.Random(5)
