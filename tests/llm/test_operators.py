@@ -295,6 +295,24 @@ def test_leaks_are_found_and_clean_texts_left(spark, docs, sample):
     assert decontaminate.find_leaks(empty(docs), bench).count() == 0 and decontaminate.find_leaks(docs, bench.where("false")).count() == 0
 
 
+def test_short_items_and_loose_copies_are_candidates(spark):
+    rng = random.Random(17)
+    items = [(k, text_of(rng, 5 if k < 40 else 40, 5_000)) for k in range(80)]
+    rows = []
+    for k, text in items:
+        body = text.split()
+        if k >= 40:
+            kept = set(rng.sample(range(40), 25))
+            body = [w if j in kept else f"other{rng.randrange(10**6)}" for j, w in enumerate(body)]
+        at = rng.randrange(60)
+        host = text_of(rng, 120, 5_000).split()
+        rows.append((k, " ".join(host[:at] + body + host[at:])))
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, bench).collect()}
+    want = {(k, k) for k, text in items if decontaminate.Passage(decontaminate.tokens(text)).share(decontaminate.tokens(rows[k][1]))}
+    assert want <= found and len(want) > 70
+
+
 def test_common_subsequence():
     rng = random.Random(2)
     for _ in range(200):

@@ -2,8 +2,8 @@
 
 1. Document frequencies of hashed words over the whole corpus give IDF weights.
 2. A distributed randomised SVD of the benchmark's TF-IDF passages gives a latent space.
-3. Every window of every document is projected; windows whose cosine with a passage, estimated in the latent space,
-   reaches LEAST_COSINE are candidates.
+3. Short and long windows of every document are projected; those whose cosine with a passage, estimated in the latent
+   space, reaches what the least confirmed share of the passage can leave (`least_cosine`) are candidates.
 4. A candidate counts if the longest common subsequence with the passage covers enough of its words, and enough of its
    answer, the last third.
 The benchmark is the query set: its passages go to all tasks in blocks of ITEMS_PER_BLOCK items.
@@ -26,9 +26,12 @@ from wardspan.llm.words import LOWER_CODES, SPACE, batches_of, find_spans, hash_
 BITS = 15
 BUCKETS = 1 << BITS
 RANK, SPARE, ROUNDS = 128, 16, 3
-STRIDE, WINDOW = 16, 32
+#: Windows of 16 and 32 words begin at every 8th word.
+STRIDE, WINDOWS = 8, (16, 32)
+WINDOW = max(WINDOWS)
 PASSAGE, PASSAGE_STRIDE, LONG_ITEM = 48, 24, 64
-LEAST_COSINE = 0.4
+#: Part of the expected cosine that rarer words around a copy may take away.
+SLACK = 0.5
 LEAST_SHARE, SHORT_SHARE, SHORT = 0.6, 0.9, 12
 LEAST_ANSWER = 0.5
 ITEMS_PER_BLOCK = 5_000
@@ -161,6 +164,22 @@ class Passage:
         return lengths[0] / len(self.words)
 
 
+def least_cosine(n: int, width: int) -> float:
+    """Cosine of a passage of n words with a window of `width` words that holds the least confirmed share of it, were all
+    words of equal weight, times SLACK."""
+    share = LEAST_SHARE if n >= SHORT else SHORT_SHARE
+    return SLACK * share * min(n, width) / np.sqrt(max(1, n) * width)
+
+
+def widened(blocks: np.ndarray, owner: np.ndarray, by: int) -> np.ndarray:
+    """Each row plus the one `by` rows later, if it is of the same text."""
+    out = blocks.copy()
+    if len(out) > by:
+        same = owner[by:] == owner[:-by]
+        out[:-by][same] += blocks[by:][same]
+    return out
+
+
 def common_subsequence(places: dict[str, int], n: int, text: list[str]) -> int:
     """Length of the longest common subsequence of a text and the n words with these places."""
     full = row = (1 << n) - 1
@@ -209,17 +228,20 @@ class Screen:
             part[:] = 0
             for column in held.T:
                 part += np.take(self.space, column, axis=0, out=row[: len(part)], mode="clip")
-        inner = owner[1:] == owner[:-1]
+        least = [np.array([least_cosine(len(p.words), width) for p in self.passages], np.float32) for width in WINDOWS]
         best: dict[tuple[int, int], list[tuple[float, int]]] = {}
-        for k in range(0, len(owner), 8192):
-            windows = sums[k : k + 8192].copy()
-            follows = inner[k : k + len(windows)]
-            windows[: len(follows)][follows] += sums[k + 1 : k + 1 + len(follows)][follows]
-            norms = squares[k : k + 8192].copy()
-            norms[: len(follows)][follows] += squares[k + 1 : k + 1 + len(follows)][follows]
-            windows /= np.maximum(np.sqrt(norms), 1e-6)[:, None]
-            cosine = windows @ self.latent.T
-            for b, p in zip(*np.nonzero(cosine >= LEAST_COSINE), strict=True):
+        size, beyond = 4096, WINDOW // STRIDE
+        for k in range(0, len(owner), size):
+            own, part, norms = (x[k : k + size + beyond] for x in (owner, sums, squares))
+            cosine = hit = None
+            by = 1
+            for width, bound in zip(WINDOWS, least, strict=True):
+                while by * STRIDE < width:
+                    part, norms, by = widened(part, own, by), widened(norms, own, by), 2 * by
+                near = (part[:size] / np.maximum(np.sqrt(norms[:size]), 1e-6)[:, None]) @ self.latent.T
+                hit = near >= bound if hit is None else hit | (near >= bound)
+                cosine = near if cosine is None else np.maximum(cosine, near)
+            for b, p in zip(*np.nonzero(hit), strict=True):
                 best.setdefault((int(owner[k + b]), int(p)), []).append((float(cosine[b, p]), k + int(b)))
         for (text, p), found in sorted(best.items()):
             length = len(self.passages[p].words)
