@@ -423,6 +423,31 @@ def test_chat_recovers_roles_over_chunks(spark):
     assert chat.format_conversations(table.where("false")).count() == 0
 
 
+def test_chat_cuts_a_hot_turn_by_rows(spark, monkeypatch):
+    rng = random.Random(31)
+    rows = [(7, 0, rng.choice(["user", "assistant", None]), text_of(rng, rng.randrange(3, 20))) for _ in range(600)] + [(7, 0, "user", "again?")] * 600
+    rows += [(k, t, ("user", "assistant")[t % 2], text_of(rng, 5)) for k in range(20, 60) for t in range(5)] + [(None, 0, "user", "x")]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    whole = chat.format_conversations(table).collect()
+    monkeypatch.setattr(chat, "PART_ROWS", 64)
+    monkeypatch.setattr(chat, "FAN", 4)
+    keyed = table.where("conv_id IS NOT NULL").selectExpr("*", "xxhash64(role, 2, text) AS row", "xxhash64(monotonically_increasing_id()) AS tie")
+    sizes = [r["count"] for r in chat.in_parts(keyed).groupBy("part").count().collect()]
+    assert len(sizes) > 12 and max(sizes) < 4 * 64 and sum(sizes) == len(rows) - 1
+    cut = chat.format_conversations(table).collect()
+    assert sorted(str((r.conv_id, r.turn, r.given_role)) for r in cut) == sorted(str((r.conv_id, r.turn, r.given_role)) for r in whole)
+    model, hot = chat.fit(keyed), keyed.where("conv_id = 7").orderBy("row").collect()
+
+    def score(found):
+        role_of = {(r.given_role, r.rendered.split("\n")[1]): chat.ROLES.index(r.role) for r in found if r.conv_id == 7}
+        path = [role_of[r.role, r.text] for r in hot]
+        shown = [chat.read_lines(r.role, r.text, r.turn)[0] for r in hot]
+        total = model.start[path[0]] + sum(model.change[a, b] for a, b in zip(path, path[1:], strict=False))
+        return total + sum(model.emission(line[1], line[3])[role] for line, role in zip(shown, path, strict=True))
+
+    assert abs(score(cut) - score(whole)) < 1e-6
+
+
 def test_chunked_viterbi_equals_whole(spark):
     rng = np.random.default_rng(3)
     n = len(chat.ROLES)

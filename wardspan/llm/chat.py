@@ -3,8 +3,9 @@
 States are the roles. A line shows a speaker marker (from the role column, or written at its beginning) and features of its
 text. Roles persist inside a row; between rows, and at a written marker, they change by their own transition matrix. All
 probabilities are smoothed counts over the rows whose role is known. Viterbi runs over whole conversations, however long:
-they are cut into chunks of CHUNK turns, each chunk is reduced to a roles x roles matrix of best scores, the matrices of a
-conversation give the best roles at the chunk borders, and the chunks are then decoded between their borders.
+the sorted rows of all conversations are cut into parts of about PART_ROWS rows, conversations that cross a cut are reduced
+to a roles x roles matrix of best scores per part, the matrices of a conversation give, merged as a tree over ranges of
+parts, the best roles at the cuts, and the parts are then decoded between them.
 """
 
 from __future__ import annotations
@@ -24,7 +25,9 @@ ROLES = ("system", "user", "assistant")
 #: Fixed names of speakers, lower case.
 NAMES = {"system": 0, "instruction": 0, "instructions": 0, "user": 1, "human": 1, "customer": 1, "q": 1, "question": 1, "assistant": 2, "ai": 2, "bot": 2, "model": 2, "agent": 2, "a": 2, "answer": 2}
 MARKER = re.compile(r"^\s*(?:[#>*\[<|]+\s*)?([A-Za-z]+)\s*(?:\|?>|\]|\*\*)?\s*:\s*")
-CHUNK = 64
+#: Rows of a part, sampled rows per part that place the cuts, and parts of a conversation that are merged in one group.
+PART_ROWS, SAMPLED, FAN = 1 << 13, 32, 1 << 10
+ORDER = ("conv_id", "turn", "row", "tie")
 #: Features of a line and their numbers of values.
 FEATURES = {"words": 8, "question": 2, "ending": 3, "list": 2, "first": 2, "opening": 2}
 MARKED = 0.98
@@ -154,9 +157,94 @@ def render(lines: list[str], roles: list[int]) -> tuple[str, list[str]]:
     return "\n".join(f"<|{ROLES[role]}|>\n" + "\n".join(body).strip() + "\n<|end|>" for role, body in blocks), [ROLES[role] for role, _ in blocks]
 
 
+def _plain_rows(table: pa.Table) -> list[dict]:
+    return table.select(["turn", "role", "text", "row"]).to_pylist()
+
+
+def _sorted_rows(rows: list[dict]) -> list[dict]:
+    return sorted(rows, key=lambda r: (r["turn"], r["row"]))
+
+
 def _rows_of(table: pa.Table) -> list[dict]:
-    rows = table.select(["turn", "role", "text", "row"]).to_pylist()
-    return sorted(rows, key=lambda r: (r["turn"] is None, r["turn"] or 0, r["row"]))
+    return _sorted_rows(_plain_rows(table))
+
+
+def in_parts(rows: DataFrame) -> DataFrame:
+    """`rows` with a column part, numbered in the order of ORDER: about PART_ROWS rows each, whatever keys they have.
+
+    The cuts come from a sample by the hash of the keys; `tie` tells equal rows apart, whose order does not matter.
+    """
+    n = rows.count()
+    share = SAMPLED / PART_ROWS if n > PART_ROWS else 0.0
+    picked = rows.select(*ORDER).where(F.pmod(F.xxhash64(F.lit(5), *ORDER), F.lit(1 << 30)) < int(share * (1 << 30)))
+    kind = np.dtype([(c, np.int64) for c in ORDER])
+    keys = np.sort(np.array([tuple(r) for r in picked.collect()], kind))
+    cuts = rows.sparkSession.sparkContext.broadcast(keys[SAMPLED::SAMPLED])
+
+    def place(batches):
+        for batch in batches:
+            each = np.empty(len(batch), kind)
+            for c in ORDER:
+                each[c] = batch.column(c).to_numpy()
+            part = np.searchsorted(cuts.value, each, "right").astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part)], names=[*batch.schema.names, "part"])
+
+    return rows.mapInArrow(place, rows.withColumn("part", F.lit(0).cast("long")).schema).drop("tie")
+
+
+def _merged(matrices: list[np.ndarray]) -> np.ndarray:
+    """The matrix of consecutive parts as one."""
+    out = matrices[0]
+    for matrix in matrices[1:]:
+        out = (out[:, :, None] + matrix[:-1][None]).max(axis=1)
+    return out
+
+
+def _cut_roles(matrices: list[np.ndarray], before: int | None, last: int | None) -> list[int]:
+    """The best role at the end of each part, after role `before` and up to role `last` (None: free)."""
+    best, back = matrices[0][-1 if before is None else before], []
+    for matrix in matrices[1:]:
+        reach = best[:, None] + matrix[:-1]
+        back.append(reach.argmax(axis=0))
+        best = reach.max(axis=0)
+    roles = [int(best.argmax()) if last is None else last]
+    for pointers in reversed(back):
+        roles.append(int(pointers[roles[-1]]))
+    return roles[::-1]
+
+
+def cut_roles(matrices: DataFrame) -> DataFrame:
+    """conv_id, part, before, last: the best roles before and at the end of each part of a conversation.
+
+    At most FAN parts meet in a group; longer conversations are merged by ranges of parts first, and solved downwards.
+    """
+
+    def read(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
+        order = np.argsort(table["part"].to_numpy(), kind="stable")
+        held = table["matrix"].to_pylist()
+        return table["part"].to_numpy()[order], [np.array(held[k]).reshape(-1, len(ROLES)) for k in order]
+
+    def solved(table: pa.Table, before: int | None, last: int | None) -> pa.Table:
+        parts, held = read(table)
+        roles = _cut_roles(held, before, last)
+        conv = pa.array([table["conv_id"][0].as_py()] * len(parts), pa.int64())
+        return pa.table({"conv_id": conv, "part": pa.array(parts, pa.int64()), "before": pa.array([before, *roles[:-1]], pa.int32()), "last": pa.array(roles, pa.int32())})
+
+    def merge(table: pa.Table) -> pa.Table:
+        matrix = _merged(read(table)[1]).reshape(-1).tolist()
+        return pa.table({"conv_id": table["conv_id"][:1], "part": table["range"][:1], "matrix": pa.array([matrix], pa.list_(pa.float64()))})
+
+    def down(table: pa.Table, above: pa.Table) -> pa.Table:
+        return solved(table, above["before"][0].as_py(), above["last"][0].as_py())
+
+    schema = "conv_id long, part long, before int, last int"
+    most = matrices.groupBy("conv_id").count().agg(F.max("count")).first()[0]
+    if (most or 0) <= FAN:
+        return matrices.groupBy("conv_id").applyInArrow(lambda table: solved(table, None, None), schema)
+    ranged = matrices.withColumn("range", F.floor(F.col("part") / FAN))
+    upper = write_stage(ranged.groupBy("conv_id", "range").applyInArrow(merge, "conv_id long, part long, matrix array<double>"), "part-matrices")
+    above = write_stage(cut_roles(upper), "part-ends").withColumnRenamed("part", "range")
+    return ranged.groupBy("conv_id", "range").cogroup(above.groupBy("conv_id", "range")).applyInArrow(down, schema)
 
 
 def format_conversations(conversations: DataFrame) -> DataFrame:
@@ -169,37 +257,24 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
     """
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), "text")
     rows = rows.withColumn("row", F.xxhash64("role", F.lit(2), "text"))
+    rows = rows.withColumn("tie", F.xxhash64(F.monotonically_increasing_id()))
     alone = F.col("conv_id").isNull() | F.col("turn").isNull()
-    rows = rows.withColumn("alone", alone).withColumn("part", F.when(alone, F.col("row")).otherwise(F.floor(F.col("turn") / CHUNK)))
+    rows = rows.withColumn("alone", alone)
     model = conversations.sparkSession.sparkContext.broadcast(fit(rows))
 
     def lines_of(row: dict) -> list:
         return read_lines(row["role"], row["text"], row["turn"])
 
-    def reduce_chunk(table: pa.Table) -> pa.Table:
-        lines = [line[1:] for row in _rows_of(table) for line in lines_of(row)]
-        matrix = chunk_matrix(model.value, lines).reshape(-1)
-        return pa.table({"conv_id": table["conv_id"][:1], "part": table["part"][:1], "matrix": pa.array([matrix.tolist()], pa.list_(pa.float64()))})
+    chained = in_parts(rows.where(~F.col("alone")).drop("alone"))
 
-    chained = rows.where(~F.col("alone"))
-    matrices = chained.groupBy("conv_id", "part").applyInArrow(reduce_chunk, "conv_id long, part long, matrix array<double>")
+    def reduce_part(table: pa.Table) -> pa.Table:
+        part, convs = table["part"][0].as_py(), table["conv_id"].to_numpy()
+        edges = sorted({int(convs.min()), int(convs.max())})
+        matrices = [chunk_matrix(model.value, [line[1:] for row in _rows_of(table.filter(pa.array(convs == conv))) for line in lines_of(row)]) for conv in edges]
+        return pa.table({"conv_id": pa.array(edges, pa.int64()), "part": pa.array([part] * len(edges), pa.int64()), "matrix": pa.array([m.reshape(-1).tolist() for m in matrices], pa.list_(pa.float64()))})
 
-    def borders(table: pa.Table) -> pa.Table:
-        order = np.argsort(table["part"].to_numpy(), kind="stable")
-        chunks = [np.array(table["matrix"][int(k)].as_py()).reshape(-1, len(ROLES)) for k in order]
-        best, back = chunks[0][-1], []
-        for matrix in chunks[1:]:
-            reach = best[:, None] + matrix[:-1]
-            back.append(reach.argmax(axis=0))
-            best = reach.max(axis=0)
-        last = [int(best.argmax())]
-        for pointers in reversed(back):
-            last.append(int(pointers[last[-1]]))
-        last = last[::-1]
-        parts = table["part"].to_numpy()[order]
-        return pa.table({"conv_id": pa.array([table["conv_id"][0].as_py()] * len(parts), pa.int64()), "part": pa.array(parts, pa.int64()), "before": pa.array([None, *last[:-1]], pa.int32()), "last": pa.array(last, pa.int32())})
-
-    ends = write_stage(matrices.groupBy("conv_id").applyInArrow(borders, "conv_id long, part long, before int, last int"), "chunk-ends")
+    matrices = chained.groupBy("part").applyInArrow(reduce_part, "conv_id long, part long, matrix array<double>")
+    ends = write_stage(cut_roles(write_stage(matrices, "part-matrices")), "part-ends")
 
     def write(rows: list[dict], before: int | None, last: int | None) -> dict[str, list]:
         read = [lines_of(row) for row in rows]
@@ -216,13 +291,20 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
     schema = "conv_id long, turn long, given_role string, role string, n_lines long, n_blocks long, rendered string"
     types = {"turn": pa.int64(), "given_role": pa.string(), "role": pa.string(), "n_lines": pa.int64(), "n_blocks": pa.int64(), "rendered": pa.string()}
 
-    def finish(chunk: pa.Table, border: pa.Table) -> pa.Table:
-        if not len(chunk):
-            return pa.table({"conv_id": pa.array([], pa.int64()), **{c: pa.array([], t) for c, t in types.items()}})
-        out = write(_rows_of(chunk), border["before"][0].as_py(), border["last"][0].as_py())
-        return pa.table({"conv_id": pa.array([chunk["conv_id"][0].as_py()] * len(chunk), pa.int64()), **{c: pa.array(out[c], t) for c, t in types.items()}})
-
-    decoded = chained.groupBy("conv_id", "part").cogroup(ends.groupBy("conv_id", "part")).applyInArrow(finish, schema)
+    def finish(table: pa.Table, border: pa.Table) -> pa.Table:
+        known = {row["conv_id"]: (row["before"], row["last"]) for row in border.to_pylist()}
+        held: dict[int, list[dict]] = {}
+        for conv, row in zip(table["conv_id"].to_pylist(), _plain_rows(table), strict=True):
+            held.setdefault(conv, []).append(row)
+        out = {"conv_id": [], **{c: [] for c in types}}
+        for conv, rows in held.items():
+            done = write(_sorted_rows(rows), *known.get(conv, (None, None)))
+            out["conv_id"] += [conv] * len(rows)
+            for c in types:
+                out[c] += done[c]
+        return pa.table({"conv_id": pa.array(out["conv_id"], pa.int64()), **{c: pa.array(out[c], t) for c, t in types.items()}})
+
+    decoded = chained.groupBy("part").cogroup(ends.groupBy("part")).applyInArrow(finish, schema)
 
     def single(batch):
         rows = [dict(zip(("turn", "role", "text"), r, strict=True)) for r in zip(*(batch.column(c).to_pylist() for c in ("turn", "role", "text")), strict=True)]
