@@ -170,7 +170,8 @@ def _rows_of(table: pa.Table) -> list[dict]:
 
 
 def in_parts(rows: DataFrame) -> DataFrame:
-    """`rows` with a column part, numbered in the order of ORDER: about PART_ROWS rows each, whatever keys they have.
+    """`rows` with a column part, numbered in the order of ORDER: about PART_ROWS rows each, whatever keys they have; and
+    crosses, whether a cut lies in the row's conversation.
 
     The cuts come from a sample by the hash of the keys; `tie` tells equal rows apart, whose order does not matter.
     """
@@ -187,9 +188,10 @@ def in_parts(rows: DataFrame) -> DataFrame:
             for c in ORDER:
                 each[c] = batch.column(c).to_numpy()
             part = np.searchsorted(cuts.value, each, "right").astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part)], names=[*batch.schema.names, "part"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part), pa.array(np.isin(each["conv_id"], cuts.value["conv_id"]))], names=[*batch.schema.names, "part", "crosses"])
 
-    return rows.mapInArrow(place, rows.withColumn("part", F.lit(0).cast("long")).schema).drop("tie")
+    schema = rows.withColumn("part", F.lit(0).cast("long")).withColumn("crosses", F.lit(True)).schema
+    return rows.mapInArrow(place, schema).drop("tie")
 
 
 def _merged(matrices: list[np.ndarray]) -> np.ndarray:
@@ -269,11 +271,11 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
 
     def reduce_part(table: pa.Table) -> pa.Table:
         part, convs = table["part"][0].as_py(), table["conv_id"].to_numpy()
-        edges = sorted({int(convs.min()), int(convs.max())})
+        edges = np.unique(convs).tolist()
         matrices = [chunk_matrix(model.value, [line[1:] for row in _rows_of(table.filter(pa.array(convs == conv))) for line in lines_of(row)]) for conv in edges]
         return pa.table({"conv_id": pa.array(edges, pa.int64()), "part": pa.array([part] * len(edges), pa.int64()), "matrix": pa.array([m.reshape(-1).tolist() for m in matrices], pa.list_(pa.float64()))})
 
-    matrices = chained.groupBy("part").applyInArrow(reduce_part, "conv_id long, part long, matrix array<double>")
+    matrices = chained.where("crosses").groupBy("part").applyInArrow(reduce_part, "conv_id long, part long, matrix array<double>")
     ends = write_stage(cut_roles(write_stage(matrices, "part-matrices")), "part-ends")
 
     def write(rows: list[dict], before: int | None, last: int | None) -> dict[str, list]:
