@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from wardspan.llm.chat import format_conversations
 from wardspan.llm.decontaminate import find_leaks
+from wardspan.llm.fingerprint import fingerprint_documents
+from wardspan.llm.hard_negatives import hard_negatives
 from wardspan.llm.line_dedup import dedup_lines
 from wardspan.llm.near_dup import near_duplicates
 from wardspan.llm.packing import pack
@@ -67,9 +69,34 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), with_ids=False).drop("ids")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors.withColumn("label", moved))
+
+
+def op13_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fingerprint_documents(table(spark, sf_dir, "documents"))
+    names = ("fingerprint", "edited_fingerprint", "near_edited", "near_next", "contained", "n_shingles_estimate")
+    return made.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), *names)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_line_dedup, op2_chat_format, op3_pii, op4_token_counts, op5_near_dedup, op6_decontaminate, op7_toxicity, op8_url_filter, op9_quality_rules, op10_packing)
+    for f in (
+        op1_line_dedup,
+        op2_chat_format,
+        op3_pii,
+        op4_token_counts,
+        op5_near_dedup,
+        op6_decontaminate,
+        op7_toxicity,
+        op8_url_filter,
+        op9_quality_rules,
+        op10_packing,
+        op12_hard_negatives,
+        op13_fingerprint,
+    )
 }
 
 LINE_DEDUP_SQL = r"""
@@ -123,4 +150,79 @@ SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, l.component_id, d.doc_id = l.co
 FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN least l ON l.doc_id = d.doc_id
 """
 
-ORACLE_SQL = {"op1_line_dedup": LINE_DEDUP_SQL, "op5_near_dedup": NEAR_DEDUP_SQL}
+#: Sketches of 128 hashes: 52-bit word hashes, weighted sums modulo a prime, compared below the last common hash.
+FINGERPRINT_SQL = r"""
+WITH ordered AS (
+  SELECT doc_id, coalesce(text, '') AS body, lead(coalesce(text, '')) OVER falling AS following, first_value(coalesce(text, '')) OVER falling AS first_body
+  FROM documents WINDOW falling AS (ORDER BY doc_id DESC)
+),
+edited AS (
+  SELECT doc_id, body, coalesce(following, first_body) AS following, length(body) AS n_chars,
+    body[1:length(body) - length(body) // 3] || coalesce(following, first_body)[1:length(body) // 3] AS edited_text
+  FROM ordered
+),
+texts AS (
+  SELECT doc_id, 1 AS kind, body AS t FROM edited UNION ALL SELECT doc_id, 2, following FROM edited UNION ALL SELECT doc_id, 3, edited_text FROM edited
+),
+hashed AS (
+  SELECT doc_id, kind, list_transform(list_filter(string_split_regex(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[ 	-
+]+'), lambda w: w <> ''), lambda w: ('0x' || md5(w)[1:13])::BIGINT) AS h
+  FROM texts
+),
+sketched AS (
+  SELECT doc_id, kind, list_sort(list_distinct(CASE WHEN len(h) = 0 THEN [] ELSE
+    list_transform(range(1, greatest(len(h) - 4, 1) + 1), lambda i: (h[i] * 3 + coalesce(h[i + 1], 0) * 7 + coalesce(h[i + 2], 0) * 31
+      + coalesce(h[i + 3], 0) * 127 + coalesce(h[i + 4], 0) * 251) % 4503599627370449) END))[1:128] AS s
+  FROM hashed
+),
+beside AS (
+  SELECT o.doc_id, o.s AS own, e.s AS edited, n.s AS following,
+    least(CASE WHEN len(o.s) >= 128 THEN o.s[128] END, CASE WHEN len(e.s) >= 128 THEN e.s[128] END) AS edited_limit,
+    least(CASE WHEN len(o.s) >= 128 THEN o.s[128] END, CASE WHEN len(n.s) >= 128 THEN n.s[128] END) AS next_limit
+  FROM sketched o JOIN sketched n ON n.doc_id = o.doc_id AND n.kind = 2 JOIN sketched e ON e.doc_id = o.doc_id AND e.kind = 3
+  WHERE o.kind = 1
+),
+counted AS (
+  SELECT *, len(list_intersect(own, edited)) AS both_edited, len(list_intersect(own, following)) AS both_next,
+    len(list_filter(own, lambda x: edited_limit IS NULL OR x <= edited_limit)) AS own_edited,
+    len(list_filter(edited, lambda x: edited_limit IS NULL OR x <= edited_limit)) AS n_edited,
+    len(list_filter(own, lambda x: next_limit IS NULL OR x <= next_limit)) AS own_next,
+    len(list_filter(following, lambda x: next_limit IS NULL OR x <= next_limit)) AS n_next
+  FROM beside
+)
+SELECT c.doc_id, e.n_chars::BIGINT AS n_chars, sha256(e.edited_text) AS edited_sha256,
+  array_to_string(list_transform(own, lambda x: printf('%013x', x)), '') AS fingerprint,
+  array_to_string(list_transform(edited, lambda x: printf('%013x', x)), '') AS edited_fingerprint,
+  CASE WHEN own_edited + n_edited = both_edited THEN 1.0 ELSE both_edited::DOUBLE / (own_edited + n_edited - both_edited) END AS near_edited,
+  CASE WHEN own_next + n_next = both_next THEN 1.0 ELSE both_next::DOUBLE / (own_next + n_next - both_next) END AS near_next,
+  CASE WHEN own_edited = 0 THEN 1.0 ELSE both_edited::DOUBLE / own_edited END AS contained,
+  CASE WHEN len(own) < 128 THEN len(own)::DOUBLE ELSE 127 / ((own[128]::DOUBLE + 1) / 4503599627370449.0::DOUBLE) END AS n_shingles_estimate
+FROM counted c JOIN edited e ON e.doc_id = c.doc_id
+"""
+
+HARD_NEGATIVES_SQL = r"""
+WITH given AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+    list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i]))::BIGINT AS score
+  FROM given a JOIN given b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+),
+positives AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+)
+SELECT p.anchor_id, p.positive_id, (row_number() OVER best)::INTEGER AS rank, n.other_id AS negative_id, p.positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same
+  AND 30 * p.positive_score <= 100 * n.score AND 100 * n.score <= 90 * p.positive_score
+WINDOW best AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.other_id)
+QUALIFY row_number() OVER best <= 10
+"""
+
+ORACLE_SQL = {"op12_hard_negatives": HARD_NEGATIVES_SQL, "op1_line_dedup": LINE_DEDUP_SQL, "op5_near_dedup": NEAR_DEDUP_SQL, "op13_fingerprint": FINGERPRINT_SQL}
