@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardspan.llm.chat import format_conversations
+from wardspan.llm.collocations import mine_phrases
 from wardspan.llm.decontaminate import find_leaks
 from wardspan.llm.fingerprint import fingerprint_documents
 from wardspan.llm.hard_negatives import hard_negatives
@@ -69,6 +70,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), with_ids=False).drop("ids")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_phrases(table(spark, sf_dir, "documents"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -94,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_url_filter,
         op9_quality_rules,
         op10_packing,
+        op11_collocations,
         op12_hard_negatives,
         op13_fingerprint,
     )
@@ -201,6 +207,58 @@ SELECT c.doc_id, e.n_chars::BIGINT AS n_chars, sha256(e.edited_text) AS edited_s
 FROM counted c JOIN edited e ON e.doc_id = c.doc_id
 """
 
+#: Counts of all phrases; a path is followed back from edge to edge through nodes with one way in and one way out.
+COLLOCATIONS_SQL = r"""
+WITH RECURSIVE pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+),
+spaced AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces),
+grams AS (
+  SELECT lang, k AS words, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+  FROM spaced, range(1, 4) lengths(k) WHERE len(w) >= k
+),
+counts AS (SELECT lang, words, phrase, count(*) AS f FROM grams GROUP BY ALL),
+totals AS (SELECT lang, sum(f) AS n FROM counts WHERE words = 1 GROUP BY lang),
+often AS (SELECT *, string_split(phrase, ' ') AS w FROM counts WHERE f >= 10),
+cuts AS (
+  SELECT lang, words, phrase, f AS a, k, array_to_string(w[1:k], ' ') AS first_part, array_to_string(w[k + 1:], ' ') AS rest
+  FROM often, range(1, 3) places(k) WHERE words > k
+),
+scored AS (
+  SELECT c.*, x.f AS l, y.f AS r, (1000000::HUGEINT * c.a * c.a // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cuts c JOIN often x ON x.lang = c.lang AND x.phrase = c.first_part JOIN often y ON y.lang = c.lang AND y.phrase = c.rest
+  QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, k) = 1
+),
+edges AS (SELECT lang, phrase, f, w[1] || ' ' || w[2] AS source, w[2] || ' ' || w[3] AS target FROM often WHERE words = 3),
+heaviest AS (
+  SELECT lang, phrase, max(f) AS f FROM (SELECT lang, source AS phrase, f FROM edges UNION ALL SELECT lang, target, f FROM edges) GROUP BY ALL
+),
+ranked AS (
+  SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.phrase) AS rank
+  FROM scored s LEFT JOIN heaviest h ON h.lang = s.lang AND h.phrase = s.phrase AND 100 * h.f >= 50 * s.a AND s.words = 2
+  WHERE h.phrase IS NULL QUALIFY rank <= 2000
+),
+steps AS (
+  SELECT e.lang, min(e.phrase) AS before, min(o.phrase) AS phrase
+  FROM (SELECT lang, target, min(phrase) AS phrase FROM edges GROUP BY ALL HAVING count(*) = 1) e
+  JOIN (SELECT lang, source, min(phrase) AS phrase FROM edges GROUP BY ALL HAVING count(*) = 1) o ON o.lang = e.lang AND o.source = e.target
+  GROUP BY e.lang, e.target
+),
+followed AS (
+  SELECT lang, phrase, phrase AS path, 0::BIGINT AS path_at FROM edges e WHERE NOT EXISTS (FROM steps s WHERE s.lang = e.lang AND s.phrase = e.phrase)
+  UNION ALL
+  SELECT s.lang, s.phrase, f.path, f.path_at + 1 FROM followed f JOIN steps s ON s.lang = f.lang AND s.before = f.phrase
+),
+paths AS (
+  SELECT e.lang, e.phrase, coalesce(f.path, e.phrase) AS path, coalesce(f.path_at, 0) AS path_at
+  FROM edges e LEFT JOIN followed f ON f.lang = e.lang AND f.phrase = e.phrase
+)
+SELECT r.lang, r.rank, r.phrase, r.a, r.l, r.r, t.n::BIGINT AS n, r.score, p.path, p.path_at
+FROM ranked r JOIN totals t ON t.lang = r.lang LEFT JOIN paths p ON p.lang = r.lang AND p.phrase = r.phrase
+"""
+
 HARD_NEGATIVES_SQL = r"""
 WITH given AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
@@ -225,4 +283,4 @@ WINDOW best AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n
 QUALIFY row_number() OVER best <= 10
 """
 
-ORACLE_SQL = {"op12_hard_negatives": HARD_NEGATIVES_SQL, "op1_line_dedup": LINE_DEDUP_SQL, "op5_near_dedup": NEAR_DEDUP_SQL, "op13_fingerprint": FINGERPRINT_SQL}
+ORACLE_SQL = {"op11_collocations": COLLOCATIONS_SQL, "op12_hard_negatives": HARD_NEGATIVES_SQL, "op1_line_dedup": LINE_DEDUP_SQL, "op5_near_dedup": NEAR_DEDUP_SQL, "op13_fingerprint": FINGERPRINT_SQL}
