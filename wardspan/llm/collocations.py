@@ -22,7 +22,7 @@ from wardspan.llm.words import batches_of, find_spans, text_bytes
 from wardspan.session import write_stage
 
 #: Bytes of text whose phrases are counted at once.
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 #: A part in more than this share of all parts is joined by broadcast: at most 1 / HOT_SHARE parts can be that frequent.
 HOT_SHARE = 1e-3
 #: Classes of the phrases of a language that are ranked before the language is.
@@ -71,7 +71,7 @@ def _blocks(offsets: np.ndarray):
 
 
 def _count_block(data: np.ndarray, offsets: np.ndarray, group: np.ndarray, most_words: int):
-    """First words, sizes and counts of the distinct windows of a block: each word opens one, as long as its piece allows."""
+    """Text, phrase and count of the distinct windows of a block: each word opens one, as long as its piece allows."""
     starts, ends, bounds = find_spans(data, offsets, WORD_BREAK)
     n = len(starts)
     if not n:
@@ -98,11 +98,11 @@ def _count_block(data: np.ndarray, offsets: np.ndarray, group: np.ndarray, most_
     joined = np.full(begin[-1] + lengths[-1], 0x20, np.uint8)
     joined[np.arange(lengths.sum()) + np.repeat(np.arange(n), lengths)] = lower[~WORD_BREAK[data]]
     last = at + size[at] - 1
-    return text[at], _strings(joined, begin[at], begin[last] + lengths[last]), size[at], count
+    return text[at], _strings(joined, begin[at], begin[last] + lengths[last]), count
 
 
 def count_windows(docs: DataFrame, most_words: int) -> DataFrame:
-    """lang, phrase, words, n: phrases of `most_words` words, and the shorter ones that end a piece, with their occurrences."""
+    """lang, phrase, n: phrases of `most_words` words, and the shorter ones that end a piece, with their occurrences."""
 
     def make(batch: pa.RecordBatch):
         texts = batch.column("text")
@@ -115,12 +115,12 @@ def count_windows(docs: DataFrame, most_words: int) -> DataFrame:
                 part = offsets[a : b + 1]
                 counted = _count_block(data[part[0] : part[-1]], part - part[0], lang[a:b], most_words)
                 if counted:
-                    text, phrases, words, n = counted
-                    yield {"lang": langs.dictionary.take(pa.array(lang[a:b][text])), "phrase": phrases, "words": words.astype(np.int32), "n": n}
+                    text, phrases, n = counted
+                    yield {"lang": langs.dictionary.take(pa.array(lang[a:b][text])), "phrase": phrases, "n": n}
 
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    found = map_batches(rows, make, "lang string, phrase string, words int, n long")
-    return found.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
+    found = map_batches(rows, make, "lang string, phrase string, n long")
+    return found.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
 def first_words(phrase: str, words: int) -> Column:
@@ -131,19 +131,23 @@ def last_words(phrase: str, words: int) -> Column:
     return F.substring_index(F.col(phrase), " ", -words)
 
 
-def phrase_counts(docs: DataFrame, most_words: int) -> dict[int, DataFrame]:
-    """For every length up to `most_words`, lang, phrase, a of all phrases; each table is written out.
+def phrase_counts(docs: DataFrame, most_words: int, least: int) -> DataFrame:
+    """lang, phrase, words, a of all phrases up to `most_words` words that occur `least` times or more, and of all words.
 
     Shorter counts are node flow plus piece ends: the longer phrases that begin with a phrase, and its occurrences at
-    the end of a piece.
+    the end of a piece. One job goes down from length to length; what is too rare only flows on.
     """
-    windows = write_stage(count_windows(docs, most_words), "phrase-windows")
-    counts = {most_words: windows.where(F.col("words") == most_words).select("lang", "phrase", F.col("n").alias("a"))}
+    rows = count_windows(docs, most_words).withColumn("settled", F.lit(False))
     for words in range(most_words - 1, 0, -1):
-        flow = counts[words + 1].select("lang", first_words("phrase", words).alias("phrase"), "a")
-        ends = windows.where(F.col("words") == words).select("lang", "phrase", F.col("n").alias("a"))
-        counts[words] = write_stage(flow.unionAll(ends).groupBy("lang", "phrase").agg(F.sum("a").alias("a")), f"phrases-{words}")
-    return counts
+        start = first_words("phrase", words)
+        down = F.struct(F.lit(False).alias("settled"), start.alias("phrase"), "n")
+        stay = F.struct(F.lit(True).alias("settled"), F.col("phrase"), "n")
+        # a phrase of `words` words or less is its own start: it ended a piece
+        often = (start != F.col("phrase")) & (F.col("n") >= least)
+        both = F.when(F.col("settled"), F.array(stay)).when(often, F.array(down, stay)).otherwise(F.array(down))
+        rows = rows.select("lang", F.inline(both)).groupBy("lang", "phrase", "settled").agg(F.sum("n").alias("n"))
+    words = F.when(F.col("settled"), F.size(F.split("phrase", " "))).otherwise(1)
+    return write_stage(rows.select("lang", "phrase", words.alias("words"), F.col("n").alias("a")), "phrase-counts")
 
 
 def with_parts(candidates: DataFrame, counts: DataFrame, most_words: int) -> DataFrame:
@@ -248,20 +252,13 @@ def mine_phrases(docs: DataFrame, most_words: int = 3, least: int = 10, percent:
     Null text is empty; null lang is `und`, together with texts so marked. Repeated rows count each. A language without
     candidates has no rows; an empty table gives an empty table.
     """
-    counts = phrase_counts(docs, most_words)
-    often = {words: table.where(F.col("a") >= least) for words, table in counts.items()}
-    candidates = known = None
-    for words, table in often.items():
-        if words > 1:
-            rows = table.select("lang", "phrase", F.lit(words).alias("words"), "a")
-            candidates = rows if candidates is None else candidates.unionAll(rows)
-        if words < most_words:
-            known = table if known is None else known.unionAll(table)
-    candidates = write_stage(candidates, "phrase-candidates")
-    kept = candidates.join(absorbed(candidates, percent), ["lang", "phrase"], "left_anti")
+    counts = phrase_counts(docs, most_words, least)
+    candidates = counts.where((F.col("words") > 1) & (F.col("a") >= least))
     # every part of a candidate is at least as frequent as the candidate
+    known = counts.where((F.col("words") < most_words) & (F.col("a") >= least))
+    kept = candidates.join(absorbed(candidates, percent), ["lang", "phrase"], "left_anti")
     best = best_of_language(scored(with_parts(kept, known, most_words), most_words), most)
-    totals = counts[1].groupBy("lang").agg(F.sum("a").alias("n"))
+    totals = counts.where("words = 1").groupBy("lang").agg(F.sum("a").alias("n"))
     paths = compact_paths(candidates.where(F.col("words") == most_words).select("lang", "phrase"), most_words)
     named = write_stage(best, "phrases").join(totals, "lang").join(paths, ["lang", "phrase"], "left")
     return named.select("lang", "rank", "phrase", "a", "l", "r", "n", "score", "path", "path_at")
