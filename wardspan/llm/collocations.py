@@ -5,6 +5,10 @@ that of its last, weighted by its occurrences. Only edges are counted from the t
 that end a piece. Every other count follows from the graph: a node occurs as often as its outgoing edges flow, plus the
 pieces that end with it, and so on down to single words.
 
+The edges are shuffled once, by their first word, so that all counts follow inside a task. Beginnings that a sample finds
+frequent are dealt by more words; their own counts are summed over the tasks afterwards. The sample only balances the
+tasks, counts do not depend on it.
+
 Edges that meet in a node with one way in and one way out are compacted into paths: fixed passages, numbered from
 their first edge by doubling.
 """
@@ -13,18 +17,22 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardspan.llm.line_dedup import UPPER
 from wardspan.llm.tables import map_batches
-from wardspan.llm.words import batches_of, find_spans, text_bytes
+from wardspan.llm.words import LOWER_CODES, STEP, batches_of, find_spans, hash_spans, mix, text_bytes
 from wardspan.session import write_stage
 
 #: Bytes of text whose phrases are counted at once.
 BLOCK = 1 << 20
 #: A part in more than this share of all parts is joined by broadcast: at most 1 / HOT_SHARE parts can be that frequent.
 HOT_SHARE = 1e-3
+#: A beginning with more than 1 / (SPLIT * shuffle partitions) of the sampled windows is dealt by one word more.
+SPLIT = 8
+SAMPLE_DOCS = 4_000
 #: Classes of the phrases of a language that are ranked before the language is.
 SALTS = 64
 
@@ -70,8 +78,11 @@ def _blocks(offsets: np.ndarray):
         i = j
 
 
-def _count_block(data: np.ndarray, offsets: np.ndarray, group: np.ndarray, most_words: int):
-    """Text, phrase and count of the distinct windows of a block: each word opens one, as long as its piece allows."""
+def _count_block(data: np.ndarray, offsets: np.ndarray, group: np.ndarray, most_words: int, hot: list[pa.Array]):
+    """Text, phrase, count, depth and bucket of the distinct windows of a block: each word opens one, as long as its piece allows.
+
+    The bucket depends on the first `depth` words: one, and one more for every beginning that is `hot`.
+    """
     starts, ends, bounds = find_spans(data, offsets, WORD_BREAK)
     n = len(starts)
     if not n:
@@ -98,11 +109,22 @@ def _count_block(data: np.ndarray, offsets: np.ndarray, group: np.ndarray, most_
     joined = np.full(begin[-1] + lengths[-1], 0x20, np.uint8)
     joined[np.arange(lengths.sum()) + np.repeat(np.arange(n), lengths)] = lower[~WORD_BREAK[data]]
     last = at + size[at] - 1
-    return text[at], _strings(joined, begin[at], begin[last] + lengths[last]), count
-
-
-def count_windows(docs: DataFrame, most_words: int) -> DataFrame:
-    """lang, phrase, n: phrases of `most_words` words, and the shorter ones that end a piece, with their occurrences."""
+    with np.errstate(over="ignore"):
+        hashes = hash_spans(data, starts, ends, LOWER_CODES)
+        depth, bucket, open_ = np.ones(len(at), np.int32), hashes[at], np.arange(len(at))
+        for words, frequent in enumerate(hot, 1):
+            open_ = open_[size[at[open_]] >= words]
+            end = at[open_] + words - 1
+            open_ = open_[pc.is_in(_strings(joined, begin[at[open_]], begin[end] + lengths[end]), frequent).to_numpy(zero_copy_only=False)]
+            depth[open_] = words + 1
+            longer = open_[size[at[open_]] > words]
+            bucket[longer] = mix(bucket[longer] * STEP + hashes[at[longer] + words])
+    return text[at], _strings(joined, begin[at], begin[last] + lengths[last]), count, depth, (bucket >> np.uint64(40)).astype(np.int64)
+
+
+def windows_of(docs: DataFrame, most_words: int, hot: list[list[str]]) -> DataFrame:
+    """lang, phrase, n, depth, bucket: phrases of `most_words` words and the shorter ones that end a piece, counted per block of text."""
+    frequent = [pa.array(phrases, pa.large_string()) for phrases in hot]
 
     def make(batch: pa.RecordBatch):
         texts = batch.column("text")
@@ -113,14 +135,32 @@ def count_windows(docs: DataFrame, most_words: int) -> DataFrame:
             lang = langs.indices.to_numpy().astype(np.int64)[owner]
             for a, b in _blocks(offsets):
                 part = offsets[a : b + 1]
-                counted = _count_block(data[part[0] : part[-1]], part - part[0], lang[a:b], most_words)
+                counted = _count_block(data[part[0] : part[-1]], part - part[0], lang[a:b], most_words, frequent)
                 if counted:
-                    text, phrases, n = counted
-                    yield {"lang": langs.dictionary.take(pa.array(lang[a:b][text])), "phrase": phrases, "n": n}
+                    text, phrases, n, depth, bucket = counted
+                    yield {"lang": langs.dictionary.take(pa.array(lang[a:b][text])), "phrase": phrases, "n": n, "depth": depth, "bucket": bucket}
 
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    found = map_batches(rows, make, "lang string, phrase string, n long")
-    return found.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    return map_batches(rows, make, "lang string, phrase string, n long, depth int, bucket int")
+
+
+def frequent_beginnings(docs: DataFrame, most_words: int) -> list[list[str]]:
+    """Per number of words, the beginnings that would fill a task, from a sample of about SAMPLE_DOCS documents; at most SPLIT a task."""
+    total = docs.count()
+    if not total or most_words < 2:
+        return []
+    sampled = docs.sample(min(1.0, SAMPLE_DOCS / total), 11)
+    windows = windows_of(sampled, most_words, [])
+    starts = F.array_distinct(F.array(*[first_words("phrase", words) for words in range(1, most_words)]))
+    held = windows.select("n", F.explode(starts).alias("start")).groupBy("start").agg(F.sum("n").alias("n"))
+    least = 1 / (SPLIT * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # single words open every window once
+    every = F.sum(F.when(F.instr("start", " ") == 0, F.col("n"))).over(Window.partitionBy())
+    found = held.withColumn("every", every).where(F.col("n") > F.col("every") * least).select("start").collect()
+    hot = [[] for _ in range(most_words - 1)]
+    for row in found:
+        hot[row["start"].count(" ")].append(row["start"])
+    return hot
 
 
 def first_words(phrase: str, words: int) -> Column:
@@ -135,19 +175,25 @@ def phrase_counts(docs: DataFrame, most_words: int, least: int) -> DataFrame:
     """lang, phrase, words, a of all phrases up to `most_words` words that occur `least` times or more, and of all words.
 
     Shorter counts are node flow plus piece ends: the longer phrases that begin with a phrase, and its occurrences at
-    the end of a piece. One job goes down from length to length; what is too rare only flows on.
+    the end of a piece. The counts go down from length to length inside the tasks; what is too rare only flows on.
+    Counts of beginnings that are dealt by more words than they have come in parts and are summed at the end.
     """
-    rows = count_windows(docs, most_words).withColumn("settled", F.lit(False))
+    windows = windows_of(docs, most_words, frequent_beginnings(docs, most_words)).repartition("bucket")
+    keys = ["bucket", "depth", "lang", "phrase"]
+    rows = windows.groupBy(*keys).agg(F.sum("n").alias("n")).withColumn("kind", F.lit("flow"))
     for words in range(most_words - 1, 0, -1):
         start = first_words("phrase", words)
-        down = F.struct(F.lit(False).alias("settled"), start.alias("phrase"), "n")
-        stay = F.struct(F.lit(True).alias("settled"), F.col("phrase"), "n")
+        down = F.struct(F.lit("flow").alias("kind"), start.alias("phrase"), "n")
         # a phrase of `words` words or less is its own start: it ended a piece
-        often = (start != F.col("phrase")) & (F.col("n") >= least)
-        both = F.when(F.col("settled"), F.array(stay)).when(often, F.array(down, stay)).otherwise(F.array(down))
-        rows = rows.select("lang", F.inline(both)).groupBy("lang", "phrase", "settled").agg(F.sum("n").alias("n"))
-    words = F.when(F.col("settled"), F.size(F.split("phrase", " "))).otherwise(1)
-    return write_stage(rows.select("lang", "phrase", words.alias("words"), F.col("n").alias("a")), "phrase-counts")
+        node = (F.col("kind") == "flow") & (start != F.col("phrase"))
+        whole = F.col("depth") <= words + 1
+        stay = F.struct(F.when(F.col("kind") != "flow", F.col("kind")).when(whole, F.lit("settled")).otherwise(F.lit("part")).alias("kind"), F.col("phrase"), "n")
+        kept = F.when(F.col("kind") != "flow", F.array(stay)).when(node & (~whole | (F.col("n") >= least)), F.array(down, stay)).otherwise(F.array(down))
+        rows = rows.select("bucket", "depth", "lang", F.inline(kept)).groupBy(*keys, "kind").agg(F.sum("n").alias("n"))
+    part = (F.col("kind") == "part") | ((F.col("kind") == "flow") & (F.col("depth") > 1))
+    found = write_stage(rows.select("lang", "phrase", F.size(F.split("phrase", " ")).alias("words"), part.alias("part"), F.col("n").alias("a")), "phrase-parts")
+    summed = found.where("part").groupBy("lang", "phrase", "words").agg(F.sum("a").alias("a"))
+    return write_stage(found.where("NOT part").select(*summed.columns).unionAll(summed).where((F.col("a") >= least) | (F.col("words") == 1)), "phrase-counts")
 
 
 def with_parts(candidates: DataFrame, counts: DataFrame, most_words: int) -> DataFrame:
