@@ -100,7 +100,8 @@ def _count_block(data: np.ndarray, offsets: np.ndarray, group: np.ndarray, most_
     key = group[text] * n_words + word
     for k in range(1, most_words):
         later = np.zeros(n, np.int64)
-        later[: n - k] = np.where(size[: n - k] > k, word[k:] + 1, 0)
+        if n > k:
+            later[:-k] = np.where(size[:-k] > k, word[k:] + 1, 0)
         key = np.unique(key, return_inverse=True)[1] * n_words + later
     _, at, count = np.unique(key, return_index=True, return_counts=True)
     # words one after another, each followed by one blank: every window is a range of bytes
