@@ -606,7 +606,7 @@ def build() -> dict[str, str]:
         "lr_gradient": gradient(),
         "feature_importance": f"WITH {MEANS}, w AS ("
         + " UNION ALL ".join(f"SELECT '{f}' AS feature, abs(sum({f} * n_train) / sum(n_train)) AS importance FROM means" for f in F8)
-        + f") SELECT feature, {r('importance', 'importance')} FROM w ORDER BY w.importance DESC, feature LIMIT 5",
+        + f") SELECT feature, {r('importance', 'importance')} FROM w ORDER BY w.importance DESC, feature LIMIT 40",
         "shapley_linear": f"WITH {ATTRIBUTIONS} SELECT encounter_id, site, feature, {r('phi', 'phi')} FROM phis",
         "shap_summary": f"""WITH {ATTRIBUTIONS}, m AS (SELECT site, feature, avg(abs(phi)) AS v FROM phis GROUP BY site, feature)
             SELECT site, feature, {r("v", "mean_abs_phi")}, row_number() OVER (PARTITION BY site ORDER BY v DESC, feature)::INTEGER AS rank FROM m""",
@@ -644,12 +644,14 @@ def build() -> dict[str, str]:
 
     iteration = "CASE WHEN model = 'NN' THEN round + 3 ELSE round END"
     sql["round_history"] = f"WITH {history()} SELECT *, {iteration} AS iteration FROM history"
+    # the same rows, published or written round by round and read back
+    sql["run_tables"], sql["score_stored"] = sql["round_history"], sql["evaluate_external"]
     sql["round_index"] = f"""WITH {history()} SELECT {SERIES}, split, (row_number() OVER (PARTITION BY site, model, variant, split ORDER BY round) - 1)::INTEGER AS round_index,
-        auc FROM history WHERE round > 1"""
+        auc FROM history"""
     sql["first_last_round"] = f"WITH {history()}, {first_last()} SELECT * FROM ends"
     sql["summary_table"] = f"WITH {history()}, {first_last()} {summary()}"
     sql["align_rounds"] = f"""WITH {history()}, g AS (SELECT site, model, round, auc FROM history WHERE variant = 'global')
-        SELECT a.site, a.round, a.auc AS nn_auc, b.auc AS lr_auc FROM g a LEFT JOIN g b ON a.site = b.site AND a.round = b.round AND b.model = 'LR' AND b.round < 3
+        SELECT a.site, a.round, a.auc AS nn_auc, b.auc AS lr_auc FROM g a LEFT JOIN g b ON a.site = b.site AND a.round = b.round AND b.model = 'LR'
         WHERE a.model = 'NN'"""
     sites = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
     cells_by_site = ", ".join(

@@ -15,6 +15,7 @@ from wardspan.operators import curves, explain, filters, harmonise, matching, me
 from wardspan.operators.logistic import lr_gradient, lr_local_fit
 from wardspan.operators.scale import local_table, pin_small
 from wardspan.operators.scoring import score_rows, threshold_label
+from wardspan.plans import bundle as bundles
 from wardspan.plans import cohorts, federate
 from wardspan.plans.cohorts import Prepared
 from wardspan.sources.encounters import (
@@ -27,8 +28,9 @@ from wardspan.sources.encounters import (
     order_settings,
     table,
 )
-from wardspan.session import write_stage
+from wardspan.session import new_stage_path, write_stage
 from wardspan.sources.raw import apply_correction, union_eras
+from wardspan.sources.store import RunStore
 from wardspan.specs import (
     DEVICE_FLOW_LEVELS,
     DEVICE_MASK_LEVELS,
@@ -724,6 +726,20 @@ def central_evaluate(spark, sf):
     return _outside(spark, sf, "central")
 
 
+@query
+def score_stored(spark, sf):
+    """Publish a model bundle, read it in a new session and evaluate the outside site from its raw encounters."""
+    prepared = _prepared_store(spark, sf)
+    thresholds = local_table(spark, [{"model": "LR", "site": None, "round": 1, "threshold": 0.25}], bundles.TABLES["thresholds"])
+    tables = {"stats": prepared.stats, "pooled": prepared.pooled, "params": _lr_params(spark), "thresholds": thresholds}
+    root = new_stage_path(spark, "bundles")
+    version = bundles.publish_bundle(spark, root, SETTINGS, tables)
+    fresh = spark.newSession()
+    stored = bundles.load_bundle(fresh, root, version)
+    result = bundles.evaluate_stored(encounters(fresh, sf), stored, "LR", only=["external"])
+    return rounded(result.drop("p_vs_round1", "p_lr_vs_nn", "auc_var"))
+
+
 # ---- round histories and reports
 
 
@@ -768,9 +784,22 @@ def round_history(spark, sf):
     return rounded(report.continue_rounds(_history(spark, sf), len(fixed.ROUNDS)).drop("auc_var"))
 
 
+@query
+def run_tables(spark, sf):
+    """The rounds of both models go through the tables of a run that stops after round 2 and goes on, then the history is read from them."""
+    history, root = _history(spark, sf), new_stage_path(spark, "run")
+    for stop in (2, len(fixed.ROUNDS)):
+        store = RunStore(spark, root, SETTINGS)
+        for model in ("LR", "NN"):
+            of_model = history.where(F.col("model") == model)
+            store.rounds("results", model, "all", fixed.ROUNDS[:stop], lambda r, rows=of_model: rows.where(F.col("round").isin(r)))
+    stored = RunStore(spark, root, SETTINGS).read("results").drop("part")
+    return rounded(report.continue_rounds(stored, len(fixed.ROUNDS)).drop("auc_var"))
+
+
 @query
 def round_index(spark, sf):
-    rows = _history(spark, sf).where(F.col("round") > 1)
+    rows = _history(spark, sf)
     return rounded(report.round_index(rows).select(*SERIES, "split", "round_index", "auc"))
 
 
@@ -783,7 +812,7 @@ def first_last_round(spark, sf):
 def align_rounds(spark, sf):
     rows = _history(spark, sf).where(F.col("variant") == "global").select("site", "model", "round", "auc")
     nn = rows.where("model = 'NN'").select("site", "round", F.col("auc").alias("nn_auc"))
-    lr = rows.where("model = 'LR' and round < 3").select("site", "round", F.col("auc").alias("lr_auc"))
+    lr = rows.where("model = 'LR'").select("site", "round", F.col("auc").alias("lr_auc"))
     return rounded(report.align_rounds(nn, [lr], ("site", "round")))
 
 
@@ -831,7 +860,7 @@ def roc_by_site(spark, sf):
 @query
 def feature_importance(spark, sf):
     averaged = params.fedavg_vectors(_mean_params(spark, sf))
-    return rounded(explain.feature_importance(averaged, FEATURES, 5))
+    return rounded(explain.feature_importance(averaged, FEATURES))
 
 
 def _linear_attributions(spark, sf) -> DataFrame:

@@ -18,22 +18,19 @@ RATES = ["sensitivity", "specificity", "accuracy", "precision", "npv"]
 
 
 def confusion_counts(p: str = "p", label: str = "label", threshold: str = "threshold") -> list[Column]:
+    """The four cells at `p > threshold`; null for a group without a threshold."""
     hit = f"{p} > {threshold}"
-    return [
-        F.expr(f"count_if({label} = 1 AND {hit}) AS tp"),
-        F.expr(f"count_if({label} = 0 AND {hit}) AS fp"),
-        F.expr(f"count_if({label} = 1 AND NOT {hit}) AS fn"),
-        F.expr(f"count_if({label} = 0 AND NOT {hit}) AS tn"),
-    ]
+    cells = {"tp": f"{label} = 1 AND {hit}", "fp": f"{label} = 0 AND {hit}", "fn": f"{label} = 1 AND NOT {hit}", "tn": f"{label} = 0 AND NOT {hit}"}
+    return [F.expr(f"if(count({threshold}) = 0, NULL, count_if({cell})) AS {name}") for name, cell in cells.items()]
 
 
 def with_rates(df: DataFrame) -> DataFrame:
-    """Rates from the four cells. Sensitivity and precision are 0 where undefined, the others null."""
+    """Rates from the four cells. Sensitivity and precision are 0 where undefined, the others null; all are null without cells."""
     rates = {
-        "sensitivity": f"coalesce({ratio('tp', 'tp + fn')}, 0D)",
+        "sensitivity": f"if(tp IS NULL, NULL, coalesce({ratio('tp', 'tp + fn')}, 0D))",
         "specificity": ratio("tn", "tn + fp"),
         "accuracy": ratio("tp + tn", "tp + fp + fn + tn"),
-        "precision": f"coalesce({ratio('tp', 'tp + fp')}, 0D)",
+        "precision": f"if(tp IS NULL, NULL, coalesce({ratio('tp', 'tp + fp')}, 0D))",
         "npv": ratio("tn", "tn + fn"),
     }
     f1 = ratio("2 * precision * sensitivity", "precision + sensitivity")
@@ -92,10 +89,11 @@ def evaluate_model(scores: DataFrame, thresholds: DataFrame, by: Sequence[str],
     loss = f"pos * {log_loss_term('p', True)} + neg * {log_loss_term('p', False)}"
     summed = cut.groupBy(*by).agg(
         F.max("threshold").alias("threshold"),
-        F.expr("sum(if(p > threshold, pos, 0)) AS tp"),
-        F.expr("sum(if(p > threshold, neg, 0)) AS fp"),
-        F.expr("sum(if(p > threshold, 0, pos)) AS fn"),
-        F.expr("sum(if(p > threshold, 0, neg)) AS tn"),
+        # without a threshold neither side is counted, and the cells stay null
+        F.expr("sum(if(threshold IS NULL, NULL, if(p > threshold, pos, 0))) AS tp"),
+        F.expr("sum(if(threshold IS NULL, NULL, if(p > threshold, neg, 0))) AS fp"),
+        F.expr("sum(if(threshold IS NULL, NULL, if(p > threshold, 0, pos))) AS fn"),
+        F.expr("sum(if(threshold IS NULL, NULL, if(p > threshold, 0, neg))) AS tn"),
         *delong_aggregates(),
         F.expr(ratio(f"sum({loss})", "sum(pos + neg)") + " AS logloss"),
         F.expr("sum(pos + neg) AS n"),

@@ -7,7 +7,7 @@ as one more grouping column.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
@@ -25,6 +25,8 @@ from wardspan.operators.scale import local_table, lookup_join, pin_small
 from wardspan.operators.scoring import score_rows, threshold_label
 from wardspan.plans.cohorts import Prepared
 from wardspan.session import write_stage
+from wardspan.sources.store import RunStore
+from wardspan.sources.tables import export_site_results
 from wardspan.specs import RunSettings
 
 EVALUATED = ("test", "validation")
@@ -65,6 +67,8 @@ class Federation:
     losses: list[DataFrame] = field(default_factory=list)
     roc: list[DataFrame] = field(default_factory=list)
     final: dict[str, ScoredModel] = field(default_factory=dict)
+    #: Per model and round, the threshold at which evaluation-only sites are judged.
+    shared: dict[str, dict[int, float]] = field(default_factory=dict)
 
     def table(self, name: str) -> DataFrame:
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), getattr(self, name))
@@ -217,21 +221,34 @@ def start_vector(model: str, settings: RunSettings) -> list[float]:
     return glorot_weights(len(settings.features), settings.nn_hidden).tolist()
 
 
-def fedavg_rounds(rows: DataFrame, model: str, settings: RunSettings, rounds: int) -> tuple[list[DataFrame], DataFrame]:
+def fedavg_rounds(rows: DataFrame, model: str, settings: RunSettings, rounds: int, store: RunStore | None = None) -> tuple[list[DataFrame], DataFrame]:
     """The training rounds: local fits of all sites in shared jobs, then their weighted average.
 
-    Returns the sites' parameters per round and the averaged vectors of all rounds.
+    Returns the sites' parameters per round and the averaged vectors of all rounds. With a `store` every round is
+    written as soon as it is averaged, and rounds found there are not trained again.
     """
+    spark = rows.sparkSession
     sites = [s.name for s in settings.sites if s.fits]
+    known = {}
+    if store is not None and (done := store.done("params", model, "training")):
+        for row in store.read("params").where((F.col("model") == model) & F.col("round").isin(sorted(done))).collect():
+            known.setdefault(row["round"], []).append({c: row[c] for c in ("model", "site", "round", "n_train", "w")})
     vector, local, averaged = start_vector(model, settings), [], []
     for round_no in range(1, rounds + 1):
-        fitted = local_fit(rows, model, {(s, round_no): vector for s in sites}, settings)
-        local.append(fitted)
-        found = fitted.collect()
-        vector = weighted_mean(found)
-        n_train = sum(row["n_train"] for row in found)
-        averaged.append({"model": model, "site": GLOBAL, "round": round_no, "n_train": n_train, "w": vector})
-    return local, params_table(rows.sparkSession, averaged)
+        if round_no in known:
+            local.append(params_table(spark, [row for row in known[round_no] if row["site"] != GLOBAL]))
+            averaged += [row for row in known[round_no] if row["site"] == GLOBAL]
+        else:
+            known = {}  # what follows a missing round was trained from something else
+            fitted = local_fit(rows, model, {(s, round_no): vector for s in sites}, settings)
+            local.append(fitted)
+            found = fitted.collect()
+            n_train = sum(row["n_train"] for row in found)
+            averaged.append({"model": model, "site": GLOBAL, "round": round_no, "n_train": n_train, "w": weighted_mean(found)})
+            if store is not None:
+                store.write("params", fitted.unionByName(params_table(spark, averaged[-1:])), model, "training", [round_no])
+        vector = averaged[-1]["w"]
+    return local, params_table(spark, averaged)
 
 
 def personalise(rows: DataFrame, applied: ScoredModel, settings: RunSettings, ranges: Sequence[float] | None = None) -> tuple[DataFrame, ScoredModel]:
@@ -260,6 +277,7 @@ def run_federation(
     models: Sequence[str] = ("LR", "NN"),
     with_personalised: bool = True,
     with_roc: bool = True,
+    store: RunStore | None = None,
 ) -> Federation:
     """All rounds of the LR and then of the NN federation, with their evaluation.
 
@@ -267,39 +285,61 @@ def run_federation(
     first network round uses the last regression round's. Before the very first round it is 0.
     Parameters, thresholds and result rows are a few per site and round; row-level tables never leave
     the cluster. The prepared rows stay persisted while the run reads them.
+
+    With a `store` parameters, thresholds, results and ROC points are written round by round, and so is one CSV per site
+    and variant at the end. A run that was stopped goes on after its last whole round; the prepared rows must be the same.
     """
     run, ranges = Federation(), prepared.splits
     rows = prepared.rows.persist(StorageLevel.MEMORY_AND_DISK)
     lr_inside = lr_outside = None
-    carried = 0.0
+    carried, basis = 0.0, "all"
+
+    def kept(table: str, model: str, part: str, numbers: Sequence[int], build: Callable[[list[int]], DataFrame]) -> DataFrame:
+        made = build(list(numbers)) if store is None else store.rounds(table, model, part, numbers, build, basis)
+        return pin_small(made, table)[0]
+
     for model in models:
         rounds = settings.lr_rounds if model == "LR" else settings.nn_rounds
-        local, averaged = fedavg_rounds(rows, model, settings, rounds)
+        numbers = range(1, rounds + 1)
+        local, averaged = fedavg_rounds(rows, model, settings, rounds, store)
         run.params += [*local, averaged]
 
-        applied = calibrate_sites(rows, model, averaged, settings)
+        def only(chosen: Sequence[int], vectors: DataFrame = averaged) -> DataFrame:
+            return vectors.where(F.col("round").isin(list(chosen)))
+
+        thresholds = kept("thresholds", model, "sites", numbers, lambda r: calibrate_sites(rows, model, only(r), settings).thresholds)
+        applied = ScoredModel(model, averaged, thresholds.drop("model"))
         run.thresholds.append(applied.thresholds.withColumn("model", F.lit(model)))
         means = {row["round"]: row["threshold"] for row in mean_threshold(applied.thresholds, ["round"]).collect()}
-        shared = {r: means.get(r - 1, carried) for r in range(1, rounds + 1)}
+        shared = run.shared[model] = {r: means.get(r - 1, carried) for r in numbers}
         carried = means.get(rounds, carried)
 
-        judged = federated_evaluate(rows, applied, settings, applied.at_round(1), lr_inside, ranges)
-        judged, _ = pin_small(judged, "results")
+        first = applied.at_round(1)
+        judged = kept("results", model, "inside", numbers, lambda r: federated_evaluate(rows, replace(applied, params=only(r)), settings, first, lr_inside, ranges))
         run.results.append(judged)
         run.losses.append(fedavg_loss(judged.where("split = 'validation'")))
         if any(not s.fits for s in settings.sites):
-            outside = evaluate_external(rows, model, averaged, shared, settings, lr_outside, ranges=ranges)
-            run.results.append(pin_small(outside, "results")[0])
+            run.results.append(kept("results", model, "outside", numbers, lambda r: evaluate_external(rows, model, only(r), shared, settings, lr_outside, ranges=ranges)))
         if with_personalised:
-            run.results.append(pin_small(personalise(rows, applied, settings, ranges)[0], "results")[0])
+            run.results.append(kept("results", model, "personalised", numbers, lambda r: personalise(rows, replace(applied, params=only(r)), settings, ranges)[0]))
         if with_roc:
-            run.roc.append(write_stage(roc_points(rows, applied, settings, sorted({1, rounds}), ranges), "roc"))
+            ends = sorted({1, rounds})
+            if store is None:
+                run.roc.append(write_stage(roc_points(rows, applied, settings, ends, ranges), "roc"))
+            else:
+                run.roc.append(store.rounds("roc", model, "ends", ends, lambda r: roc_points(rows, applied, settings, r, ranges), basis))
         run.final[model] = applied.at_round(rounds)
         if model == "LR":
             lr_inside = run.final[model]
             cuts = shared_thresholds(rows, {rounds: shared[rounds]}, settings)
             lr_outside = replace(applied, thresholds=cuts).at_round(rounds)
+            # what the network's rows are compared with, and its first shared threshold, come from this round
+            basis = f"after-LR-{rounds}"
     rows.unpersist()
+    if store is not None:
+        for site in settings.sites:
+            variants = ["global", *(["personalised"] if with_personalised and site.fits else [])]
+            export_site_results(run.table("results"), f"{store.root}/sites", site.name, site.trains_only, variants)
     return run
 
 

@@ -113,10 +113,50 @@ ORDER_FEATURES = [
     "account_balance",
 ]
 
+# The published order of the blood tests and blood gases, in which weight vectors line up.
+BLOODS_IN_ORDER = [
+    "blood_albumin",
+    "blood_alk_phosphatase",
+    "blood_alt",
+    "blood_aptt",
+    "blood_basophils",
+    "blood_bilirubin",
+    "blood_creatinine",
+    "blood_crp",
+    "blood_eosinophils",
+    "blood_haematocrit",
+    "blood_haemoglobin",
+    "blood_lymphocytes",
+    "blood_mean_cell_vol",
+    "blood_monocytes",
+    "blood_neutrophils",
+    "blood_platelets",
+    "blood_potassium",
+    "blood_prothrombin_time",
+    "blood_sodium",
+    "blood_urea",
+    "blood_white_cells",
+    "blood_egfr",
+]
+GASES_IN_ORDER = [
+    "gas_base_excess",
+    "gas_bicarbonate",
+    "gas_calcium",
+    "gas_lactate",
+    "gas_glucose",
+    "gas_haemoglobin",
+    "gas_haematocrit",
+    "gas_potassium",
+    "gas_sodium",
+    "gas_o2_sat",
+    "gas_pco2",
+    "gas_po2",
+]
+
 FEATURE_SETS: dict[str, list[str]] = {
     "OLO & Vitals": BLOOD_COUNT + VITALS,
-    "Bloods & Vitals": sorted(BLOOD_COUNT + BLOOD_CHEMISTRY) + VITALS,
-    "Bloods & Blood_Gas & Vitals": sorted(BLOOD_COUNT + BLOOD_CHEMISTRY + CLOTTING) + BLOOD_GASES + VITALS,
+    "Bloods & Vitals": [name for name in BLOODS_IN_ORDER if name not in CLOTTING] + VITALS,
+    "Bloods & Blood_Gas & Vitals": BLOODS_IN_ORDER + GASES_IN_ORDER + VITALS,
     "Orders": ORDER_FEATURES,
 }
 
