@@ -380,10 +380,13 @@ def weighted_ranks(source: str, name: str) -> str:
 
 WEIGHTED = f"""{tied()},
 weighted AS (SELECT *, 1 + (encounter_id % 4)::DOUBLE / 2::DOUBLE AS weight FROM tied)"""
-PAIRED = f"""{PREPARED},
-paired AS (
-  SELECT encounter_id, site, split, label, round({model("LR", fixed.LR_W)}, 3) AS p1, round({model("NN", fixed.NN_W)}, 3) AS p2
-  FROM prepared WHERE split IN ('test', 'validation'))"""
+def paired(one: str, two: str) -> str:
+    return f"""{PREPARED},
+paired AS (SELECT encounter_id, site, split, label, {one} AS p1, {two} AS p2 FROM prepared WHERE split IN ('test', 'validation'))"""
+
+
+PAIRED = paired(f"round({model('LR', fixed.LR_W)}, 3)", f"round({model('NN', fixed.NN_W)}, 3)")
+PAIRED_UNROUNDED = paired(model("LR", fixed.LR_W), model("NN", fixed.NN_W))
 MEANS = f"""{PREPARED},
 means AS (
   SELECT site, count(*) AS n_train, {", ".join(f"avg({f}) AS {f}" for f in F8)} FROM prepared WHERE split = 'train' GROUP BY site)"""
@@ -565,6 +568,13 @@ def build() -> dict[str, str]:
             SELECT site, split, {r("auc", "auc", 8)}, {r("a.v + b.v", "auc_var", 8)} FROM tot LEFT JOIN a USING (site, split) LEFT JOIN b USING (site, split)""",
         "roc_curve": f"WITH {tied()}, {roc('tied', 'site, split')} SELECT site, split, idx, {rounds(['threshold', 'fpr', 'tpr'])} FROM roc",
         "delong_auc": f"WITH {tied()}, {aucs('tied', 'site, split')} SELECT site, split, n_pos, n_neg, {rounds(['auc', 'auc_var'], 8)} FROM auc",
+        "midrank_unrounded": f"""WITH {scored()} SELECT encounter_id, site, split, label, {r("p", "p")},
+            {r("(rank() OVER w + (count(*) OVER (PARTITION BY site, split, p) - 1) / 2::DOUBLE)::DOUBLE", "midrank")}
+            FROM scored WINDOW w AS (PARTITION BY site, split ORDER BY p)""",
+        "roc_curve_unrounded": f"WITH {scored()}, {roc('scored', 'site, split')} SELECT site, split, idx, {rounds(['threshold', 'fpr', 'tpr'])} FROM roc",
+        "delong_auc_unrounded": f"WITH {scored()}, {aucs('scored', 'site, split')} SELECT site, split, n_pos, n_neg, {rounds(['auc', 'auc_var'], 8)} FROM auc",
+        "delong_test_unrounded": f"""WITH {PAIRED_UNROUNDED}, {delong_pair("paired", "site, split", "p1", "p2")}
+            SELECT site, split, {rounds(["auc1", "auc2", "z", "p_value"])} FROM pvalues""",
         "auc_ci": f"""WITH {tied()}, {aucs("tied", "site, split")}
             SELECT site, split, n_pos, n_neg, {r("auc", "auc")}, {r(AUC_LO, "auc_lo")}, {r(AUC_HI, "auc_hi")} FROM auc""",
         "delong_test": f"""WITH {PAIRED}, {delong_pair("paired", "site, split", "p1", "p2")}
@@ -617,6 +627,8 @@ def build() -> dict[str, str]:
 
     test_best = f"""tied_test AS (SELECT * FROM tied WHERE split = 'test'), {sweep("tied_test", "site")}, {BEST}"""
     sql["evaluate_model"] = f"""WITH {tied()}, {test_best}, {evaluated("site, split", "tied", "best", extra=variance())} SELECT * FROM evaluated"""
+    scored_best = f"""scored_test AS (SELECT * FROM scored WHERE split = 'test'), {sweep("scored_test", "site")}, {BEST}"""
+    sql["evaluate_model_unrounded"] = f"""WITH {scored()}, {scored_best}, {evaluated("site, split", "scored", "best", extra=variance())} SELECT * FROM evaluated"""
     percent = "printf('%.1f%% (%.1f - %.1f)', round({x} * 100, 1), round(round({x}_lo, 3) * 100, 1), round(round({x}_hi, 3) * 100, 1))"
     short = "regexp_replace(printf('%.3f', {x}), '(\\.\\d+?)0+$', '\\1')"
     sql["format_ci"] = f"""WITH {tied()}, {test_best}, {evaluated("site, split", "tied", "best")}

@@ -517,16 +517,36 @@ def delong_auc(spark, sf):
     return rounded(curves.delong_auc(_tied(spark, sf), ["site", "split"]), 8)
 
 
+@query
+def midrank_unrounded(spark, sf):
+    return rounded(curves.midrank(_scored(spark, sf), ["site", "split"]))
+
+
+@query
+def roc_curve_unrounded(spark, sf):
+    return rounded(curves.roc_curve(_scored(spark, sf), ["site", "split"]))
+
+
+@query
+def delong_auc_unrounded(spark, sf):
+    return rounded(curves.delong_auc(_scored(spark, sf), ["site", "split"]), 8)
+
+
 @query
 def auc_ci(spark, sf):
     return rounded(curves.auc_ci(_tied(spark, sf), ["site", "split"]).drop("auc_var"))
 
 
-def _paired(spark, sf) -> DataFrame:
+def _paired_unrounded(spark, sf) -> DataFrame:
     rows = _prepared(spark, sf).where(F.col("split").isin("test", "validation"))
     one = score_rows(rows, _lr_params(spark), "LR", FEATURES, name="p1")
     two = score_rows(one, _nn_params(spark), "NN", FEATURES, hidden=fixed.HIDDEN, name="p2")
-    return two.select("encounter_id", "site", "split", "label", F.round("p1", 3).alias("p1"), F.round("p2", 3).alias("p2"))
+    return two.select("encounter_id", "site", "split", "label", "p1", "p2")
+
+
+def _paired(spark, sf) -> DataFrame:
+    """Both scores in thousandths, so that many of them tie."""
+    return _paired_unrounded(spark, sf).withColumns({"p1": F.round("p1", 3), "p2": F.round("p2", 3)})
 
 
 @query
@@ -535,6 +555,12 @@ def delong_test(spark, sf):
     return rounded(tested.select("site", "split", "auc1", "auc2", "z", "p_value"))
 
 
+@query
+def delong_test_unrounded(spark, sf):
+    tested = curves.delong_test(_paired_unrounded(spark, sf), ["site", "split"])
+    return rounded(tested.select("site", "split", "auc1", "auc2", "z", "p_value"))
+
+
 @query
 def mcnemar_exact(spark, sf):
     rows = _paired(spark, sf).withColumns({"pred1": threshold_label(F.col("p1"), F.lit(0.25)), "pred2": threshold_label(F.col("p2"), F.lit(0.6))})
@@ -583,8 +609,8 @@ def mean_threshold(spark, sf):
     return rounded(metrics.mean_threshold(best.unionByName(outside)))
 
 
-def _evaluated(spark, sf) -> DataFrame:
-    scores = _tied(spark, sf)
+def _evaluated(spark, sf, given=_tied) -> DataFrame:
+    scores = given(spark, sf)
     thresholds = metrics.calibrate(scores.where(F.col("split") == "test"), ["site"])
     return metrics.evaluate_model(scores, thresholds, ["site", "split"])
 
@@ -594,6 +620,11 @@ def evaluate_model(spark, sf):
     return rounded(_evaluated(spark, sf))
 
 
+@query
+def evaluate_model_unrounded(spark, sf):
+    return rounded(_evaluated(spark, sf, _scored))
+
+
 @query
 def format_ci(spark, sf):
     row = _evaluated(spark, sf)
