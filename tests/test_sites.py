@@ -181,16 +181,6 @@ def test_tables(spark, tmp_path):
     path = tables.export_csv(frame, f"{root}/out", display_names=True)
     assert spark.read.option("header", True).csv(path).columns == ["site", "Blood_Test ALT"]
 
-    calls = []
-
-    def build():
-        calls.append(1)
-        return frame
-
-    for reuse in (True, True, False):
-        assert tables.cached_table(spark, f"{root}/cohort", build, reuse).count() == 2
-    assert len(calls) == 2
-
 
 def test_site_results(spark, tmp_path):
     results = spark.createDataFrame([("A", "LR", 1, "global", 0.9), ("A", "LR", 1, "personalised", 0.8), ("B", "LR", 1, "global", 0.7)], "site string, model string, round int, variant string, auc double")

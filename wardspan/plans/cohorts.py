@@ -13,7 +13,9 @@ from wardspan.operators.filters import at_time, filter_admitted, filter_tested
 from wardspan.operators.matching import match_controls
 from wardspan.operators.prepare import impute_and_scale, mean_of_medians, site_stats, train_or_test
 from wardspan.operators.scale import ROWS_PER_BUCKET, local_table, pin_small
-from wardspan.session import write_stage
+from wardspan.session import shared_dir, write_stage
+from wardspan.sources.store import settings_text
+from wardspan.sources.tables import cache_key, cached_tables
 from wardspan.specs import RunSettings, SiteSpec
 
 MATCH_KEYS = ["gender", "ethnicity", "age"]
@@ -133,9 +135,28 @@ def applied_stats(stats: DataFrame, pooled: DataFrame, settings: RunSettings) ->
     return pin_small(own.unionByName(borrowed), "applied-stats")[0]
 
 
-def prepare(encounters: DataFrame, settings: RunSettings, matched: bool = True) -> Prepared:
+def prepare(encounters: DataFrame, settings: RunSettings, matched: bool = True, reuse: bool = False) -> Prepared:
     """The prepared table, splits `train`, `test`, `validation`, `external` and `central`.
 
+    With `reuse` the tables of an earlier call are read if settings, code and input files are the same (`cache_key`).
+    """
+    if not reuse:
+        return _prepare(encounters, settings, matched)
+    spark = encounters.sparkSession
+
+    def build() -> dict[str, DataFrame]:
+        made = _prepare(encounters, settings, matched)
+        return {"prepared": made.rows, "site_stats": made.stats, "pooled": made.pooled}
+
+    key = cache_key(encounters, settings_text(settings), matched)
+    tables = cached_tables(spark, f"{shared_dir(spark)}/wardspan/cohorts", key, build)
+    rows = tables["prepared"]
+    return Prepared(rows, pin_small(tables["site_stats"])[0], pin_small(tables["pooled"])[0], rows.count())
+
+
+def _prepare(encounters: DataFrame, settings: RunSettings, matched: bool) -> Prepared:
+    """Prepare from the encounters.
+
     The encounters are read once and the used rows written to the shared folder, because matching and
     the statistics read them again. Statistics come from the whole case-control set, before it is split.
     A site without a validation period is validated on its test rows.
@@ -154,7 +175,7 @@ def prepare(encounters: DataFrame, settings: RunSettings, matched: bool = True)
     own = F.array(F.when(F.col("fits"), split), F.when(F.col("fits") & self_validated, "validation"))
     rows = marked.withColumn("split", F.explode(F.array_compact(F.concat(own, F.col("later")))))
     rows = impute_and_scale(rows, applied_stats(stats, pooled, settings), features)
-    stored = write_stage(rows.select("encounter_id", "site", "split", "label", *features), "prepared")
+    stored = write_stage(rows.select("encounter_id", "site", "split", "label", *features), "prepared", by=["split"])
     return Prepared(stored, stats, pooled, stored.count())
 
 

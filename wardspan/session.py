@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,8 +43,11 @@ def new_stage_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/wardspan/{name}-{uuid.uuid4().hex}"
 
 
-def write_stage(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` to the shared folder and read it back: cuts the lineage and survives lost executors."""
+def write_stage(df: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
+    """Write `df` to the shared folder, in folders per value of the `by` columns, and read it back.
+
+    This cuts the lineage and survives lost executors.
+    """
     path = new_stage_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.partitionBy(*by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*[f"`{c}`" for c in df.columns])

@@ -58,3 +58,17 @@ def names_in(spark: SparkSession, path: str) -> list[str]:
     if not fs.exists(place):
         return []
     return sorted(status.getPath().getName() for status in fs.listStatus(place))
+
+
+def file_states(spark: SparkSession, paths: list[str]) -> list[tuple[str, int, int]]:
+    """Path, size and time of last change of every file, by path; one listing per folder."""
+    wanted, found = {}, []
+    for path in paths:
+        folder, _, name = path.rpartition("/")
+        wanted.setdefault(folder, set()).add(name)
+    for folder, names in wanted.items():
+        fs, place = _place(spark, folder)
+        for status in fs.listStatus(place):
+            if status.getPath().toUri().getRawPath().rpartition("/")[2] in names or status.getPath().getName() in names:
+                found.append((status.getPath().toString(), status.getLen(), status.getModificationTime()))
+    return sorted(found)

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable, Sequence
+from functools import lru_cache
+from pathlib import Path
 
-from py4j.protocol import Py4JJavaError
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
+from wardspan.sources.files import file_states, put_file, read_file
 from wardspan.specs import DISPLAY_NAMES
 
 PARTITIONS = {
     "encounters": ["site"],
     "cohort": ["site"],
-    "prepared": ["site", "split"],
+    "prepared": ["split"],
     "site_stats": [],
     "params": ["model", "round"],
     "scores": ["model", "round"],
@@ -59,12 +63,43 @@ def export_site_results(results: DataFrame, root: str, site: str, trains_only: b
     return paths
 
 
-def cached_table(spark: SparkSession, path: str, build: Callable[[], DataFrame], reuse: bool = True) -> DataFrame:
-    """Read a table written earlier, or build and write it first."""
-    if reuse:
+@lru_cache(maxsize=1)
+def code_version() -> str:
+    """A digest of the package's own source: results of other code are not reused."""
+    root, digest = Path(__file__).resolve().parent.parent, hashlib.md5()
+    for folder in (".", "functions", "operators", "plans", "sources"):
+        for source in sorted((root / folder).glob("*.py")):
+            digest.update(source.name.encode() + source.read_bytes())
+    return digest.hexdigest()
+
+
+def cache_key(df: DataFrame, *parts) -> str | None:
+    """A key that changes with the code, the given parts, and the name, size or time of any file that `df` reads.
+
+    None for a table that is not read from files only: nothing tells whether it is still the same.
+    """
+    files = file_states(df.sparkSession, df.inputFiles())
+    local = any(name in df._jdf.queryExecution().optimizedPlan().toString() for name in ("LocalRelation", "LogicalRDD"))
+    if not files or local:
+        return None
+    return hashlib.md5(json.dumps([code_version(), files, *parts], sort_keys=True, default=str).encode()).hexdigest()
+
+
+def cached_tables(spark: SparkSession, root: str, key: str | None, build: Callable[[], dict[str, DataFrame]]) -> dict[str, DataFrame]:
+    """The tables built earlier under this key, or build and write them; they count once all of them are written."""
+    if key is None:
+        return build()
+    folder = f"{root.rstrip('/')}/{key}"
+    if read_file(spark, f"{folder}/whole.json") is None:
+        built = build()
+        for name, table in built.items():
+            keys = [c for c in PARTITIONS.get(name, []) if c in table.columns]
+            table.write.mode("overwrite").partitionBy(*keys).parquet(f"{folder}/{name}")
+        columns = {name: json.loads(table.schema.json()) for name, table in built.items()}
         try:
-            return spark.read.parquet(path)
-        except (AnalysisException, Py4JJavaError):
-            pass
-    build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+            put_file(spark, f"{folder}/whole.json", json.dumps(columns))
+        except FileExistsError:
+            pass  # somebody else has finished the same tables
+    schemas = {name: StructType.fromJson(given) for name, given in json.loads(read_file(spark, f"{folder}/whole.json")).items()}
+    tables = {name: spark.read.schema(schema).parquet(f"{folder}/{name}") for name, schema in schemas.items()}
+    return {name: table.select(*[f"`{c}`" for c in schemas[name].names]) for name, table in tables.items()}
