@@ -313,6 +313,28 @@ def test_short_items_and_loose_copies_are_candidates(spark):
     assert want <= found and len(want) > 70
 
 
+def test_pruned_windows_lose_no_candidate(spark, docs):
+    rng = random.Random(23)
+    bench = spark.createDataFrame([(k, text_of(rng, rng.randrange(5, 70), 900)) for k in range(60)], "item_id long, text string")
+    screen = decontaminate.screens(docs, bench)[0]
+    noise = np.random.default_rng(5)
+    owner = np.sort(noise.integers(0, 40, 9_000))
+    sums = (noise.standard_normal((len(owner), screen.space.shape[1])) * noise.exponential(0.1, (len(owner), 1))).astype(np.float32)
+    near = noise.integers(0, len(screen.latent), 900)
+    sums[:900] += screen.latent[near] * noise.uniform(0.05, 1, (900, 1)).astype(np.float32)
+    squares = (sums**2).sum(axis=1) + noise.exponential(0.2, len(owner)).astype(np.float32)
+    pruned, whole = (screen.candidates(sums, squares, owner, prune) for prune in (True, False))
+    assert 100 < len(whole[0]) < len(owner) * len(screen.passages) / 2
+    assert all(np.array_equal(a, b) for a, b in zip(pruned[:2], whole[:2], strict=True)) and np.allclose(pruned[2], whole[2], rtol=1e-4)
+
+
+def test_buckets_grow_with_distinct_words(spark):
+    few = spark.range(200).selectExpr("concat('a', id % 7) AS text")
+    many = spark.range(1 << 14).selectExpr("array_join(transform(sequence(0, 127), k -> concat('w', id * 128 + k)), ' ') AS text")
+    assert decontaminate.bits_for(few) == decontaminate.bits_for(few.where("false")) == decontaminate.BITS
+    assert decontaminate.bits_for(many) in (16, 17)
+
+
 def test_common_subsequence():
     rng = random.Random(2)
     for _ in range(200):
