@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 
 from wardspan.operators import explain, network, params, report
-from wardspan.operators.logistic import lr_gradient, lr_local_fit
+from wardspan.operators.logistic import SHORTER, lr_curvature, lr_gradient, lr_local_fit, lr_newton_fit, newton_direction
 from wardspan.operators.scale import local_table
 from wardspan.operators.scoring import score_rows
 from wardspan.plans import federate
@@ -86,6 +86,48 @@ def test_few_iterations_improve_from_the_start(rows):
     assert objective(np.array(fitted[0].w), group, 1.0) < objective(np.zeros(4), group, 1.0)
 
 
+def test_curvature_is_the_second_derivative(rows):
+    points = {("A", 1): [0.3, -0.2, 0.1, 0.4], ("A", 2): [0.0] * 4, ("B", 2): [-1.0, 2.0, 0.5, -0.5], ("absent", 1): [0.0] * 4}
+    others = {key: [[0.5 * v for v in w], [0.0] * 4] for key, w in points.items()}
+    found = {(r.site, r["round"]): r for r in lr_curvature(rows, points, X, 0.7, others).collect()}
+    assert set(found) == set(points) - {("absent", 1)}
+    for key, row in found.items():
+        group, w = DATA[DATA.site == key[0]], np.array(points[key])
+        assert row.n == len(group) and math.isclose(row.loss, objective(w, group, 0.7), rel_tol=1e-10)
+        assert np.allclose(row.gradient, numeric_gradient(lambda v, g=group: objective(v, g, 0.7), w), rtol=1e-5, atol=1e-4)
+        assert np.allclose(row.losses, [objective(np.array(v), group, 0.7) for v in others[key]])
+        second = [numeric_gradient(lambda v, i=i, g=group: numeric_gradient(lambda u: objective(u, g, 0.7), v, 1e-3)[i], w, 1e-3) for i in range(4)]
+        assert np.allclose(row.hessian, np.array(second)[np.triu_indices(4)], rtol=1e-3, atol=1e-3)
+    assert lr_curvature(rows.where("false"), points, X).count() == 0
+    split = {(r.site, r["round"]): r.hessian for r in lr_curvature(rows.repartition(17), points, X, 0.7).collect()}
+    assert all(np.allclose(split[key], row.hessian, rtol=1e-12) for key, row in found.items())
+
+
+def test_newton_fit_reaches_the_optimum(rows):
+    start = {("A", 1): [0.0] * 4, ("B", 1): [50.0, 50.0, -50.0, 10.0], ("absent", 1): [0.0] * 4}
+    fitted = {r.site: r for r in lr_newton_fit(rows, start, X, iterations=30, tolerance=1e-9).collect()}
+    assert set(fitted) == {"A", "B"}
+    for site, group in DATA.groupby("site"):
+        assert np.allclose(fitted[site].w, newton(group), atol=1e-6) and fitted[site].n_train == len(group)
+    five = lr_newton_fit(rows, {("A", 2): [0.0] * 4}, X).first()
+    assert np.allclose(five.w, newton(DATA[DATA.site == "A"]), atol=1e-3) and five["round"] == 2
+    assert lr_newton_fit(rows, {}, X).count() == 0 and sorted(SHORTER, reverse=True) == list(SHORTER)
+
+
+def test_newton_direction_without_curvature():
+    assert np.allclose(newton_direction([2.0, 0.0], [4.0, 0.0, 0.0]), [-0.5, 0.0])
+
+
+def test_rounds_by_newton_steps(spark, sf):
+    prepared = prepare(encounters(spark, sf), order_settings(), matched=False)
+    ends = {}
+    for solver in ("quasi-newton", "newton"):
+        settings = order_settings(lr_solver=solver, lr_iterations=40)
+        _, averaged = federate.fedavg_rounds(prepared.rows, "LR", settings, 1)
+        ends[solver] = averaged.first().w
+    assert np.allclose(ends["newton"], ends["quasi-newton"], atol=0.02)
+
+
 def test_pack_and_unpack():
     w = np.arange(params.mlp_size(3, 2), dtype=float)
     assert np.array_equal(params.pack(*params.unpack(w, 3, 2)), w)
@@ -153,6 +195,38 @@ def test_fedavg(spark):
     assert params.weighted_mean(table.collect()) == [4.0, 0.5]
 
 
+@pytest.mark.parametrize("model", ["LR", "NN"])
+def test_exact_shapley_is_the_mean_over_all_orders(rows, model):
+    from itertools import permutations
+
+    from wardspan.operators.prepare import sample_rows
+
+    hidden = 3
+    w = [2.0, -1.0, 0.5, -0.4] if model == "LR" else np.linspace(-1.5, 2, params.mlp_size(3, hidden)).tolist()
+    few = rows.where("encounter_id < 12")
+    base = sample_rows(rows, 20).select(*X).toPandas().to_numpy()
+
+    def mean(x):
+        return (x @ np.array(w[:3]) + w[3] > 0).mean() if model == "LR" else params.mlp_forward(x, params.unpack(np.array(w), 3, hidden))[1].mean()
+
+    exact = explain.shapley_exact(few, rows, w, model, X, hidden, n_background=20).toPandas().pivot(index="encounter_id", columns="feature", values="phi")
+    for i, given in DATA[DATA.encounter_id < 12].set_index("encounter_id")[X].iterrows():
+        want = np.zeros(3)
+        for order in permutations(range(3)):
+            x = base.copy()
+            for j in order:
+                before = mean(x)
+                x[:, j] = given.iloc[j]
+                want[j] += (mean(x) - before) / 6
+        assert np.allclose(exact.loc[i, X], want)
+    sampled = explain.shapley_sampled(few, rows, w, model, X, hidden, n_background=20, permutations=40).toPandas()
+    sampled = sampled.pivot(index="encounter_id", columns="feature", values="phi")
+    assert np.abs(sampled[X] - exact[X]).to_numpy().max() < 0.1
+    assert explain.shapley_exact(few.where("false"), rows, w, model, X, hidden).count() == 0
+    with pytest.raises(ValueError, match="coalitions"):
+        explain.shapley_exact(few, rows, w, model, X * 5, hidden)
+
+
 @pytest.mark.parametrize("model", ["LR", "NN"])
 def test_shapley_adds_up(spark, rows, model):
     hidden = 3

@@ -16,10 +16,12 @@ from wardspan.specs import (
     DEVICE_TEXT_LEVELS,
     ETHNICITY_CODES,
     ORDER_FEATURES,
+    RunSettings,
     level_map,
 )
 
 F8 = ORDER_FEATURES
+SHAP_EXPLAINED = RunSettings().shap_explained
 FIT = "('AFRICA', 'AMERICA', 'ASIA', 'EUROPE')"
 Z = repr(NormalDist().inv_cdf(0.975))
 RATES = ["sensitivity", "specificity", "accuracy", "precision", "npv"]
@@ -413,6 +415,81 @@ g AS (SELECT site, count(*) AS n, sum(l) + ({norm}) / 2 AS loss, {sums} FROM es
 SELECT site, n, {r("loss", "loss")}, idx, {r("value", "value")} FROM ({arms})"""
 
 
+def curvature() -> str:
+    """Views up to `h`: n, loss, and the sums behind gradient (g<i>) and Hessian (h<i>_<j>) of every site."""
+    p, x = len(F8), [*F8, "1"]
+    z = " + ".join([site_case(-1), *[f"{site_case(i)} * {f}" for i, f in enumerate(F8)]])
+    norm = " + ".join(f"{site_case(i)} * {site_case(i)}" for i in range(p))
+    g = ", ".join(f"sum(e * {x[i]}) + {site_case(i) if i < p else 0} AS g{i}" for i in range(p + 1))
+    h = ", ".join(f"sum(q * {x[i]} * {x[j]}) + {int(i == j and i < p)} AS h{i}_{j}" for i in range(p + 1) for j in range(i, p + 1))
+    return f"""{PREPARED},
+zs AS (SELECT *, {z} AS z FROM prepared WHERE split = 'train'),
+es AS (SELECT *, 1 / (1 + exp(-z)) - label AS e, 1 / (1 + exp(-z)) / (1 + exp(z)) AS q,
+              -ln(CASE WHEN label = 1 THEN 1 / (1 + exp(-z)) ELSE 1 / (1 + exp(z)) END) AS l FROM zs),
+h AS (SELECT site, count(*) AS n, sum(l) + ({norm}) / 2 AS loss, {g}, {h} FROM es GROUP BY site)"""
+
+
+def hessian() -> str:
+    size = len(F8) + 1
+    names = [f"h{i}_{j}" for i in range(size) for j in range(i, size)]
+    arms = " UNION ALL ".join(f"SELECT site, n, loss, {k} AS idx, {name} AS value FROM h" for k, name in enumerate(names))
+    return f"WITH {curvature()} SELECT site, n, {r('loss', 'loss', 5)}, idx, {r('value', 'value', 5)} FROM ({arms})"
+
+
+def newton_step() -> str:
+    """The step by Gauss-Jordan elimination of the Hessian beside the negative gradient."""
+    size = len(F8) + 1
+    rows = ", ".join("[" + ", ".join([f"h{min(i, j)}_{max(i, j)}" for j in range(size)] + [f"-g{i}"]) + "]" for i in range(size))
+    return f"""WITH RECURSIVE {curvature()},
+e AS (
+  SELECT site, 1 AS k, [{rows}]::DOUBLE[][] AS m FROM h
+  UNION ALL
+  SELECT site, k + 1, list_transform(range(1, {size + 1}), lambda i: CASE
+           WHEN i = k THEN list_transform(m[k], lambda v: v / m[k][k])
+           ELSE list_transform(range(1, {size + 2}), lambda j: m[i][j] - m[i][k] / m[k][k] * m[k][j]) END)
+  FROM e WHERE k <= {size}),
+solved AS (SELECT site, m FROM e WHERE k = {size + 1})
+SELECT site, n, (idx - 1)::INTEGER AS idx, {r(f"[{', '.join(f'g{i}' for i in range(size))}][idx]", "gradient", 5)},
+       {r(f"m[idx][{size + 1}]", "step", 5)}
+FROM h JOIN solved USING (site), range(1, {size + 1}) t(idx)"""
+
+
+def coalitions() -> str:
+    """Shapley values as sums over all sets of features, of which a set's number holds the bits."""
+    p = len(F8)
+    choose = [1.0]
+    for s in range(p):
+        choose.append(choose[-1] * (p - s) / (s + 1))
+    member = [1 / (choose[s] * s) if s else 0.0 for s in range(p + 1)]
+    other = [1 / (choose[s] * (p - s)) if s < p else 0.0 for s in range(p + 1)]
+    lists = [f"[{', '.join(number(v) for v in values)}][bit_count(s)::INTEGER + 1]" for values in (member, other)]
+    units = {"lr": [fixed.LR_W], "nn": [fixed.NN_W[h * (p + 1) : (h + 1) * (p + 1)] for h in range(fixed.HIDDEN)]}
+    out = fixed.NN_W[fixed.HIDDEN * (p + 1) :]
+
+    def first(tag: str, unit: int) -> str:
+        w = units[tag][unit]
+        parts = [f"(CASE WHEN (s >> {i}) & 1 = 1 THEN x.{f} ELSE b.{f} END) * {number(w[i])}" for i, f in enumerate(F8)]
+        return " + ".join([number(w[-1]), *parts])
+
+    hidden = " + ".join([number(out[-1]), *[f"{number(out[h])} * greatest({first('nn', h)}, 0::DOUBLE)" for h in range(fixed.HIDDEN)]])
+    predictions = {"LR": ("central", f"({first('lr', 0)} > 0)::INTEGER"), "NN": ("few", sigmoid(f"({hidden})"))}
+    values = " UNION ALL ".join(
+        f"SELECT x.encounter_id, '{name}' AS model, s, avg({value}) AS v FROM {rows} x, background b, range({1 << p}) t(s) GROUP BY ALL"
+        for name, (rows, value) in predictions.items()
+    )
+    phis = " UNION ALL ".join(
+        f"SELECT encounter_id, model, '{f}' AS feature, sum(v * CASE WHEN (s >> {i}) & 1 = 1 THEN {lists[0]} ELSE -{lists[1]} END) AS phi FROM vs GROUP BY ALL"
+        for i, f in enumerate(F8)
+    )
+    order = "ORDER BY md5(encounter_id::VARCHAR || '|42'), encounter_id"
+    return f"""WITH {PREPARED},
+central AS (SELECT * FROM prepared WHERE split = 'central'),
+background AS (SELECT * FROM central {order} LIMIT 100),
+few AS (SELECT * FROM central {order} LIMIT {SHAP_EXPLAINED}),
+vs AS ({values})
+SELECT encounter_id, model, feature, {r("phi", "phi")} FROM ({phis})"""
+
+
 ATTRIBUTIONS = f"""{PREPARED},
 centre AS (SELECT site, {", ".join(f"avg({f}) AS c_{f}" for f in F8)} FROM prepared WHERE label = 1 AND split = 'train' GROUP BY site),
 phis AS ({" UNION ALL ".join(
@@ -614,6 +691,9 @@ def build() -> dict[str, str]:
         "fedavg_loss": f"""WITH {scored("('validation')")} SELECT 'LR' AS model, 1 AS round,
             {r("avg(-ln(CASE WHEN label = 1 THEN p ELSE 1 - p END))", "logloss")}, count(*) AS n FROM scored""",
         "lr_gradient": gradient(),
+        "lr_curvature": hessian(),
+        "lr_newton_step": newton_step(),
+        "shapley_exact": coalitions(),
         "feature_importance": f"WITH {MEANS}, w AS ("
         + " UNION ALL ".join(f"SELECT '{f}' AS feature, abs(sum({f} * n_train) / sum(n_train)) AS importance FROM means" for f in F8)
         + f") SELECT feature, {r('importance', 'importance')} FROM w ORDER BY w.importance DESC, feature LIMIT 40",

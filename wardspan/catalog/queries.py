@@ -12,7 +12,7 @@ from wardspan.catalog import fixed
 from wardspan.functions.stats import wilson_bounds
 from wardspan.functions.text import coerce_numeric, format_auc_ci, format_percent_ci, parse_ci, strip_censor
 from wardspan.operators import curves, explain, filters, harmonise, matching, metrics, params, prepare, report
-from wardspan.operators.logistic import lr_gradient, lr_local_fit
+from wardspan.operators.logistic import lr_curvature, lr_gradient, lr_local_fit, newton_direction
 from wardspan.operators.scale import local_table, pin_small
 from wardspan.operators.scoring import score_rows, threshold_label
 from wardspan.plans import bundle as bundles
@@ -699,6 +699,29 @@ def lr_gradient_(spark, sf):
     return rounded(found.select("site", "n", "loss", F.posexplode("gradient").alias("idx", "value")))
 
 
+def _curvature(spark, sf) -> DataFrame:
+    points = {(row["site"], row["round"]): row["w"] for row in _site_params(spark).collect()}
+    return lr_curvature(_prepared(spark, sf).where(F.col("split") == "train"), points, FEATURES)
+
+
+@query
+def lr_curvature_(spark, sf):
+    """The upper triangle of every site's Hessian, row by row."""
+    return rounded(_curvature(spark, sf).select("site", "n", "loss", F.posexplode("hessian").alias("idx", "value")), 5)
+
+
+@query
+def lr_newton_step(spark, sf):
+    """Gradient and full Newton step of every site from its fixed vector."""
+    steps = [
+        {"site": row["site"], "n": row["n"], "gradient": row["gradient"], "step": newton_direction(row["gradient"], row["hessian"]).tolist()}
+        for row in _curvature(spark, sf).collect()
+    ]
+    table = local_table(spark, steps, "site string, n long, gradient array<double>, step array<double>")
+    pairs = F.posexplode(F.arrays_zip("gradient", "step")).alias("idx", "v")
+    return rounded(table.select("site", "n", pairs).select("site", "n", "idx", "v.gradient", "v.step"), 5)
+
+
 @query
 def lr_local_fit_(spark, sf):
     train = _prepared_store(spark, sf).rows.where(F.col("split") == "train")
@@ -920,6 +943,16 @@ def shapley_sampled(spark, sf):
     return linear.unionByName(network)
 
 
+@query
+def shapley_exact(spark, sf):
+    """LR on every central row, the network on a seeded sample of them."""
+    rows = _prepared_store(spark, sf).rows.where(F.col("split") == "central")
+    linear = explain.shapley_exact(rows, rows, fixed.LR_W, "LR", FEATURES)
+    few = prepare.sample_rows(rows, SETTINGS.shap_explained)
+    network = explain.shapley_exact(few, rows, fixed.NN_W, "NN", FEATURES, fixed.HIDDEN)
+    return rounded(linear.unionByName(network))
+
+
 # ---- the minimum slice
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardspan.operators.curves import delong_test, roc_curve
-from wardspan.operators.logistic import lr_local_fit
+from wardspan.operators.logistic import lr_local_fit, lr_newton_fit
 from wardspan.operators.metrics import calibrate, evaluate_model, mean_threshold
 from wardspan.operators.network import mlp_local_fit
 from wardspan.operators.params import GLOBAL, fedavg_loss, glorot_weights, lr_size, params_table, weighted_mean
@@ -32,6 +32,7 @@ from wardspan.specs import RunSettings
 EVALUATED = ("test", "validation")
 OUTSIDE = ("external", "central")
 KEYS = ["site", "split", "round"]
+LR_SOLVERS = {"quasi-newton": lr_local_fit, "newton": lr_newton_fit}
 P_VALUES = ["p_vs_round1", "p_lr_vs_nn"]
 
 
@@ -201,7 +202,7 @@ def local_fit(rows: DataFrame, model: str, start: Mapping[tuple[str, int], Seque
     """Local training from start vectors keyed by site and round."""
     if model == "LR":
         train = rows.where(F.col("split") == "train")
-        return lr_local_fit(train, start, settings.features, settings.lr_iterations, settings.lr_c)
+        return LR_SOLVERS[settings.lr_solver](train, start, settings.features, settings.lr_iterations, settings.lr_c)
     fitted = mlp_local_fit(
         rows,
         start,

@@ -392,6 +392,8 @@ class RunSettings:
     level: float = 0.95
     lr_rounds: int = 15
     nn_rounds: int = 15
+    #: "quasi-newton" steps from gradients alone, or "newton" steps with the Hessian from the same pass.
+    lr_solver: str = "quasi-newton"
     lr_iterations: int = 5
     lr_c: float = 1.0
     nn_hidden: int = 10
