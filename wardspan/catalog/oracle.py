@@ -415,6 +415,48 @@ g AS (SELECT site, count(*) AS n, sum(l) + ({norm}) / 2 AS loss, {sums} FROM es
 SELECT site, n, {r("loss", "loss")}, idx, {r("value", "value")} FROM ({arms})"""
 
 
+#: Lines of the four kinds of extract with what they should become.
+EXTRACTS = """lines AS (
+  SELECT o_orderkey AS k, o_orderkey // 4 AS q, o_orderdate AS d, o_orderkey % 53 = 0 AS broken,
+         ['common', 'outcome', 'period', 'dual'][o_orderkey % 4 + 1] AS site FROM orders),
+judged AS (
+  SELECT *, CASE WHEN broken THEN 'malformed line'
+                 WHEN site = 'period' AND q % 3 = 2 OR site <> 'period' AND q % 41 = 0 THEN 'unreadable date'
+                 ELSE 'sound' END AS state,
+         CASE WHEN site = 'common' AND q % 29 = 0 OR site = 'outcome' AND q % 5 <> 4 AND q % 4 = 3 THEN 'tent'
+              WHEN site = 'period' AND q % 3 = 2 OR site = 'dual' AND q % 4 <> 3 AND q % 3 = 1 THEN 'steam' END AS code,
+         CASE WHEN site = 'dual' AND q % 3 <> 0 THEN q % 5 <> 0 AND q % 7 <> 0 END AS named
+  FROM lines)"""
+LEDGER = f"""WITH {EXTRACTS}
+SELECT site, state AS check, NULL::VARCHAR AS detail, count(*) AS n FROM judged GROUP BY ALL
+UNION ALL SELECT site, 'unmapped device', code, count(*) FROM judged WHERE state = 'sound' AND code IS NOT NULL GROUP BY ALL
+UNION ALL SELECT site, 'encounter without correction', NULL, count(*) FROM judged WHERE state = 'sound' AND NOT named GROUP BY ALL
+UNION ALL SELECT site, 'corrected id without encounter', NULL, count(*) FROM judged
+  WHERE site = 'dual' AND q % 3 <> 0 AND q % 5 <> 0 AND (q % 7 = 0 OR state <> 'sound') GROUP BY ALL"""
+HARMONISED = f"""WITH {EXTRACTS},
+read AS (
+  SELECT *, (k % 97 + 1)::DOUBLE AS v, greatest(q % 3, CASE WHEN q % 7 = 0 THEN 1 ELSE 0 END) AS test,
+         CASE site WHEN 'outcome' THEN q % 4 WHEN 'period' THEN CASE q % 5 WHEN 3 THEN 9 WHEN 4 THEN 3 ELSE q % 5 END END AS outcome
+  FROM judged WHERE state = 'sound')
+SELECT k::VARCHAR AS encounter_id, site,
+       CASE site WHEN 'period' THEN CASE q % 3 WHEN 0 THEN TIMESTAMP '2020-05-08 01:00:00' ELSE TIMESTAMP '2019-05-18 01:00:00' END
+                 WHEN 'dual' THEN date_trunc('month', d)::TIMESTAMP ELSE d::TIMESTAMP END AS arrival_ts,
+       CASE WHEN site = 'period' THEN ['M', 'F'][q % 2 + 1] ELSE (k % 97 + 1)::VARCHAR END AS gender,
+       ['White', 'Chinese', 'Mixed', 'elsewhere'][q % 4 + 1] AS ethnicity,
+       CASE site WHEN 'common' THEN CASE WHEN q % 29 <> 0 THEN q % 4 END
+                 WHEN 'outcome' THEN CASE WHEN q % 5 = 4 THEN 0 ELSE [1, 3, NULL, NULL][q % 4 + 1] END
+                 WHEN 'period' THEN [3, 1][q % 3 + 1]
+                 ELSE CASE WHEN q % 4 = 3 THEN 3 ELSE [1, 3, 3][q % 3 + 1] END END::DOUBLE AS vital_oxygen_device,
+       v AS vital_heart_rate, v AS blood_alt,
+       CASE WHEN site IN ('outcome', 'period') THEN (outcome = 0)::INTEGER WHEN site = 'common' THEN v::INTEGER END AS discharged,
+       CASE site WHEN 'outcome' THEN (outcome = 1)::INTEGER WHEN 'period' THEN (q % 3 = 0 OR outcome = 2)::INTEGER WHEN 'dual' THEN 1 ELSE v::INTEGER END AS admission,
+       CASE WHEN site IN ('outcome', 'period') THEN (outcome = 2)::INTEGER ELSE v::INTEGER END AS icu,
+       CASE WHEN site IN ('outcome', 'period') THEN (outcome = 3)::INTEGER WHEN site = 'common' THEN v::INTEGER END AS death,
+       CASE site WHEN 'common' THEN q % 2 WHEN 'outcome' THEN test - 1 WHEN 'period' THEN [0, 1, NULL, 1][q % 4 + 1]
+                 ELSE CASE WHEN named IS NULL THEN 0 WHEN named AND q % 11 <> 0 THEN q % 2 END END::INTEGER AS label
+FROM read WHERE site <> 'outcome' OR test > 0"""
+
+
 def curvature() -> str:
     """Views up to `h`: n, loss, and the sums behind gradient (g<i>) and Hessian (h<i>_<j>) of every site."""
     p, x = len(F8), [*F8, "1"]
@@ -691,6 +733,8 @@ def build() -> dict[str, str]:
         "fedavg_loss": f"""WITH {scored("('validation')")} SELECT 'LR' AS model, 1 AS round,
             {r("avg(-ln(CASE WHEN label = 1 THEN p ELSE 1 - p END))", "logloss")}, count(*) AS n FROM scored""",
         "lr_gradient": gradient(),
+        "quality_ledger": LEDGER,
+        "harmonise_extracts": HARMONISED,
         "lr_curvature": hessian(),
         "lr_newton_step": newton_step(),
         "shapley_exact": coalitions(),

@@ -16,7 +16,7 @@ from wardspan.operators.logistic import lr_curvature, lr_gradient, lr_local_fit,
 from wardspan.operators.scale import local_table, pin_small
 from wardspan.operators.scoring import score_rows, threshold_label
 from wardspan.plans import bundle as bundles
-from wardspan.plans import cohorts, federate
+from wardspan.plans import cohorts, extracts, federate
 from wardspan.plans.cohorts import Prepared
 from wardspan.sources.encounters import (
     CONTROL_BEFORE,
@@ -37,9 +37,18 @@ from wardspan.specs import (
     DEVICE_O2_LEVELS,
     DEVICE_TEXT_INVALID,
     DEVICE_TEXT_LEVELS,
+    DISPLAY_NAMES,
+    DUAL_SITE_COLUMNS,
+    DUAL_SITE_DROPPED,
     ORDER_FEATURES,
+    OUTCOME_COLUMN,
     OUTCOME_FLAGS,
     OUTCOME_FLAGS_DEATH_4,
+    OUTCOME_SITE_COLUMNS,
+    PCR_COLUMN,
+    PERIOD_SITE_COLUMNS,
+    SECOND_ASSAY_COLUMN,
+    SEX_COLUMN,
     level_map,
 )
 
@@ -98,6 +107,89 @@ def apply_correction_(spark, sf):
     return apply_correction(current, correction).select("encounter_id", "label", "correction_found")
 
 
+def _extract_files(spark, sf) -> list[extracts.Extract]:
+    """CSV files of the four kinds, a quarter of the orders each; every 53rd order leaves a broken line instead."""
+    root, rows = new_stage_path(spark, "csv"), orders(spark, sf).withColumn("q", F.floor(key() / 4))
+    value, q = (key() % 97 + 1).cast("string"), F.col("q")
+    date = F.when(q % 41 == 0, "soon").otherwise(F.date_format("o_orderdate", "dd/MM/yyyy HH:mm"))
+    ethnicity = pick(["A", "Other-Chinese", "D", "elsewhere"], q)
+    layouts = {
+        "common": dict.fromkeys(DISPLAY_NAMES.values(), value)
+        | {
+            "ClusterID": key(),
+            "ArrivalDateTime": date,
+            "Ethnicity": ethnicity,
+            "Vital_Sign Delivery device used": F.when(q % 29 == 0, "tent").otherwise((q % 4).cast("string")),
+            "Covid-19 Positive": q % 2,
+        },
+        "outcome": dict.fromkeys(OUTCOME_SITE_COLUMNS, value)
+        | {
+            "PresentationID (unique identifier)": key(),
+            "PresentationDate": date,
+            "EthnicityCode": ethnicity,
+            "AdmissionOxygenDeliveryDevice": F.when(q % 5 != 4, pick(["NV", "CPAP", "96", "tent"], q)),
+            "PresentationALT": F.concat(F.lit("<"), value),
+            OUTCOME_COLUMN: q % 4,
+            PCR_COLUMN: q % 3,
+            SECOND_ASSAY_COLUMN: F.when(q % 7 == 0, 1),
+        },
+        "period": dict.fromkeys(PERIOD_SITE_COLUMNS, value)
+        | {
+            "StudyID": key(),
+            "period": pick(["pandemic", "pre-pandemic", "later"], q),
+            "Ethnicity": ethnicity,
+            SEX_COLUMN: q % 2,
+            "AdmissionOxygenDeliveryDevice": pick(["O2HFN", "O2NASAL", "steam"], q),
+            PCR_COLUMN: pick(["NOT Detected", "**DETECTED**", "Requested", "***DETECTED***"], q),
+            OUTCOME_COLUMN: q % 5,
+            "admitted AMU": F.when(q % 3 == 0, 1).otherwise(0),
+            "subsequently attended AMU": F.lit(None),
+        },
+        "dual": dict.fromkeys([*DUAL_SITE_COLUMNS, *DUAL_SITE_DROPPED], value)
+        | {
+            "epis_sg2": key(),
+            "YY": F.year("o_orderdate"),
+            "MM": F.when(q % 41 == 0, 13).otherwise(F.month("o_orderdate")),
+            "ethnic_origin": ethnicity,
+            "ED O2 Flowrate": F.when(q % 4 != 3, pick(["2 l/min", "steam", "60%"], q)),
+            "oxygen_mask": F.lit("5"),
+            "ED Pulse": F.when(q % 2 == 0, value),
+            "pcr_result": q % 2,
+        },
+    }
+
+    def write(name: str, chosen: DataFrame, columns: dict) -> str:
+        path = f"{root}/{name}"
+        whole, broken = key() % 53 != 0, key() % 53 == 0
+        chosen.where(whole).select(*[F.lit(c).cast("string").alias(n) if not isinstance(c, Column) else c.cast("string").alias(n) for n, c in columns.items()]).write.option("header", True).csv(path)
+        chosen.where(broken).select(F.concat(F.lit("broken"), key().cast("string")).alias("x")).write.mode("append").option("header", True).csv(path)
+        return path
+
+    made = []
+    for i, kind in enumerate(("common", "outcome", "period")):
+        made.append(extracts.Extract(kind, kind, write(kind, rows.where(key() % 4 == i), layouts[kind])))
+    dual, earlier = rows.where(key() % 4 == 3), {n: c for n, c in layouts["dual"].items() if n != "pcr_result"}
+    before, current = write("before", dual.where(q % 3 == 0), earlier), write("dual", dual.where(q % 3 != 0), layouts["dual"])
+    named = dual.where(q % 3 != 0).where(q % 5 != 0).select(
+        F.when(q % 7 == 0, F.concat(F.lit("x"), key().cast("string"))).otherwise(key().cast("string")).alias("epis_sg2"),
+        F.when(q % 11 == 0, 9).otherwise(q % 2).alias("pcr_result48"),
+    )
+    named.write.option("header", True).csv(f"{root}/correction")
+    return [*made, extracts.Extract("dual", "dual", current, before, f"{root}/correction")]
+
+
+@query
+def quality_ledger(spark, sf):
+    return extracts.harmonise_extracts(spark, _extract_files(spark, sf)).ledger
+
+
+@query
+def harmonise_extracts(spark, sf):
+    found = extracts.harmonise_extracts(spark, _extract_files(spark, sf)).encounters
+    kept = ["encounter_id", "site", "arrival_ts", "gender", "ethnicity", "vital_oxygen_device", "vital_heart_rate", "blood_alt", "discharged", "admission", "icu", "death", "label"]
+    return rounded(found.select(*kept))
+
+
 # ---- renames, recodes, cleaning
 
 
