@@ -5,12 +5,14 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from wardspan.llm import chat, decontaminate, encoder, line_dedup, near_dup, packing, pii, quality, token_counts, toxicity, url_filter, words
-from wardspan.llm.tables import components
+from wardspan.llm import chat, decontaminate, encoder, line_dedup, near_dup, packing, pii, quality, queries, token_counts, toxicity, url_filter, words
+from wardspan.llm.tables import components, distinct_texts, picked, sample_bound
 
 DOCS = "doc_id long, text string, lang string, key string, n_lines int, lost string, others string"
 BLANK = re.compile(r"[^\x20\x09-\x0D]+")
@@ -394,6 +396,19 @@ def test_training_sample_holds_distinct_texts(spark):
     assert toxicity.training_sample(docs, 1, 40).count() == 40
 
 
+def test_samples_never_vanish(spark):
+    """A share far below 2^-20 still picks its part of the hashes; copies of one text count once."""
+    for total, most in ((10**11, 20_000), (10**14, 2_000), (10**18, 1)):
+        assert abs(sample_bound(total, most) / 2**63 * total / most - 1) < 0.2
+    assert sample_bound(5, 10) == sample_bound(0, 10) == 1 << 63
+    hashes = F.xxhash64("id")
+    assert spark.range(2_000_000).where(picked(hashes, 2_000_000_000, 1_000_000)).count() == pytest.approx(1_000, rel=0.2)
+    copies = spark.range(20_000).select(F.lit("one and the same text").alias("text"))
+    order = F.xxhash64(F.lit(7), "text")
+    assert copies.where(picked(order, distinct_texts(copies, order), 100)).count() == 20_000
+    assert distinct_texts(copies.where("false"), order) == 0
+
+
 def test_patterns_see_every_text():
     patterns = [re.compile(p) for p in toxicity.PATTERNS.values()]
     voters = toxicity.Voters([(0, toxicity.hashes_of(words.split())) for words in toxicity.LEXICONS.values()], patterns)
@@ -481,3 +496,16 @@ def test_chunked_viterbi_equals_whole(spark):
     joint = best[:, None] + chat.chunk_matrix(model, lines[10:])[:-1]
     border, last = np.unravel_index(joint.argmax(), joint.shape)
     assert chat.decode(model, lines[:10], None, int(border)) + chat.decode(model, lines[10:], int(border), int(last)) == whole
+
+
+def test_line_dedup_sql_counts_rows_as_the_operator_does(docs, sample):
+    """Repeated ids are documents of their own in both, whichever of them hold the line."""
+    line = "A line of more than forty code points that five rows of a table hold."
+    rows = [(1, line), (2, line + "\nb"), (3, line), (4, line), (4, "c\n" + line), (9, "alone")]
+    table = docs.sparkSession.createDataFrame(rows, "doc_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows]}))
+    expected = con.execute(queries.LINE_DEDUP_SQL).fetchall()
+    kept = F.sha2(F.col("kept_text").cast("binary"), 256)
+    found = [tuple(r) for r in line_dedup.dedup_lines(table, buckets=2).withColumn("kept_text", kept).collect()]
+    assert sorted(found) == sorted(expected) and sum(r[2] for r in found) == 3

@@ -14,13 +14,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardspan.llm.tables import map_batches, map_tasks
+from wardspan.llm.tables import distinct_texts, map_batches, map_tasks, picked
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 SAMPLE_DOCS = 4_000
 TRAIN_WORDS = 12
 MOST_RUNS = 3_000
+#: Scores of longer words are not kept.
+MOST_CACHED_CHARS = 200
 
 DOMAIN = re.compile(r"@[A-Za-z0-9-]++(\.[A-Za-z0-9-]++)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -96,7 +98,7 @@ def runs(text: str) -> list[list[tuple[int, int]]]:
 
 
 def shape(word: str) -> str:
-    word = DIGITS.sub(lambda m: f"9{len(m[0])}" if len(m[0]) < 5 else "9+", word[:200])
+    word = DIGITS.sub(lambda m: f"9{len(m[0])}" if len(m[0]) < 5 else "9+", word)
     return LETTERS.sub("a", word)
 
 
@@ -239,8 +241,8 @@ def labelled_run(text: str, words: list[tuple[int, int]], spans: list[Span]) ->
 def training_table(docs: DataFrame, sample_docs: int, most_runs: int) -> list[tuple[list[str], list[int]]]:
     """Labelled runs of a sample of the documents that hold digits or `@`, in a fixed order, and their variants."""
     holding = docs.select("text").where(F.col("text").rlike("[0-9@]"))
-    share = min(1.0, sample_docs / max(1, holding.count()))
-    sample = holding.where(F.pmod(F.xxhash64(F.lit(3), "text"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    order = F.xxhash64(F.lit(3), "text")
+    sample = holding.where(picked(order, distinct_texts(holding, order), sample_docs)).distinct()
 
     def label(batch):
         found = []
@@ -307,6 +309,9 @@ def find_personal_data(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, most_run
                     row = []
                     for a, b in words:
                         word = text[a:b]
+                        if len(word) > MOST_CACHED_CHARS:
+                            row.append(field.value.scores(word))
+                            continue
                         if word not in known:
                             if len(known) > 50_000:
                                 known.clear()

@@ -113,7 +113,7 @@ keyed AS (
   FROM each
 ),
 common AS (
-  SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+  SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT r) >= 5
 ),
 judged AS (
   SELECT keyed.*, (common.key IS NOT NULL AND common.keeper <> keyed.doc_id) AS lost

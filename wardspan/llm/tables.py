@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -35,6 +35,21 @@ def map_batches(rows: DataFrame, make: Callable[[pa.RecordBatch], Iterator[dict]
     return map_tasks(rows, lambda batches: (columns for batch in batches for columns in make(batch)), schema)
 
 
+def sample_bound(total: int, most: int) -> int:
+    """How many of the 2^63 hash values pick a text, so that about `most` of `total` texts are picked."""
+    return (1 << 63) if total <= most else max(1, (most << 63) // total)
+
+
+def picked(order: Column, total: int, most: int) -> Column:
+    """Whether a 64-bit hash is among those that `sample_bound` picks; alike for all copies of a text."""
+    return F.shiftrightunsigned(order, 1) <= F.lit(sample_bound(total, most) - 1)
+
+
+def distinct_texts(docs: DataFrame, order: Column) -> int:
+    """About how many distinct texts there are: a sample of a share of the rows would be empty if all are copies of one."""
+    return docs.agg(F.approx_count_distinct(order)).first()[0]
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of undirected links (a, b): one row per linked node with the smallest node it reaches.
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardspan.llm.encoder import Encoder, encoder, pre_token_pattern, vocabulary_path
-from wardspan.llm.tables import map_batches, map_tasks
+from wardspan.llm.tables import distinct_texts, map_batches, map_tasks, picked
 
 LIMIT = 512
 #: Documents (in the order of a hash) whose pre-tokens are counted for the table, and its entries.
@@ -53,9 +53,9 @@ class Lengths(dict):
 
 
 def frequent_lengths(docs: DataFrame, path: str, sample_docs: int = SAMPLE_DOCS, most: int = FREQUENT) -> dict[str, int]:
-    """Lengths of the most frequent pre-tokens of a sample of the documents."""
-    share = min(1.0, sample_docs / max(1, docs.count()))
-    sample = docs.select("text").where(F.pmod(F.xxhash64(F.lit(4), "text"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    """Lengths of the most frequent pre-tokens of about `sample_docs` distinct texts, picked by a hash."""
+    order = F.xxhash64(F.lit(4), "text")
+    sample = docs.select("text").where(picked(order, distinct_texts(docs, order), sample_docs)).distinct()
 
     def count(batches):
         seen: Counter[str] = Counter()

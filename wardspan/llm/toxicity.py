@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardspan.llm.tables import map_batches
+from wardspan.llm.tables import distinct_texts, map_batches, picked
 from wardspan.llm.words import LOWER_CODES, batches_of, find_spans, hash_spans, text_bytes
 from wardspan.session import write_stage
 
@@ -219,10 +219,11 @@ def features(hits: np.ndarray, n_words: np.ndarray, words: np.ndarray, owner: np
 
 
 def training_sample(docs: DataFrame, total: int, most: int) -> DataFrame:
-    """text and n, the rows that have it: at most `most` distinct texts, picked and ordered by a hash; `total` rows in all."""
+    """text and n, the rows that have it: at most `most` distinct texts, picked and ordered by a hash; about `total` distinct
+    texts in all."""
     order = F.xxhash64(F.lit(7), "text")
-    picked = docs.where(F.pmod(order, F.lit(1 << 20)) < int(min(1.0, most / max(1, total)) * (1 << 20)))
-    return picked.groupBy("text").agg(F.count("*").alias("n")).orderBy(order, "text").limit(most)
+    sample = docs.where(picked(order, total, most))
+    return sample.groupBy("text").agg(F.count("*").alias("n")).orderBy(order, "text").limit(most)
 
 
 def fit_classifier(dense: np.ndarray, sparse: tuple, target: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
@@ -268,7 +269,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABE
     seen = map_batches(docs, vote, "votes array<int>, n long").groupBy("votes").agg(F.sum("n").alias("n")).orderBy("votes").collect()
     rows = np.array([row["votes"] for row in seen], np.int64).reshape(len(seen), len(voters.value) + 1)
     model = fit_label_model(rows[:, :-1], np.array([row["n"] for row in seen], float), rows[:, -1])
-    sample = training_sample(docs.select("text"), sum(row["n"] for row in seen), train_docs)
+    sample = training_sample(docs.select("text"), distinct_texts(docs, F.xxhash64(F.lit(7), "text")), train_docs)
 
     def describe(batch):
         texts = batch.column("text")
