@@ -5,8 +5,9 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from wardspan.operators import explain, network, params, report
+from wardspan.operators import explain, network, params, report, synchronous
 from wardspan.operators.logistic import SHORTER, lr_curvature, lr_gradient, lr_local_fit, lr_newton_fit, newton_direction
 from wardspan.operators.scale import local_table
 from wardspan.operators.scoring import score_rows
@@ -142,7 +143,7 @@ def test_mlp_gradient_is_the_derivative():
         p = params.mlp_forward(x, params.unpack(v, 3, 4))[1]
         return -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
 
-    assert np.allclose(network._mlp_gradient(x, y, w, 4), numeric_gradient(loss, w), atol=1e-6)
+    assert np.allclose(network.mlp_gradient_mean(x, y, w, 4), numeric_gradient(loss, w), atol=1e-6)
 
 
 @pytest.mark.parametrize("hidden", [2, 50])
@@ -182,6 +183,72 @@ def test_large_sites_are_trained_in_shards(rows):
         assert np.allclose(fitted[site].w, mean) and fitted[site].n_train == part.n_train.sum()
 
 
+def dealt(site, batch, seed, rows):
+    """Training rows with their batch, test rows, and the number of batches of a site."""
+    hashed = rows.where((F.col("site") == site) & (F.col("split") == "train"))
+    n_steps = -(-hashed.count() // batch)
+    ids = hashed.select("encounter_id", F.pmod(F.xxhash64("encounter_id", F.lit(seed)), F.lit(n_steps)).alias("step")).toPandas()
+    group = DATA[DATA.site == site].merge(ids, how="left", on="encounter_id")
+    train, test = group[group.split == "train"], group[group.split == "test"]
+    return train, test, n_steps
+
+
+@pytest.mark.parametrize("patience", [3, 40])
+def test_site_fit_equals_one_machine(rows, patience):
+    start = params.glorot_weights(3, 4)
+    options = {"hidden": 4, "epochs": 6, "patience": patience, "batch": 100, "rate": 0.05, "seed": 5}
+    key = {("A", 1): start.tolist(), ("B", 1): start.tolist(), ("B", 2): (2 * start).tolist(), ("nowhere", 1): start.tolist()}
+    fits, n_train = synchronous.train_sites(rows, key, X, **options)
+    assert [(f.site, f.round) for f in fits] == [("A", 1), ("B", 1), ("B", 2)]
+    parts = {s: dealt(s, 100, 5, rows) for s in ("A", "B")}
+    longest = max(n for _, _, n in parts.values())
+    for fit in fits:
+        train, test, n_steps = parts[fit.site]
+        assert n_train[fit.site] == len(train) and n_steps > 1
+        alone = synchronous.Fit(fit.site, fit.round, np.array(key[fit.site, fit.round]))
+        rng = np.random.default_rng(5)
+        for _ in range(6):
+            for step in rng.permutation(longest):
+                part = train[train.step == step]
+                if len(part) and alone.since < patience:
+                    alone.move(network.mlp_gradient_mean(part[X].to_numpy(), part.label.to_numpy(float), alone.w, 4), 0.05)
+            if alone.since < patience:
+                cells = synchronous.score_cells(params.mlp_forward(test[X].to_numpy(), params.unpack(alone.w, 3, 4))[1])
+                counts = [np.bincount(cells[test.label == c], minlength=synchronous.CELLS) for c in (0, 1)]
+                alone.judge(synchronous.cell_auc(*counts))
+        assert np.allclose(fit.best, alone.best, atol=1e-9) and (fit.epochs, fit.turn) == (alone.epochs, alone.turn)
+
+
+def test_site_fit_ignores_the_partitions(rows):
+    start = {(s, 1): params.glorot_weights(3, 4).tolist() for s in ("A", "B")}
+    options = {"hidden": 4, "epochs": 3, "batch": 150}
+    tables = [network_fit.toPandas().sort_values("site") for network_fit in (synchronous.mlp_site_fit(r, start, X, **options) for r in (rows, rows.repartition(2)))]
+    assert np.allclose(np.stack(tables[0].w), np.stack(tables[1].w), atol=1e-9)
+    assert tables[0].n_train.tolist() == [((DATA.site == s) & (DATA.split == "train")).sum() for s in ("A", "B")]
+    assert synchronous.mlp_site_fit(rows.where("false"), start, X, **options).isEmpty()
+
+
+def test_site_gradient_is_the_mean_over_all_rows(rows):
+    start = {(s, r): (r * params.glorot_weights(3, 4)).tolist() for s in ("A", "B") for r in (1, 2)}
+    for row in synchronous.mlp_gradient(rows, start, X, 4).collect():
+        group = DATA[DATA.site == row.site]
+        w = np.array(start[row.site, row["round"]])
+        x, y = group[X].to_numpy(), group.label.to_numpy(float)
+        p = params.mlp_forward(x, params.unpack(w, 3, 4))[1]
+        assert row.n == len(group) and np.allclose(row.gradient, network.mlp_gradient_mean(x, y, w, 4))
+        assert np.isclose(row.loss, -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
+
+
+def test_auc_from_score_cells():
+    y, p = RNG.integers(0, 2, 3_000), RNG.random(3_000)
+    p = 1 / (1 + np.exp(-(4 * p + y)))
+    cells = synchronous.score_cells(p)
+    counts = [np.bincount(cells[y == c], minlength=synchronous.CELLS) for c in (0, 1)]
+    assert abs(synchronous.cell_auc(*counts) - network.rank_auc(p, y)) < 2e-3
+    assert np.isnan(synchronous.cell_auc(counts[0], 0 * counts[1]))
+    assert synchronous.score_cells(np.array([0.0, 1.0, 1e-9, 1 - 1e-9])).tolist() == [0, 2047, 0, 2047]
+
+
 def test_rank_auc():
     p, y = np.array([0.1, 0.4, 0.4, 0.8]), np.array([0, 0, 1, 1])
     assert network.rank_auc(p, y) == 0.875 and math.isnan(network.rank_auc(p, np.ones(4)))

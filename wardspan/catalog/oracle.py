@@ -415,6 +415,27 @@ g AS (SELECT site, count(*) AS n, sum(l) + ({norm}) / 2 AS loss, {sums} FROM es
 SELECT site, n, {r("loss", "loss")}, idx, {r("value", "value")} FROM ({arms})"""
 
 
+def network_gradient() -> str:
+    """Mean loss and gradient of each site's network; per hidden unit input weights and bias, then the output layer."""
+    p, h = len(F8), fixed.HIDDEN
+    vectors = {s: [v * (i + 1) / 4 for v in fixed.NN_W] for i, s in enumerate(SITE_W)}
+
+    def w(position: int) -> str:
+        return "(CASE site " + " ".join(f"WHEN '{s}' THEN {number(v[position])}" for s, v in vectors.items()) + " END)"
+
+    units = ", ".join(" + ".join([w(u * (p + 1) + p), *[f"{w(u * (p + 1) + i)} * {f}" for i, f in enumerate(F8)]]) + f" AS u{u}" for u in range(h))
+    out = " + ".join([w(h * (p + 2)), *[f"{w(h * (p + 1) + u)} * greatest(u{u}, 0)" for u in range(h)]])
+    slopes = [f"avg(CASE WHEN u{u} > 0 THEN e * {w(h * (p + 1) + u)} * {f} ELSE 0 END)" for u in range(h) for f in [*F8, "1"]]
+    slopes += [f"avg(e * greatest(u{u}, 0))" for u in range(h)] + ["avg(e)"]
+    arms = " UNION ALL ".join(f"SELECT site, n, loss, {k} AS idx, g{k} AS value FROM g" for k in range(len(slopes)))
+    return f"""WITH {PREPARED},
+us AS (SELECT *, {units} FROM prepared WHERE split = 'train'),
+zs AS (SELECT *, {out} AS z FROM us),
+es AS (SELECT *, 1 / (1 + exp(-z)) - label AS e, -ln(CASE WHEN label = 1 THEN 1 / (1 + exp(-z)) ELSE 1 / (1 + exp(z)) END) AS l FROM zs),
+g AS (SELECT site, count(*) AS n, avg(l) AS loss, {", ".join(f"{s} AS g{k}" for k, s in enumerate(slopes))} FROM es GROUP BY site)
+SELECT site, n, {r("loss", "loss")}, idx, {r("value", "value")} FROM ({arms})"""
+
+
 #: Lines of the four kinds of extract with what they should become.
 EXTRACTS = """lines AS (
   SELECT o_orderkey AS k, o_orderkey // 4 AS q, o_orderdate AS d, o_orderkey % 53 = 0 AS broken,
@@ -733,6 +754,7 @@ def build() -> dict[str, str]:
         "fedavg_loss": f"""WITH {scored("('validation')")} SELECT 'LR' AS model, 1 AS round,
             {r("avg(-ln(CASE WHEN label = 1 THEN p ELSE 1 - p END))", "logloss")}, count(*) AS n FROM scored""",
         "lr_gradient": gradient(),
+        "mlp_gradient": network_gradient(),
         "quality_ledger": LEDGER,
         "harmonise_extracts": HARMONISED,
         "lr_curvature": hessian(),

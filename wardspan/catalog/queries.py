@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from wardspan.catalog import fixed
 from wardspan.functions.stats import wilson_bounds
 from wardspan.functions.text import coerce_numeric, format_auc_ci, format_percent_ci, parse_ci, strip_censor
-from wardspan.operators import curves, explain, filters, harmonise, matching, metrics, params, prepare, report
+from wardspan.operators import curves, explain, filters, harmonise, matching, metrics, params, prepare, report, synchronous
 from wardspan.operators.logistic import lr_curvature, lr_gradient, lr_local_fit, newton_direction
 from wardspan.operators.scale import local_table, pin_small
 from wardspan.operators.scoring import score_rows, threshold_label
@@ -832,6 +832,24 @@ def mlp_local_fit(spark, sf):
     return fitted.select("model", "site", "round", "n_train", F.posexplode("w").alias("idx", "value"))
 
 
+@query
+def mlp_gradient(spark, sf):
+    """Loss and gradient of every site's network at a vector of its own: what the first step of a site-wide fit moves by."""
+    start = {(s, 1): [v * (i + 1) / 4 for v in fixed.NN_W] for i, s in enumerate(FIT_SITES)}
+    train = _prepared(spark, sf).where(F.col("split") == "train")
+    found = synchronous.mlp_gradient(train, start, FEATURES, fixed.HIDDEN)
+    return rounded(found.select("site", "n", "loss", F.posexplode("gradient").alias("idx", "value")))
+
+
+@query
+def mlp_site_fit(spark, sf):
+    """One network per site in synchronous steps over all its training rows."""
+    settings = order_settings(nn_solver="site")
+    start = federate.start_vector("NN", settings)
+    fitted = federate.local_fit(_prepared(spark, sf), "NN", {(s, 1): start for s in FIT_SITES}, settings)
+    return fitted.select("model", "site", "round", "n_train", F.posexplode("w").alias("idx", "value"))
+
+
 @query
 def fedavg_round(spark, sf):
     """Three LR rounds and one NN round on the matched cohort."""

@@ -25,7 +25,7 @@ def rank_auc(p: np.ndarray, y: np.ndarray) -> float:
     return wins / (2.0 * len(pos) * len(neg))
 
 
-def _mlp_gradient(x: np.ndarray, y: np.ndarray, w: np.ndarray, hidden: int) -> np.ndarray:
+def mlp_gradient_mean(x: np.ndarray, y: np.ndarray, w: np.ndarray, hidden: int) -> np.ndarray:
     """Gradient of the mean cross-entropy of one batch."""
     weights = unpack(w, x.shape[1], hidden)
     h, p = mlp_forward(x, weights)
@@ -43,7 +43,7 @@ def train_mlp(x, y, x_val, y_val, w, hidden=10, epochs=50, patience=15, batch=40
         order = rng.permutation(len(y))
         for at in range(0, len(order), batch):
             rows = order[at : at + batch]
-            g = _mlp_gradient(x[rows], y[rows], w, hidden)
+            g = mlp_gradient_mean(x[rows], y[rows], w, hidden)
             step += 1
             first = 0.9 * first + 0.1 * g
             second = 0.999 * second + 0.001 * g * g

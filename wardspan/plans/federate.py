@@ -23,6 +23,7 @@ from wardspan.operators.params import GLOBAL, fedavg_loss, glorot_weights, lr_si
 from wardspan.operators.report import continue_rounds, round_history
 from wardspan.operators.scale import local_table, lookup_join, pin_small
 from wardspan.operators.scoring import score_rows, threshold_label
+from wardspan.operators.synchronous import mlp_site_fit
 from wardspan.plans.cohorts import Prepared
 from wardspan.session import write_stage
 from wardspan.sources.store import RunStore
@@ -203,16 +204,10 @@ def local_fit(rows: DataFrame, model: str, start: Mapping[tuple[str, int], Seque
     if model == "LR":
         train = rows.where(F.col("split") == "train")
         return LR_SOLVERS[settings.lr_solver](train, start, settings.features, settings.lr_iterations, settings.lr_c)
-    fitted = mlp_local_fit(
-        rows,
-        start,
-        settings.features,
-        hidden=settings.nn_hidden,
-        epochs=settings.nn_epochs,
-        patience=settings.nn_patience,
-        batch=settings.nn_batch,
-        rows_per_shard=settings.nn_rows_per_shard,
-    )
+    options = {"hidden": settings.nn_hidden, "epochs": settings.nn_epochs, "patience": settings.nn_patience, "batch": settings.nn_batch}
+    if settings.nn_solver == "site":
+        return mlp_site_fit(rows, start, settings.features, **options)
+    fitted = mlp_local_fit(rows, start, settings.features, rows_per_shard=settings.nn_rows_per_shard, **options)
     return pin_small(fitted, "nn-params")[0]
 
 

@@ -396,6 +396,8 @@ class RunSettings:
     lr_solver: str = "quasi-newton"
     lr_iterations: int = 5
     lr_c: float = 1.0
+    #: "shards" of bounded size trained alone and averaged, or one fit over the whole "site" in synchronous steps.
+    nn_solver: str = "shards"
     nn_hidden: int = 10
     nn_epochs: int = 50
     nn_patience: int = 15
