@@ -219,18 +219,18 @@ def test_bm25_neighbours_equal_brute_force():
     rng = np.random.default_rng(4)
     lengths = rng.integers(5, 40, 30)
     stream = rng.integers(0, 60, lengths.sum()).astype(np.uint16)
-    index = packing.Bm25Index(stream, lengths)
     each = np.split(stream, np.cumsum(lengths)[:-1])
     df = collections.Counter(t for d in each for t in set(d.tolist()))
+    whole = np.array([np.log1p((90 - df[t] + t + 0.5) / (df[t] + t + 0.5)) for t in range(60)], np.float32)  # other documents hold them too
+    index = packing.Bm25Index(stream, lengths, whole)
     seed = 3
-    terms = sorted([t for t in set(each[seed].tolist()) if df[t] > 1], key=lambda t: (df[t], t))[: packing.QUERY_TERMS]
+    terms = sorted([t for t in set(each[seed].tolist()) if df[t] > 1], key=lambda t: (-whole[t], t))[: packing.QUERY_TERMS]
     scores = {}
     for k, d in enumerate(each):
         score = 0.0
         for t in terms:
             tf = (d == t).sum()
-            idf = np.log1p((30 - df[t] + 0.5) / (df[t] + 0.5))
-            score += idf * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * lengths[k] / lengths.mean()))
+            score += whole[t] * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * lengths[k] / lengths.mean()))
         if score > 0 and k != seed:
             scores[k] = score
     unused = np.ones(30, bool)
@@ -239,6 +239,40 @@ def test_bm25_neighbours_equal_brute_force():
     assert set(found) == set(scores) and all(scores[a] >= scores[b] - 1e-4 for a, b in zip(found, found[1:], strict=False))
 
 
+def test_alike_documents_share_shards_and_equal_rows_are_spread(spark):
+    rng = random.Random(5)
+    topics = [[f"{chr(97 + t)}{rng.randrange(10**6)}" for _ in range(300)] for t in range(6)]
+    texts = [" ".join(rng.choices(topics[k % 6], k=60)) for k in range(600)]
+    rows = [(k, text) for k, text in enumerate(texts)] + [(7_000, "one and the same row " * 15)] * 400
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    width = "<u2"
+    coded = packing.encoded(table, encoder.vocabulary_path("byte_bpe_50k.json"), width)
+    idf = packing.inverse_frequencies(coded, 1 << 16, width)
+    df = collections.Counter(t for r in coded.collect() for t in set(np.frombuffer(r.ids, width).tolist()))
+    assert all(np.isclose(idf[t], np.log1p((1_000 - n + 0.5) / (n + 0.5)), rtol=1e-5) for t, n in df.items())
+    total = coded.agg(F.sum("n")).first()[0]
+    placed = packing.dealt(packing.lexical_order(coded, idf, width), total // 12).toPandas()
+    assert len(placed) == 1_000 and placed.n.sum() == total and set(placed.shard) <= set(range(13))
+    assert placed.groupby("shard").n.sum().max() < 1.6 * total / 12
+    copies = placed[placed.doc_id == 7_000]
+    assert copies.shard.nunique() >= len(copies) * copies.n.iloc[0] / (total / 12)
+    shard = placed[placed.doc_id < 600].set_index("doc_id").shard
+    pairs = [(a, b) for a in range(0, 600, 7) for b in range(600) if a != b and a % 6 == b % 6]
+    together = np.mean([shard[a] == shard[b] for a, b in pairs])
+    others = np.mean([shard[a] == shard[b] for a in range(0, 600, 7) for b in range(600) if a % 6 != b % 6])
+    assert together > 0.3 and others < 0.12
+
+
+def test_quick_checks_of_texts_equal_the_patterns():
+    rng = random.Random(6)
+    whole = encoder.encoder(encoder.vocabulary_path("byte_bpe_50k.json"))
+    runs = ["x" * 999, "x" * 1000, " " * 999, " " * 1000, "\n" * 1000, " \n" * 600, "é" * 600, "é" * 1000, "\x07", "\x7f", "ok", "日", "ß", "\u0378", ""]
+    for _ in range(3_000):
+        text = "".join(rng.choices([*runs, " ", "\n", "word"], k=rng.randrange(4)))
+        slow = not (encoder.UNUSUAL.search(text) or encoder.LONG_WORD.search(text) or any(s in text for s in whole.special))
+        assert whole.usual(text) == slow
+
+
 def brute_spans(text):
     out = [(*m.span(), 0) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     out += [(*m.span(), 1) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]

@@ -12,6 +12,8 @@ import os
 import re
 from functools import cached_property, lru_cache
 
+import numpy as np
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Characters whose class (letter, number, white space) no Unicode version has changed.
@@ -19,6 +21,21 @@ UNUSUAL = re.compile("[^\t\n\r\x20-\x7e\xa1-ʯЀ-ҁ‐-‧一-鿌]")
 LONG_WORD = re.compile(r"[^ \n]{1000}|[ ]{1000}|[\n]{1000}")
 
 
+#: ASCII bytes that UNUSUAL finds, and the ends of the first kind of run in LONG_WORD.
+UNUSUAL_BYTE = np.array([bool(UNUSUAL.match(chr(b))) for b in range(128)] + [False] * 128)
+BREAK_BYTE = np.isin(np.arange(256), [0x20, 0x0A])
+LONG_RUN = 1000
+
+
+def maybe_long(data: np.ndarray) -> bool:
+    """Whether UTF-8 bytes can hold a match of LONG_WORD: no text that does is missed."""
+    if len(data) < LONG_RUN:
+        return False
+    at = np.flatnonzero(BREAK_BYTE[data])
+    gaps = np.diff(at, prepend=-1, append=len(data))
+    return bool(gaps.max() > LONG_RUN) or (len(at) >= LONG_RUN and bool((at[LONG_RUN - 1 :] - at[: len(at) - LONG_RUN + 1] == LONG_RUN - 1).any()))
+
+
 def vocabulary_path(name: str) -> str:
     import public_tokenizers
 
@@ -59,7 +76,15 @@ class Encoder:
         return Tokenizer.from_file(self.path)
 
     def usual(self, text: str) -> bool:
-        return not (UNUSUAL.search(text) or LONG_WORD.search(text) or any(s in text for s in self.special))
+        data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+        if UNUSUAL_BYTE[data].any() if len(data) == len(text) else UNUSUAL.search(text):
+            return False
+        return not (maybe_long(data) and LONG_WORD.search(text) or any(s in text for s in self.special))
+
+    @property
+    def size(self) -> int:
+        """Ids lie below this number."""
+        return self.whole.get_vocab_size(with_added_tokens=True)
 
     def ids(self, text: str) -> list[int]:
         if self.usual(text):
