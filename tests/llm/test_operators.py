@@ -246,12 +246,11 @@ def test_alike_documents_share_shards_and_equal_rows_are_spread(spark):
     rows = [(k, text) for k, text in enumerate(texts)] + [(7_000, "one and the same row " * 15)] * 400
     table = spark.createDataFrame(rows, "doc_id long, text string")
     width = "<u2"
-    coded = packing.encoded(table, encoder.vocabulary_path("byte_bpe_50k.json"), width)
-    idf = packing.inverse_frequencies(coded, 1 << 16, width)
+    coded, idf = packing.encoded(table, encoder.vocabulary_path("byte_bpe_50k.json"), 1 << 16, width)
     df = collections.Counter(t for r in coded.collect() for t in set(np.frombuffer(r.ids, width).tolist()))
     assert all(np.isclose(idf[t], np.log1p((1_000 - n + 0.5) / (n + 0.5)), rtol=1e-5) for t, n in df.items())
     total = coded.agg(F.sum("n")).first()[0]
-    placed = packing.dealt(packing.lexical_order(coded, idf, width), total // 12).toPandas()
+    placed = packing.dealt(coded, total // 12).toPandas()
     assert len(placed) == 1_000 and placed.n.sum() == total and set(placed.shard) <= set(range(13))
     assert placed.groupby("shard").n.sum().max() < 1.6 * total / 12
     copies = placed[placed.doc_id == 7_000]

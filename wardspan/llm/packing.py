@@ -50,9 +50,11 @@ def chances(size: int) -> np.ndarray:
     return np.random.default_rng(11).exponential(size=size)
 
 
-def vector_and_mark(ids: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, int]:
-    """The projected TF-IDF vector of a document (length 1 or 0) and its weighted MinHash token."""
+def vector_and_mark(ids: np.ndarray, idf: np.ndarray, total: np.ndarray | None = None) -> tuple[np.ndarray, int]:
+    """The projected TF-IDF vector of a document (length 1 or 0) and its weighted MinHash token; its terms are added to `total`."""
     terms, counts = np.unique(ids, return_counts=True)
+    if total is not None:
+        total[terms] += 1
     weights = np.log1p(counts) * idf[terms]
     vector = weights.astype(np.float32) @ projection(len(idf))[terms]
     mark = terms[np.argmin(chances(len(idf))[terms] / np.maximum(weights, 1e-12))]
@@ -173,68 +175,88 @@ def pack_shard(each: list[np.ndarray], idf: np.ndarray, window: int) -> dict[str
     }
 
 
-def encoded(docs: DataFrame, path: str, width: str) -> DataFrame:
-    """doc_id, tie (text hash), copy (number among equal rows of a task), n, ids of every row, written."""
+def sums_of(found: np.ndarray) -> dict[str, np.ndarray]:
+    at = np.flatnonzero(found)
+    return {"id": at, "n": found[at]}
 
-    def encode(batches):
-        seen: Counter[tuple] = Counter()
-        for batch in batches:
-            texts = batch.column("text")
-            for i, j in batches_of(texts):
-                each = [np.array([*encoder(path).ids(text or ""), END_ID], width) for text in texts.slice(i, j - i).to_pylist()]
-                doc_id, tie = (batch.column(c).slice(i, j - i) for c in ("doc_id", "tie"))
-                copies = []
-                for key in zip(doc_id.to_pylist(), tie.to_pylist(), strict=True):
-                    copies.append(seen[key])
-                    seen[key] += 1
-                yield {"doc_id": doc_id, "tie": tie, "copy": copies, "n": [len(ids) for ids in each], "ids": [ids.tobytes() for ids in each]}
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.lit(10), "text").alias("tie"), "text")
-    return write_stage(map_tasks(rows, encode, "doc_id long, tie long, copy long, n long, ids binary"), "packing-ids")
+def frequencies(counted: DataFrame, size: int) -> np.ndarray:
+    """IDF of every id below `size` from counts (id, n); id `size` counts the documents. Bounded by the vocabulary."""
+    sums = counted.groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    df = np.zeros(size + 1)
+    df[sums["id"]] = sums["n"]
+    return np.log1p((df[-1] - df[:-1] + 0.5) / (df[:-1] + 0.5)).astype(np.float32)
 
 
-def inverse_frequencies(rows: DataFrame, size: int, width: str) -> np.ndarray:
-    """IDF of every id over all documents; the table is bounded by the vocabulary."""
+def fit_order(docs: DataFrame, path: str, size: int, sample_docs: int = SAMPLE_DOCS) -> tuple[np.ndarray, np.ndarray]:
+    """IDF weights and centroids of the lexical order, from about `sample_docs` distinct texts picked by a hash."""
+    order = F.xxhash64(F.lit(12), "text")
+    sample = docs.select("text").where(picked(order, distinct_texts(docs, order), sample_docs)).distinct()
+
+    def encode(batches):
+        for batch in batches:
+            each = [np.array([*encoder(path).ids(text or ""), END_ID], "<u4").tobytes() for text in batch.column("text").to_pylist()]
+            yield {"tie": batch.column("tie"), "ids": each}
 
     def count(batches):
-        found, n = np.zeros(size, np.int64), 0
+        found = np.zeros(size + 1, np.int64)
         for batch in batches:
             for ids in batch.column("ids").to_pylist():
-                found[np.unique(np.frombuffer(ids, width))] += 1
-                n += 1
-        at = np.flatnonzero(found)
-        yield {"id": np.append(at, -1), "n": np.append(found[at], n)}
+                found[np.unique(np.frombuffer(ids, "<u4"))] += 1
+                found[size] += 1
+        yield sums_of(found)
 
-    sums = map_tasks(rows.select("ids"), count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
-    df = np.zeros(size + 1)
-    df[sums["id"]] = sums["n"]
-    return np.log1p((df[-1] - df[:-1] + 0.5) / (df[:-1] + 0.5)).astype(np.float32)
-
-
-def lexical_order(rows: DataFrame, idf: np.ndarray, width: str, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """`rows` with cell (the place of the nearest centroid in the chain) and mark (the MinHash token), written."""
-    known = rows.sparkSession.sparkContext.broadcast(idf)
-    order = F.xxhash64(F.lit(12), "tie")
-    sample = rows.where(picked(order, distinct_texts(rows, F.col("tie")), sample_docs)).dropDuplicates(["tie"])
+    coded = write_stage(map_tasks(sample.select(order.alias("tie"), "text"), encode, "tie long, ids binary"), "packing-sample")
+    idf = frequencies(map_tasks(coded.select("ids"), count, "id long, n long"), size)
+    known = docs.sparkSession.sparkContext.broadcast(idf)
 
     def project(batches):
         for batch in batches:
-            found = [vector_and_mark(np.frombuffer(ids, width), known.value)[0] for ids in batch.column("ids").to_pylist()]
+            found = [vector_and_mark(np.frombuffer(ids, "<u4"), known.value)[0] for ids in batch.column("ids").to_pylist()]
             yield {"tie": batch.column("tie"), "vector": [v.tobytes() for v in found]}
 
-    taken = map_tasks(sample.select("tie", "ids"), project, "tie long, vector binary").orderBy(F.xxhash64(F.lit(12), "tie"), "tie").limit(sample_docs).collect()
+    taken = map_tasks(coded, project, "tie long, vector binary").orderBy("tie", "vector").limit(sample_docs).collect()
     vectors = np.stack([np.frombuffer(row["vector"], np.float32) for row in taken]) if taken else np.zeros((1, RANK), np.float32)
-    centres = rows.sparkSession.sparkContext.broadcast(centroids_of(vectors))
+    return idf, centroids_of(vectors)
+
 
-    def place(batches):
+def encoded(docs: DataFrame, path: str, size: int, width: str, sample_docs: int = SAMPLE_DOCS) -> tuple[DataFrame, np.ndarray]:
+    """Every row as doc_id, tie (text hash), copy (number among equal rows of a task), n, ids, cell (the place of the
+    nearest centroid in the chain) and mark (the MinHash token), written in one pass; and the IDF over all documents.
+
+    Each task adds one row with the document frequencies of its rows, so that the ids need not be read for them.
+    """
+    known = docs.sparkSession.sparkContext.broadcast(fit_order(docs, path, size, sample_docs))
+
+    def encode(batches):
+        idf, centres = known.value
+        seen: Counter[tuple] = Counter()
+        total = np.zeros(size + 1, np.int64)
         for batch in batches:
-            found = [vector_and_mark(np.frombuffer(ids, width), known.value) for ids in batch.column("ids").to_pylist()]
-            if found:
-                cells = (np.stack([v for v, _ in found]) @ centres.value.T).argmax(axis=1)
-                yield {**{c: batch.column(c) for c in batch.schema.names}, "cell": cells, "mark": [m for _, m in found]}
+            texts = batch.column("text")
+            for i, j in batches_of(texts):
+                each = [np.array([*encoder(path).ids(text or ""), END_ID], width) for text in texts.slice(i, j - i).to_pylist()]
+                found = [vector_and_mark(ids, idf, total) for ids in each]
+                total[size] += len(each)
+                doc_id, tie = (batch.column(c).slice(i, j - i) for c in ("doc_id", "tie"))
+                copies = []
+                for key in zip(doc_id.to_pylist(), tie.to_pylist(), strict=True):
+                    copies.append(seen[key])
+                    seen[key] += 1
+                cells = (np.stack([v for v, _ in found]) @ centres.T).argmax(axis=1)
+                yield {
+                    "doc_id": doc_id, "tie": tie, "copy": copies, "n": [len(ids) for ids in each], "ids": [ids.tobytes() for ids in each],
+                    "cell": cells, "mark": [m for _, m in found], "counted": pa.nulls(len(each)),
+                }
+        sums = sums_of(total)
+        pairs = [{"id": int(k), "n": int(n)} for k, n in zip(sums["id"], sums["n"], strict=True)]
+        yield {**{c: pa.nulls(1) for c in ("doc_id", "tie", "copy", "n", "ids", "cell", "mark")}, "counted": [pairs]}
 
-    schema = "doc_id long, tie long, copy long, n long, ids binary, cell int, mark int"
-    return write_stage(map_tasks(rows, place, schema), "packing-order")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.lit(10), "text").alias("tie"), "text")
+    schema = "doc_id long, tie long, copy long, n long, ids binary, cell int, mark int, counted array<struct<id: long, n: long>>"
+    stage = write_stage(map_tasks(rows, encode, schema), "packing-ids")
+    idf = frequencies(stage.where("counted IS NOT NULL").select(F.inline("counted")), size)
+    return stage.where("counted IS NULL").drop("counted"), idf
 
 
 def dealt(rows: DataFrame, shard_ids: int = SHARD_IDS) -> DataFrame:
@@ -265,8 +287,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, w
     path = vocabulary or vocabulary_path("byte_bpe_50k.json")
     size = max(encoder(path).size, END_ID + 1)
     width = "<u2" if size <= 1 << 16 else "<u4"
-    rows = encoded(docs, path, width)
-    idf = inverse_frequencies(rows, size, width)
+    rows, idf = encoded(docs, path, size, width)
     known = docs.sparkSession.sparkContext.broadcast(idf)
 
     def run(table: pa.Table) -> pa.Table:
@@ -278,4 +299,4 @@ def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, w
         columns += [pa.array(pieces["sequence"] + shard * SEQUENCES), pa.array(pieces["offset"]), ids]
         return pa.table(columns, names=[f.split()[0] for f in SCHEMA.split(", ")])
 
-    return dealt(lexical_order(rows, idf, width), shard_ids).groupBy("shard").applyInArrow(run, SCHEMA)
+    return dealt(rows, shard_ids).groupBy("shard").applyInArrow(run, SCHEMA)
