@@ -56,7 +56,7 @@ def vector_and_mark(ids: np.ndarray, idf: np.ndarray, total: np.ndarray | None =
     if total is not None:
         total[terms] += 1
     weights = np.log1p(counts) * idf[terms]
-    vector = weights.astype(np.float32) @ projection(len(idf))[terms]
+    vector = weights.astype(np.float32) @ projection(len(idf)).take(terms, 0)
     mark = terms[np.argmin(chances(len(idf))[terms] / np.maximum(weights, 1e-12))]
     return vector / max(float(np.linalg.norm(vector)), 1e-12), int(mark)
 
@@ -175,6 +175,13 @@ def pack_shard(each: list[np.ndarray], idf: np.ndarray, window: int) -> dict[str
     }
 
 
+def ids_of(text: str | None, path: str, width: str) -> np.ndarray:
+    """The ids of a text and END_ID."""
+    ids = encoder(path).ids(text or "")
+    ids.append(END_ID)
+    return np.fromiter(ids, width, len(ids))
+
+
 def sums_of(found: np.ndarray) -> dict[str, np.ndarray]:
     at = np.flatnonzero(found)
     return {"id": at, "n": found[at]}
@@ -195,7 +202,7 @@ def fit_order(docs: DataFrame, path: str, size: int, sample_docs: int = SAMPLE_D
 
     def encode(batches):
         for batch in batches:
-            each = [np.array([*encoder(path).ids(text or ""), END_ID], "<u4").tobytes() for text in batch.column("text").to_pylist()]
+            each = [ids_of(text, path, "<u4").tobytes() for text in batch.column("text").to_pylist()]
             yield {"tie": batch.column("tie"), "ids": each}
 
     def count(batches):
@@ -235,7 +242,7 @@ def encoded(docs: DataFrame, path: str, size: int, width: str, sample_docs: int
         for batch in batches:
             texts = batch.column("text")
             for i, j in batches_of(texts):
-                each = [np.array([*encoder(path).ids(text or ""), END_ID], width) for text in texts.slice(i, j - i).to_pylist()]
+                each = [ids_of(text, path, width) for text in texts.slice(i, j - i).to_pylist()]
                 found = [vector_and_mark(ids, idf, total) for ids in each]
                 total[size] += len(each)
                 doc_id, tie = (batch.column(c).slice(i, j - i) for c in ("doc_id", "tie"))
