@@ -121,3 +121,39 @@ def test_ids_belong_to_their_site(spark):
     text = [f.withColumn("encounter_id", F.concat(F.lit("x"), F.col("encounter_id").cast("string"))) for f in (cases, controls)]
     named = match_controls(*text, 2).collect()
     assert len(named) == 8 and len({(r.site, r.control_id) for r in named}) == 8
+
+
+@pytest.mark.parametrize("rows_per_bucket,text", [(2_000_000, False), (160, False), (160, True)])
+def test_cases_choose_in_blocks(spark, monkeypatch, rows_per_bucket, text):
+    """Whole strata choose without a pass over all lists; where blocks share controls, few passes settle their claims."""
+    from wardspan.operators import matching
+
+    passes, n_blocks = [], []
+    observe, blocks_of = matching.Observation, matching._blocks
+    monkeypatch.setattr(matching, "Observation", lambda: passes.append(1) or observe())
+
+    def blocks(*given):
+        made = blocks_of(*given)
+        n_blocks.append(made.select("block").distinct().count())
+        return made
+
+    monkeypatch.setattr(matching, "_blocks", blocks)
+    cases, controls = frames(spark, 8, 120, 400, np.arange(30.0, 60.0))
+    pairs = found(match_controls(cases, controls, 3, rows_per_bucket=rows_per_bucket))
+    assert pairs == sequential(cases, controls, 3)
+    assert (n_blocks[0] == 4 and not passes) if rows_per_bucket > 1000 else (n_blocks[0] > 6 and 2 <= len(passes) < 12)
+    if text:
+        named = [f.withColumn("encounter_id", F.concat(F.lit("x"), F.col("encounter_id").cast("string"))) for f in (cases, controls)]
+        parted, whole = (found(match_controls(*named, 3, rows_per_bucket=n)) for n in (rows_per_bucket, 2_000_000))
+        assert parted == whole and len(whole) > 100
+
+
+def test_repeated_and_missing_ids_choose_alike_in_blocks_and_ranges(spark, monkeypatch):
+    """A control that comes twice goes twice to one case; without ids cases come first, as in the passes over sorted ranges."""
+    from wardspan.operators import matching
+
+    cases, controls = frames(spark, 9, 40, 160, np.arange(30.0, 42.0))
+    cases, controls = (f.unionByName(f.where("encounter_id % 3 = 0")).withColumn("encounter_id", F.expr("nullif(encounter_id, 4)")) for f in (cases, controls))
+    lists = [sorted(map(str, match_controls(cases, controls, 3, rows_per_bucket=n).collect())) for n in (2_000_000, 100)]
+    monkeypatch.setattr(matching, "_blocks", lambda *given: None)
+    assert lists == 2 * [sorted(map(str, match_controls(cases, controls, 3).collect()))]
