@@ -219,6 +219,25 @@ def test_site_fit_equals_one_machine(rows, patience):
         assert np.allclose(fit.best, alone.best, atol=1e-9) and (fit.epochs, fit.turn) == (alone.epochs, alone.turn)
 
 
+def test_steps_find_their_rows_in_partitions_of_their_own(rows, monkeypatch):
+    monkeypatch.setattr(synchronous, "ROWS_PER_PART", 30)
+    batches = synchronous.deal_batches(rows, X, 100, 64, 5, "encounter_id")
+    held = batches.blocks.map(lambda block: (block[0], block[1], len(block[2]), len(block[3]))).glom().collect()
+    assert [p for parts in batches.parts.values() for p in parts] == list(range(len(held))) and all(len(parts) > 1 for parts in batches.parts.values())
+    expected = {site: dealt(site, 100, 5, rows) for site in batches.steps}
+    for step, parts in batches.parts.items():
+        found = [block for p in parts for block in held[p]]
+        assert all(testing == (step == synchronous.TEST) and n == n_labels for _, testing, n, n_labels in found)
+        for site, (train, test, _) in expected.items():
+            assert sum(n for name, _, n, _ in found if name == site) == len(test if step == synchronous.TEST else train[train.step == step])
+    w = params.glorot_weights(3, 4)
+    sums = synchronous._step_sums(batches, [0, synchronous.TEST], {0: ("A", w)}, 4)[0]
+    train, test, _ = expected["A"]
+    part = train[train.step == 0]
+    assert sums[False][-1] == len(part) and sums[True].sum() == len(test)
+    assert np.allclose(sums[False][:-1] / len(part), network.mlp_gradient_mean(part[X].to_numpy(), part.label.to_numpy(float), w, 4))
+
+
 def test_site_fit_ignores_the_partitions(rows):
     start = {(s, 1): params.glorot_weights(3, 4).tolist() for s in ("A", "B")}
     options = {"hidden": 4, "epochs": 3, "batch": 150}
