@@ -2,7 +2,11 @@
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from wardspan import session
+from wardspan.functions.text import require_numeric, strip_censor
+from wardspan.operators.harmonise import ARRIVAL_FORMATS, parse_arrival
 from wardspan.plans import extracts
 from wardspan.plans.cohorts import prepare
 from wardspan.plans.extracts import Extract, harmonise_extracts
@@ -66,3 +70,40 @@ def test_what_is_refused(spark, tmp_path):
         harmonise_extracts(spark, [Extract("A", "other", path)])
     with pytest.raises(ValueError, match="no column period"):
         harmonise_extracts(spark, [Extract("A", "period", path)])
+
+
+def test_formats_are_tried_only_where_they_may_fit(spark):
+    texts = ["2020-1-2 3:4", "2020-01-02T03:04:05", "2020-01-02t03:04", "2020-01-02", " 2020-01-02", "2020-01-02 10:00:00.5", "+2020-01-02", "1/2/2020", "31/12/2020 10:00:00.123456"]
+    texts += ["30/02/2020 10:00", "1/2-2020", "2020-01-02 10", "12/2020", "10:00", "1/2/2020T10:00", "soon", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = F.coalesce(*[F.try_to_timestamp("t", F.lit(f)) for f in ARRIVAL_FORMATS])
+    found = df.select("t", parse_arrival(F.col("t")).alias("now"), plain.alias("plain"))
+    assert all(r.now == r.plain for r in found.collect()) and found.where("now IS NOT NULL").count() >= 6
+    tried = found.select("now")._jdf.queryExecution().optimizedPlan().toString()
+    assert tried.count("Contains(") >= 2 * len(ARRIVAL_FORMATS)
+
+
+def test_wide_rows_are_written_by_methods_that_get_compiled(spark, tmp_path, monkeypatch):
+    name, seen = "spark.sql.codegen.hugeMethodLimit", []
+    given = spark.conf.get(name, None)
+
+    def watched(df, stage, by=()):
+        seen.append((stage, spark.conf.get(name, None)))
+        return session.write_stage(df, stage, by)
+
+    monkeypatch.setattr(extracts, "write_stage", watched)
+    harmonise_extracts(spark, [Extract("A", "common", write(tmp_path, "one", common_rows(0, 3)))])
+    assert dict(seen)["extract"] == dict(seen)["harmonised"] == session.COMPILED_METHOD_BYTES
+    with pytest.raises(KeyError), session.compiled_methods(spark):
+        raise KeyError
+    assert spark.conf.get(name, None) == given
+
+
+def test_censored_and_strict_numbers(spark):
+    df = spark.createDataFrame([("<5", " 7 "), ("6>", ""), ("8", None), (None, "NaN")], "a string, b string")
+    assert [r.a for r in strip_censor(df).collect()] == ["5", "6", "8", None]
+    assert [r.a for r in require_numeric(strip_censor(df), ["a"]).collect()] == [5.0, 6.0, 8.0, None]
+    assert [r.b for r in require_numeric(df.where("b is null or b != 'NaN'"), ["b"]).collect()] == [7.0, None, None]
+    for bad in ("x", "NaN"):
+        with pytest.raises(Exception, match="not a number"):
+            require_numeric(spark.createDataFrame([(bad,)], "b string"), ["b"]).collect()

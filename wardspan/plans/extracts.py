@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from wardspan.operators.harmonise import device_level, parse_arrival, quoted
 from wardspan.plans.harmonise_sites import harmonise_common, harmonise_dual_eras, harmonise_dual_source, harmonise_outcome_coded, harmonise_period_labelled
-from wardspan.session import write_stage
+from wardspan.session import compiled_methods, write_stage
 from wardspan.sources.raw import CORRUPT, read_site_csv
 from wardspan.specs import (
     ALL_BLOODS,
@@ -120,7 +120,8 @@ def land(spark: SparkSession, path: str, kind: str) -> DataFrame:
     if dated:
         state = state.when(~readable_date(kind), UNDATED)
     marked = raw.withColumns({STATE: state.otherwise(SOUND), DEVICES: unmapped_codes(kind, columns)})
-    return write_stage(marked, "extract", [STATE])
+    with compiled_methods(spark):
+        return write_stage(marked, "extract", [STATE])
 
 
 def _common_schema(df: DataFrame) -> DataFrame:
@@ -175,5 +176,6 @@ def harmonise_extracts(spark: SparkSession, extracts: Sequence[Extract]) -> Harm
     if not harmonised:
         raise ValueError("no extracts")
     ledger = reduce(DataFrame.unionAll, counts).groupBy("site", "check", "detail").agg(F.sum("n").alias("n"))
-    encounters = write_stage(reduce(DataFrame.unionAll, harmonised), "harmonised", ["site"])
+    with compiled_methods(spark):
+        encounters = write_stage(reduce(DataFrame.unionAll, harmonised), "harmonised", ["site"])
     return Harmonised(encounters, write_stage(ledger, "ledger"), reduce(DataFrame.unionAll, set_aside))
